@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import decode_entities, trim
+from .text import decode_entities, let, trim
 
 # HTML tag classes.
 VOID_TAGS = (
@@ -80,16 +80,18 @@ def attributes(tag: Column) -> Column:
     """Attributes of a start tag as a map: lower-case names, decoded values, first duplicate wins."""
     start = F.regexp_extract(tag, r"""(?s)^<[^>=]*+(?:=\s*+(?:"[^"]*"|'[^']*'|)[^>=]*+)*+>""", 0)
     tail = F.regexp_replace(start, r"(?s)^<[^\s/>]+|/?>$", "")
-    names = F.transform(F.regexp_extract_all(tail, F.lit(_ATTR_RE), F.lit(1)), F.lower)
-    values = F.regexp_extract_all(tail, F.lit(_ATTR_RE), F.lit(2))
+    found = F.arrays_zip(
+        F.regexp_extract_all(F.lower(tail), F.lit(_ATTR_RE), F.lit(1)), F.regexp_extract_all(tail, F.lit(_ATTR_RE), F.lit(2))
+    )
 
     def unquote(v: Column) -> Column:
-        return decode_entities(
-            F.when(v.startswith('"') | v.startswith("'"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
-        )
+        bare = F.when(v.rlike("^[\"']"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+        return F.when(v.contains("&"), decode_entities(bare)).otherwise(bare)
 
-    pairs = F.transform(names, lambda n, i: F.struct(n.alias("key"), unquote(F.get(values, i)).alias("value")))
-    first = F.filter(pairs, lambda p, i: F.array_position(names, p["key"]) == i + 1)
+    pairs = F.transform(found, lambda p: F.struct(p["0"].alias("key"), unquote(p["1"]).alias("value")))
+    first = let(
+        pairs, lambda all_: F.filter(all_, lambda p, i: F.array_position(all_.getField("key"), p["key"]) == i + 1)
+    )
     has_any = tag.rlike(r"^<[A-Za-z][^\s/>]*[\s/]+[^\s/>]")
     return F.when(has_any, F.map_from_entries(first)).otherwise(
         F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -26,6 +27,12 @@ _OTHER_ENTITY_RE = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once. An expression that a lambda takes from outside is computed
+    again for every element; the parameter of an enclosing lambda is not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(TRIM_CHARS))
 
@@ -94,11 +101,10 @@ def _one_entity(e: Column) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """HTML5 named and numeric entities, once; only those closed by ';' count (M2)."""
-    gaps = F.split(c, ENTITY_RE, -1)
-    found = F.regexp_extract_all(c, F.lit(ENTITY_RE), F.lit(0))
-    decoded = F.transform(found, _one_entity)
+    # the text between entities, each piece with the entity after it
+    pieces = F.arrays_zip(F.split(c, ENTITY_RE, -1), F.regexp_extract_all(c, F.lit(ENTITY_RE), F.lit(0)))
     joined = F.array_join(
-        F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get(decoded, i), F.lit("")))), ""
+        F.transform(pieces, lambda z: F.concat(z["0"], F.coalesce(_one_entity(z["1"]), F.lit("")))), ""
     )
     # Plain replacement is enough, and much faster, where only everyday names occur; & comes last.
     plain = c

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import decode_entities, trim
+from ..functions.text import decode_entities, let, trim
 
 _LINE_BREAK = r"\r\n|\n|\r"
 
@@ -51,9 +51,12 @@ def drop_blank_lines(md: Column) -> Column:
 
 
 def _without_repeats(lines: Column) -> Column:
-    trimmed = F.transform(lines, trim)
-    keep = lambda line, i: F.coalesce((trim(line) == "") | (trim(line) != F.get(trimmed, i - 1)), F.lit(True))
-    return F.filter(lines, keep)
+    return let(
+        F.transform(lines, lambda line: F.struct(line.alias("line"), trim(line).alias("key"))),
+        lambda all_: F.filter(
+            all_, lambda x, i: F.coalesce((x["key"] == "") | (x["key"] != F.get(all_, i - 1)["key"]), F.lit(True))
+        ).getField("line"),
+    )
 
 
 def dedupe_adjacent_lines(md: Column) -> Column:
