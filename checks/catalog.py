@@ -113,8 +113,7 @@ def e11_sanitize_attrs(spark: SparkSession, d: str) -> DataFrame:
 def e12_drop_empty(spark: SparkSession, d: str) -> DataFrame:
     tree = E.page_tree(V.dressed_pages(spark, d), CFG)
     rows = E.mark_blank(E.clean_targets(E.drop_excluded_and_hidden(E.within_content(tree))))
-    linked = (F.col("name") == "a") & T.not_blank(F.col("href"))
-    return kept(E.drop_subtrees(rows, F.col("name").isin(*M.EMPTY_DROP_TAGS) & F.col("blank") & ~linked))
+    return kept(E.drop_subtrees(rows, E.is_empty()))
 
 
 def content_of(df: DataFrame, cfg: Settings = CFG) -> DataFrame:

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 TRIM_CHARS = " \t\n\r\0\x0b"
 # White space in the Unicode sense, spelled out because that is faster than (?U)\s.
 SPACE_CLASS = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-# A run of white space that is not already one blank, so that plain prose causes no replacements.
-UNEVEN_SPACE = rf" [{SPACE_CLASS}]+|[{SPACE_CLASS.replace(' ', '')}][{SPACE_CLASS}]*"
+# A run of white space that is not already one blank, so that plain prose causes no replacements. The
+# look-ahead rules most letters out with three comparisons before the full class is tried.
+_MAYBE_SPACE = r"(?=[\t-\r\x{85}-\x{a0}\x{1680}-\x{3000}])"
+UNEVEN_SPACE = rf" [{SPACE_CLASS}]+|{_MAYBE_SPACE}[{SPACE_CLASS}]+"
 
 ENTITY_RE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 # Names that need no table.

@@ -36,6 +36,10 @@ def page_tree(
     wanted = compile_selectors(content_selector_list(cfg))
     body_rank = len(content_selector_list(cfg))
     is_start = F.col("kind").isin("open", "void", "raw")
+    empty = F.lit("")
+    image = F.concat(
+        F.lit("!["), F.coalesce(M.attr(attrs, "alt"), empty), F.lit("]("), F.coalesce(M.attr(attrs, "src"), empty), F.lit(")")
+    )
     flags = {
         "rank": F.when(
             F.col("kind") == "open",
@@ -43,17 +47,15 @@ def page_tree(
         ),
         "excluded": is_start & any_match(compile_selectors(excluded_selector_list(cfg)), name, attrs),
         "hidden": is_start & M.is_hidden(attrs),
-        "href": F.when(name == "a", M.attr(attrs, "href")),
+        # the link target, or the whole image; bare says that there is none
+        "target": F.when(name == "a", M.attr(attrs, "href")).when(name == "img", image),
+        "bare": is_start & ~T.not_blank(F.when(name == "a", M.attr(attrs, "href")).otherwise(M.attr(attrs, "src"))),
         "script_href": is_start & M.is_script_href(attrs),
-        "src": F.when(name == "img", F.coalesce(M.attr(attrs, "src"), F.lit(""))),
-        "alt": F.when(name == "img", F.coalesce(M.attr(attrs, "alt"), F.lit(""))),
     }
     if with_tags:
         flags["tag_plain"] = F.when(is_start, M.start_tag(name, attrs)).when(F.col("kind") == "comment", F.col("tag"))
-        flags["tag_clean"] = F.when(is_start, M.start_tag(name, M.sanitize_attrs(attrs))).otherwise(F.col("tag_plain"))
-    for col, value in flags.items():
-        tokens = tokens.withColumn(col, value)
-    return close_elements(text_totals(text_features(tokens).drop("tag", "attrs")))
+        flags["tag_clean"] = F.when(is_start, M.start_tag(name, M.sanitize_attrs(attrs))).otherwise(flags["tag_plain"])
+    return close_elements(text_totals(text_features(tokens.withColumns(flags)).drop("tag", "attrs")))
 
 
 def _candidate() -> Column:
@@ -147,16 +149,21 @@ def mark_blank(rows: DataFrame) -> DataFrame:
 
 def clean_targets(rows: DataFrame) -> DataFrame:
     """The link target after E11: a script target is dropped."""
-    return rows.withColumn("href", F.when(~(F.col("script_href") & F.col("clean")), F.col("href")))
+    dropped = F.col("script_href") & F.col("clean")
+    return rows.withColumns({"target": F.when(~dropped, F.col("target")), "bare": F.col("bare") | dropped}).drop(
+        "script_href", "excluded", "hidden"
+    )
+
+
+def is_empty() -> Column:
+    """No text inside, and not a link that leads somewhere."""
+    return F.col("name").isin(*M.EMPTY_DROP_TAGS) & F.col("blank") & ((F.col("name") != "a") | F.col("bare"))
 
 
 def drop_empty_elements(rows: DataFrame) -> DataFrame:
     """E12 and E13. One pass gives what repeating to a fixpoint gives: removing an element without text
     never makes another one empty."""
-    linked = (F.col("name") == "a") & T.not_blank(F.col("href"))
-    empty = F.col("name").isin(*M.EMPTY_DROP_TAGS) & F.col("blank") & ~linked
-    no_source = (F.col("name") == "img") & ~T.not_blank(F.col("src"))
-    return drop_subtrees(rows, empty | no_source)
+    return drop_subtrees(rows, is_empty() | ((F.col("name") == "img") & F.col("bare")))
 
 
 def content_rows(
@@ -195,11 +202,10 @@ def content_events(rows: DataFrame) -> DataFrame:
     )
     what, name = F.col("e.what"), F.col("name")
     is_text, is_tag = what == "text", what.isin("open", "close", "void")
-    image = F.concat(F.lit("!["), F.col("alt"), F.lit("]("), F.col("src"), F.lit(")"))
     # value: the text, the link target or the whole image; filled: there is visible text in it
     keep = [
         F.when(is_tag, name).alias("name"),
-        F.when(is_text, F.col("txt")).when(name == "img", image).when(name == "a", F.col("href")).alias("value"),
+        F.when(is_text, F.col("txt")).otherwise(F.col("target")).alias("value"),
         F.when(is_text, F.col("has_text")).otherwise(~F.col("blank")).alias("filled"),
         F.when(what == "info", F.col("info")).alias("info"),
     ]

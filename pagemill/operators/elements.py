@@ -38,11 +38,8 @@ def _item_level(name: Column) -> Column:
 # A position and the text size before it, packed into one bigint: comparing two of them compares the
 # positions, and 8 bytes per value keep the many sorted rows narrow. Size = bytes that are not blank
 # plus words, both below 2^31 as a text cell is.
-_SHIFT = 2**32
-
-
 def _pack(pos: Column, size: Column) -> Column:
-    return pos.cast("bigint") * _SHIFT + size
+    return F.shiftleft(pos.cast("bigint"), 32).bitwiseOR(size)
 
 
 def _pos_of(packed: Column) -> Column:
@@ -50,7 +47,7 @@ def _pos_of(packed: Column) -> Column:
 
 
 def _size_of(packed: Column) -> Column:
-    return packed.bitwiseAND(F.lit(_SHIFT - 1))
+    return packed.bitwiseAND(F.lit(2**32 - 1))
 
 
 def text_totals(features: DataFrame) -> DataFrame:
