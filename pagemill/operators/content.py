@@ -96,10 +96,14 @@ def within_content(tree: DataFrame, any_length: bool = False) -> DataFrame:
     pos = F.col("pos")
     inside = (pos >= F.col("root.pos")) & (pos < F.col("root.pend"))
     carrier = ~F.coalesce(F.col("inside"), F.lit(False))
+    # ends are known by now, so an end tag without text behind it has nothing more to say
+    useful = F.col("kind").isin("open", "void", "raw") | (F.col("txt") != "")
+    if "tag_plain" in tree.columns:
+        useful = useful | (F.col("kind") == "comment")
     return (
         tree.withColumn("root", root)
         .withColumn("inside", inside)
-        .where(F.col("inside") | F.col("info").isNotNull())
+        .where((F.col("inside") & useful) | F.col("info").isNotNull())
         .withColumns(
             {
                 "kind": F.when(carrier, "carrier").when(pos == F.col("root.pos"), "root").otherwise(F.col("kind")),
