@@ -194,15 +194,15 @@ def content_events(rows: DataFrame) -> DataFrame:
         return F.struct(pos.alias("pos"), F.lit(phase).alias("phase"), tie.alias("tie"), F.lit(what).alias("what"))
 
     pos, zero, kind = F.col("pos"), F.lit(0), F.col("kind")
-    events = F.array_compact(
-        F.array(
-            F.when(F.col("info").isNotNull(), event(F.lit(-1), 0, zero, "info")),
-            F.when(kind == "open", event(pos, 1, zero, "open")),
-            F.when(kind == "open", event(F.col("pend"), 0, -pos, "close")),
-            F.when(kind == "void", event(pos, 1, zero, "void")),
-            F.when(kind == "comment", event(pos, 1, zero, "comment")) if html else F.lit(None),
-            F.when(F.col("txt") != "", event(pos, 2, zero, "text")),
-        )
+    # a plain array, nulls filtered after the explode: unlike array functions, this is compiled
+    leaf = F.when(kind == "void", event(pos, 1, zero, "void"))
+    events = F.array(
+        F.when(F.col("info").isNotNull(), event(F.lit(-1), 0, zero, "info")),
+        F.when(kind == "open", event(pos, 1, zero, "open")).otherwise(
+            leaf.when(kind == "comment", event(pos, 1, zero, "comment")) if html else leaf
+        ),
+        F.when(kind == "open", event(F.col("pend"), 0, -pos, "close")),
+        F.when(F.col("txt") != "", event(pos, 2, zero, "text")),
     )
     what, name = F.col("e.what"), F.col("name")
     is_text, is_tag = what == "text", what.isin("open", "close", "void")
@@ -216,7 +216,7 @@ def content_events(rows: DataFrame) -> DataFrame:
     if html:
         tag = F.when(F.col("clean"), F.col("tag_clean")).otherwise(F.col("tag_plain"))
         keep.append(F.when(what.isin("open", "void", "comment"), tag).alias("tag"))
-    return rows.withColumn("e", F.explode(events)).select("page_id", "e.pos", "e.phase", "e.tie", "e.what", *keep)
+    return rows.withColumn("e", F.explode(events)).where(F.col("e").isNotNull()).select("page_id", "e.pos", "e.phase", "e.tie", "e.what", *keep)
 
 
 def in_order(piece: Column) -> Column:
