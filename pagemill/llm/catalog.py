@@ -18,6 +18,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(documents(spark, d))
+
+
 def op9_packing(spark: SparkSession, d: str) -> DataFrame:
     from .packing import pack
 
@@ -25,6 +31,7 @@ def op9_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op9_packing": op9_packing,
 }
 
