@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from .linededup import SQL as LINE_DEDUP
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +25,12 @@ def op1_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return judge(documents(spark, d))
 
 
+def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    return dedup_lines(documents(spark, d)).select("row.doc_id", "text", "n_lines", "n_removed")
+
+
 def op9_packing(spark: SparkSession, d: str) -> DataFrame:
     from .packing import pack
 
@@ -32,8 +39,9 @@ def op9_packing(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
     "op9_packing": op9_packing,
 }
 
 #: Operators that plain SQL can't express have none; tests/llm compares them with brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_line_dedup": LINE_DEDUP}
