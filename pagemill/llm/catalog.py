@@ -31,6 +31,12 @@ def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup_lines(documents(spark, d)).select("row.doc_id", "text", "n_lines", "n_removed")
 
 
+def op7_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(documents(spark, d), length=3, distance=2)
+
+
 def op9_packing(spark: SparkSession, d: str) -> DataFrame:
     from .packing import pack
 
@@ -40,6 +46,7 @@ def op9_packing(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op6_line_dedup": op6_line_dedup,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_packing": op9_packing,
 }
 
