@@ -25,6 +25,12 @@ def op1_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return judge(documents(spark, d))
 
 
+def op4_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    from .tokencounts import count_tokens
+
+    return count_tokens(documents(spark, d), vocabulary("piece_bpe_32k.model"), limit=4096)
+
+
 def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     from .linededup import dedup_lines
 
@@ -45,6 +51,7 @@ def op9_packing(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_token_counts": op4_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_packing": op9_packing,
