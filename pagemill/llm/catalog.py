@@ -25,6 +25,14 @@ def op1_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return judge(documents(spark, d))
 
 
+def op2_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import round_trip
+
+    return round_trip(documents(spark, d), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_token_counts(spark: SparkSession, d: str) -> DataFrame:
     from .tokencounts import count_tokens
 
@@ -51,6 +59,7 @@ def op9_packing(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_byte_bpe": op2_byte_bpe,
     "op4_token_counts": op4_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,

@@ -24,16 +24,17 @@ def chunks_of(text: str) -> list[str]:
 
 
 class ChunkEncoder:
-    """Ids of texts as little-endian unsigned integers of `width` bytes."""
+    """Ids of texts as little-endian unsigned integers; `encode_many` gives them so for chunks."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], width: int = 4) -> None:
-        self._encode_many, self._width = encode_many, width
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]]) -> None:
+        self._encode_many = encode_many
         self._known: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, width: int = 4) -> "ChunkEncoder":
-        """The encoder of a tokenizers file; a Python worker loads each file once."""
+        """The encoder of a tokenizers file, ids of `width` bytes; a Python worker loads each file once."""
         if (path, width) not in _loaded:
+            import numpy as np
             from tokenizers import Tokenizer
 
             library = Tokenizer.from_file(path)
@@ -41,8 +42,9 @@ class ChunkEncoder:
                 raise ValueError("an added token holds white space")
             if library.get_vocab_size() > 1 << (8 * width):
                 raise ValueError(f"ids do not fit {width} bytes")
+            kind = np.dtype(f"<u{width}")
             _loaded[path, width] = cls(
-                lambda texts: [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)], width
+                lambda texts: [np.array(e.ids, kind).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
             )
         return _loaded[path, width]
 
@@ -68,8 +70,7 @@ class ChunkEncoder:
             cut.append(parts)
         if new:
             fresh = list(new)
-            for chunk, ids in zip(fresh, self._encode_many(fresh), strict=True):
-                known[chunk] = b"".join(i.to_bytes(self._width, "little") for i in ids)
+            known.update(zip(fresh, self._encode_many(fresh), strict=True))
         joined = [b"".join([known[x] for x in parts]) for parts in cut]
         for chunk in new:
             if not _whole(chunk):
