@@ -39,6 +39,13 @@ def op4_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return count_tokens(documents(spark, d), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    return score(documents(spark, d), fit(documents(spark, d), labels), threshold=0.3)
+
+
 def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     from .linededup import dedup_lines
 
@@ -61,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_packing": op9_packing,
