@@ -37,7 +37,7 @@ def test_held_out_accuracy_and_columns(spark, sf):
     d = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in op5_toxicity(spark, d).collect()}
     labels = dict(duckdb.sql(f"select doc_id, toxic from '{d}/labels.parquet'").fetchall())
-    assert len(got) == duckdb.sql(f"select count(*) from '{d}/documents.parquet'").fetchone()[0]
+    assert len(got) == duckdb.sql(f"select count(*) from '{d}/documents.parquet'").fetchall()[0][0]
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
     pos = [got[i].score for i, t in labels.items() if t and got[i].held_out]
