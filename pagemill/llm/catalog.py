@@ -58,6 +58,12 @@ def op7_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(documents(spark, d), length=3, distance=2)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from .suffixdedup import strip_repeats
+
+    return strip_repeats(documents(spark, d), length=50).drop("kept")
+
+
 def op9_packing(spark: SparkSession, d: str) -> DataFrame:
     from .packing import pack
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_packing": op9_packing,
 }
 
