@@ -70,6 +70,12 @@ def op9_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack(documents(spark, d), vocabulary("byte_bpe_50k.json"), end_id=0, length=1024)
 
 
+def op10_nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    from .forest import nearest
+
+    return nearest(spark.read.parquet(f"{d}/embeddings.parquet"), k=10, every=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_packing": op9_packing,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 #: Operators that plain SQL can't express have none; tests/llm compares them with brute force.
