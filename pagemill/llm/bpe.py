@@ -25,7 +25,7 @@ from .common import map_batches, pieces
 from .vocab import ChunkEncoder
 
 #: States, pairs and pieces remembered by a Python worker before it starts anew: bounds memory, not results.
-STATES, PAIRS, PIECES = 100_000, 400_000, 500_000
+STATES, PAIRS, PIECES = 200_000, 400_000, 800_000
 _loaded: dict[tuple[str, str], "Codec"] = {}
 
 Place = tuple[bytes, tuple[bytes | None, ...]]
@@ -141,8 +141,9 @@ class MergeTransducer:
                     k, nexts = self._state(places), self._next
                 step = nexts[k][byte] = self._make(k, byte)
             k, emitted = step
-            out.extend(emitted)
-        out.extend(self._states[k][-1][1][1:])
+            if emitted:
+                out += emitted
+        out += self._states[k][-1][1][1:]
         return out
 
 

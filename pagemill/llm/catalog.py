@@ -33,6 +33,12 @@ def op2_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return round_trip(documents(spark, d), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_token_files(spark: SparkSession, d: str) -> DataFrame:
+    from .rangecoder import write_and_read
+
+    return write_and_read(documents(spark, d), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
 def op4_token_counts(spark: SparkSession, d: str) -> DataFrame:
     from .tokencounts import count_tokens
 
@@ -79,6 +85,7 @@ def op10_nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,

@@ -48,6 +48,13 @@ class ChunkEncoder:
             )
         return _loaded[path, width]
 
+    @staticmethod
+    def symbols(path: str) -> int:
+        """One more than the largest id of a tokenizers file."""
+        from tokenizers import Tokenizer
+
+        return max(Tokenizer.from_file(path).get_vocab().values()) + 1
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text counts as empty."""
         known = self._known
