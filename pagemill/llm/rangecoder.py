@@ -262,14 +262,14 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int)
     """Writes the ids of `documents` (doc_id, text), each with end_id behind, in ascending order of doc_id (null first).
 
     Texts are put in order before they become ids, by one exchange over ranges; rows tied in doc_id follow each other in
-    the order of their texts. Starts within a part are written with it; read_tokens() adds what earlier parts hold.
+    the order of a hash of their texts. Starts within a part are written with it; read_tokens() adds what earlier parts hold.
     """
     symbols_of = ChunkEncoder.symbols(vocabulary)
     if not 0 <= end_id < symbols_of:
         raise ValueError("end_id is not in the vocabulary")
     rows = documents.select(F.col("doc_id").cast("long"), "text")
     parts = parallelism(documents.sparkSession)
-    ordered = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
