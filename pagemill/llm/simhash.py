@@ -44,17 +44,20 @@ def fingerprint(text: str | None, length: int = 3) -> int:
     return int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, length: int = 3) -> DataFrame:
-    """doc_id and the fingerprint of each row as a long with the same bits."""
+def fingerprints(documents: DataFrame, length: int = 3, with_hash: bool = False) -> DataFrame:
+    """doc_id and the fingerprint of each row as a long with the same bits; text_hash too if asked for."""
+
+    extra = ["text_hash"] if with_hash else []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in pieces(batches, "text"):
             values = np.array([fingerprint(t, length) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), *batch.columns[2:]], ["doc_id", "fp", *extra])
 
-    return map_batches(documents.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, fp long")
+    rows = documents.select(F.col("doc_id").cast("long"), "text", *(F.xxhash64("text").alias(x) for x in extra))
+    return map_batches(rows, work, ", ".join(["doc_id long", "fp long", *(f"{x} long" for x in extra)]))
 
 
 def masks(radius: int) -> list[tuple[int, int]]:
@@ -124,3 +127,27 @@ def near_duplicates(documents: DataFrame, length: int = 3, distance: int = 2) ->
 
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def keep_one(documents: DataFrame, length: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of `documents` that stand for their component, all columns as they were.
+
+    That is the row with the smallest doc_id; of rows tied in it the one with the smallest hash of its text, and of rows
+    equal in both one. A component without any doc_id keeps one row by the same rule. What decides are narrow rows; of
+    the documents only one exchange is needed, for a left semi join on (doc_id, hash of the text), and where the table
+    repeats rows another for those that are left.
+    """
+    rows = checkpointed(fingerprints(documents.select("doc_id", "text"), length, with_hash=True))
+    prints = checkpointed(rows.select("fp").distinct())
+    labels = components(links(prints, distance)).toDF("fp", "label")
+    classes = prints.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    # the least row of each fingerprint first, then of each component
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    least = rows.groupBy("fp").agg(F.min(place).alias("place")).join(classes, "fp").groupBy("label").agg(F.min("place").alias("place"))
+    stay = least.select(F.col("place.doc_id").alias("k1"), F.col("place.text_hash").alias("k2"))
+    one = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"))
+    kept = one.join(
+        stay, F.col("row.doc_id").cast("long").eqNullSafe(F.col("k1")) & (F.xxhash64("row.text") == F.col("k2")), "left_semi"
+    ).select("row.*")
+    repeats = rows.groupBy("doc_id", "text_hash").count().where("count > 1")
+    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

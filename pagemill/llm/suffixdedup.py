@@ -40,7 +40,7 @@ CUT_BYTES, ARRAY_BYTES = 2 << 20, 128 << 10
 BASE = 0x9E3779B97F4A7C15
 LEAST = -(1 << 63)  # stands for a null doc_id
 
-SEGMENTS = "target int, doc_ids binary, text_hashes binary, docs binary, starts binary, sizes binary, payload binary, kind int"
+SEGMENTS = "target int, doc_ids binary, text_hashes binary, places binary, payload binary, kind int"
 NAMES = [x.split()[0] for x in SEGMENTS.split(", ")]
 SPANS = "doc_id long, text_hash long, begins binary, ends binary"
 
@@ -169,55 +169,73 @@ def shared_windows(keys: list[bytes], ids: list[int], length: int) -> list[tuple
     np.add.at(inside, begins + sizes - length + 1, -1)
     valid = np.cumsum(inside[: len(h)]) > 0
     ordered = np.sort(h[valid])
-    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
     del ordered
-    if not len(again):
+    # a table of the hashes' last bits passes few others, which the exact look at equal hashes then drops
+    bits = np.uint64((1 << max(16, len(again).bit_length() + 4)) - 1)
+    table = np.zeros(int(bits) + 1, bool)
+    table[again & bits] = True
+    hits = np.flatnonzero(valid & table[h & bits])
+    hits = hits[np.argsort(h[hits], kind="stable")]
+    owner = np.searchsorted(begins, hits, "right") - 1
+    equal, of = h[hits], np.array(ids, np.int64)[owner]
+    edges = np.flatnonzero(np.append(True, equal[1:] != equal[:-1])) if len(equal) else np.array([], np.int64)
+    if not len(edges):
         return []
-    k = np.minimum(np.searchsorted(again, h), len(again) - 1)
-    hits = np.flatnonzero(valid & (again[k] == h))
-    chosen = np.unique(np.searchsorted(begins, hits, "right") - 1)
+    several = np.minimum.reduceat(of, edges) < np.maximum.reduceat(of, edges)
+    several = np.repeat(several, np.diff(np.append(edges, len(equal))))
+    hits, owner = hits[several], owner[several]
+    if not len(hits):
+        return []
+    # of each segment, the bytes from its first to its last window in question
+    chosen, which = np.unique(owner, return_inverse=True)
+    first, last = np.full(len(chosen), len(data)), np.zeros(len(chosen), np.int64)
+    np.minimum.at(first, which, hits)
+    np.maximum.at(last, which, hits)
     # equal windows have equal least parts: segments of one least part must be in one array, others need not
-    parts = np.array([least_parts(np.frombuffer(keys[i], np.uint8), length)[0] for i in chosen])
+    whole = least_parts(data, length)
+    parts = whole[first]
     out: list[tuple[int, np.ndarray]] = []
     turn = np.argsort(parts, kind="stable")
-    group: list[int] = []
+    cut_at: list[tuple[int, int, int]] = []
     total = 0
     for n, t in enumerate(turn):
-        group.append(int(chosen[t]))
-        total += len(keys[chosen[t]]) + 1
-        last = n + 1 == len(turn)
-        if last or total >= ARRAY_BYTES and parts[turn[n + 1]] != parts[t]:
-            out += _in_array(group, keys, ids, length)
-            group, total = [], 0
+        cut_at.append((int(chosen[t]), int(first[t]), int(last[t]) + length))
+        total += cut_at[-1][2] - cut_at[-1][1] + 1
+        if n + 1 == len(turn) or total >= ARRAY_BYTES and parts[turn[n + 1]] != parts[t]:
+            for k, windows in _in_array([data[a:b] for _, a, b in cut_at], [ids[i] for i, _, _ in cut_at], length):
+                i, a, _ = cut_at[k]
+                out.append((i, windows + a - begins[i]))
+            cut_at, total = [], 0
     return out
 
 
-def _in_array(group: list[int], keys: list[bytes], ids: list[int], length: int) -> list[tuple[int, np.ndarray]]:
-    """shared_windows() of some of the segments, from the suffix array of them all."""
+def _in_array(texts: list[np.ndarray], ids: list[int], length: int) -> list[tuple[int, np.ndarray]]:
+    """shared_windows() of some texts, from the suffix array of them all."""
     import numpy as np
 
-    sizes = np.array([len(keys[i]) + 1 for i in group])
+    sizes = np.array([len(t) + 1 for t in texts])
     begins = np.cumsum(sizes) - sizes
-    data = np.zeros(int(sizes.sum()), np.int16)  # segments end in 0, below every byte
-    for i, b in zip(group, begins, strict=True):
-        data[b : b + len(keys[i])] = np.frombuffer(keys[i], np.uint8).astype(np.int16) + 1
+    data = np.zeros(int(sizes.sum()), np.int16)  # texts end in 0, below every byte
+    for t, b in zip(texts, begins, strict=True):
+        data[b : b + len(t)] = t.astype(np.int16) + 1
     order = np.array(suffix_array(data.tolist()), np.int64)
     owner = np.searchsorted(begins, order, "right") - 1
-    whole = order + length <= begins[owner] + sizes[owner] - 1  # `length` bytes are left in the segment
+    whole = order + length <= begins[owner] + sizes[owner] - 1  # `length` bytes are left in the text
     order, owner = order[whole], owner[whole]
     same = np.ones(max(0, len(order) - 1), bool)
     for k in range(length):
         live = np.flatnonzero(same)
         same[live] = data[order[live] + k] == data[order[live + 1] + k]
     run = np.append(0, np.cumsum(~same))[: len(order)]
-    of_owner = np.array([ids[i] for i in group], np.int64)[owner]
+    of = np.array(ids, np.int64)[owner]
     least = np.full(int(run[-1]) + 1 if len(run) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(least, run, of_owner)
-    found = of_owner > least[run]
-    out = []
-    for o in np.unique(owner[found]):
-        out.append((group[o], np.sort(order[found & (owner == o)] - begins[o])))
-    return out
+    np.minimum.at(least, run, of)
+    found = of > least[run]
+    order, owner = order[found], owner[found]
+    turn = np.lexsort((order, owner))
+    order, owner = order[turn], owner[turn]
+    return [(int(owner[a]), order[a:b] - begins[owner[a]]) for a, b in _runs(owner)]
 
 
 def _merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,6 +271,28 @@ def _bytes_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def packed(packer, docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Three columns of one row, as differences where they ascend."""
+    import numpy as np
+
+    fresh = np.append(True, docs[1:] != docs[:-1])
+    steps = np.where(fresh, starts, starts - np.append(0, starts[:-1]))
+    return packer.compress(b"".join(x.astype(k).tobytes() for x, k in ((np.diff(docs, prepend=0), "<i4"), (steps, "<i8"), (sizes, "<i4"))))
+
+
+def unpacked(opener, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    import numpy as np
+
+    raw = opener.decompress(data)
+    n = len(raw) // 16
+    docs = np.cumsum(np.frombuffer(raw, "<i4", n))
+    steps, sizes = np.frombuffer(raw, "<i8", n, 4 * n), np.frombuffer(raw, "<i4", n, 12 * n).astype(np.int64)
+    total = np.cumsum(steps)
+    first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
+    before = np.repeat(total[first] - steps[first], np.diff(np.append(first, n)))
+    return docs, total - before, sizes
+
+
 def to_segments(documents: DataFrame, length: int, targets: int) -> DataFrame:
     """Segments of all documents, one row for each task's batch and target; of segments repeated in a batch, spans instead."""
 
@@ -260,7 +300,7 @@ def to_segments(documents: DataFrame, length: int, targets: int) -> DataFrame:
         import numpy as np
         import zstandard
 
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in pieces(batches, "text"):
             ids = [LEAST if x is None else x for x in batch.column(0).to_pylist()]
             hashes = np.array(batch.column(1).to_pylist(), np.int64)
@@ -281,7 +321,7 @@ def to_segments(documents: DataFrame, length: int, targets: int) -> DataFrame:
                 rows: list[tuple] = []
                 if len(gone):
                     for k, b, e in _spans(number[gone], start[gone], start[gone] + size[gone]):
-                        rows.append((int(hashes[k]) % targets, all_ids[k : k + 1].tobytes(), hashes[k : k + 1].tobytes(), b"", b, e, b"", 1))
+                        rows.append((int(hashes[k]) % targets, all_ids[k : k + 1].tobytes(), hashes[k : k + 1].tobytes(), b, e, 1))
                 left = np.flatnonzero(stay)
                 target = (part[left] % np.uint64(targets)).astype(np.int64)
                 turn = np.argsort(target, kind="stable")
@@ -290,11 +330,10 @@ def to_segments(documents: DataFrame, length: int, targets: int) -> DataFrame:
                     some = left[a:b]
                     docs, which = np.unique(number[some], return_inverse=True)
                     rows.append((
-                        int(target[a]), all_ids[docs].tobytes(), hashes[docs].tobytes(), which.astype("<i4").tobytes(),
-                        start[some].astype("<i8").tobytes(), size[some].astype("<i4").tobytes(),
+                        int(target[a]), all_ids[docs].tobytes(), hashes[docs].tobytes(), packed(packer, which, start[some], size[some]),
                         packer.compress(b"".join([keys[i] for i in some])), 0,
                     ))
-                kinds = [pa.int32(), *[pa.binary()] * 6, pa.int32()]
+                kinds = [pa.int32(), *[pa.binary()] * 4, pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], NAMES)
 
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").where(F.octet_length("text") >= length)
@@ -316,23 +355,23 @@ def repeated_spans(segments: DataFrame, length: int, targets: int) -> DataFrame:
         sizes: list[np.ndarray] = []
         spans: list[tuple[int, bytes, bytes]] = []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                _, ids, hashes, docs, start, size, payload, kind = row
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, ids, hashes, places, payload, kind = row
                 keys = [*zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(hashes, "<i8").tolist(), strict=True)]
                 for key in keys:
                     if key not in known:
                         known[key] = len(doc_keys)
                         doc_keys.append(key)
                 if kind:
-                    spans.append((known[keys[0]], start, size))
+                    spans.append((known[keys[0]], places, payload))
                     continue
-                which = np.frombuffer(docs, "<i4")
-                starts.append(np.frombuffer(start, "<i8"))
-                sizes.append(np.frombuffer(size, "<i4").astype(np.int64))
+                which, start, size = unpacked(opener, places)
+                starts.append(start)
+                sizes.append(size)
                 doc_of.append(np.array([known[k] for k in keys], np.int32)[which])
-                raw, ends = opener.decompress(payload), np.cumsum(sizes[-1])
+                raw, ends = opener.decompress(payload), np.cumsum(size)
                 seen.add(
-                    [raw[a:b] for a, b in zip((ends - sizes[-1]).tolist(), ends.tolist(), strict=True)],
+                    [raw[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)],
                     np.frombuffer(ids, "<i8")[which].tolist(),
                 )
         none = np.array([], np.int64)
@@ -356,32 +395,59 @@ def repeated_spans(segments: DataFrame, length: int, targets: int) -> DataFrame:
     return map_batches(segments.repartitionById(targets, F.col("target")), work, SPANS)
 
 
+def squeezed(documents: DataFrame) -> DataFrame:
+    """doc_id, the hash of the text and the text in compressed form, for an exchange of whole texts; a null text is empty."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([packer.compress(t) for t in _bytes_of(batch, 2)], pa.binary())], ["doc_id", "text_hash", "packed"])
+
+    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return map_batches(rows, work, "doc_id long, text_hash long, packed binary")
+
+
+def spans_to_remove(documents: DataFrame, length: int, targets: int | None) -> DataFrame:
+    """k1 and k2 (doc_id, null as LEAST, and hash of the text) with the `spans` of each document that loses bytes."""
+    targets = targets or 2 * parallelism(documents.sparkSession)
+    found = repeated_spans(to_segments(documents, length, targets), length, targets)
+    return found.groupBy(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2")).agg(
+        F.collect_list(F.struct("begins", "ends")).alias("spans")
+    )
+
+
+def without(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
+    """What is left of a text, the bytes removed and the spans they form."""
+    import numpy as np
+
+    if not spans:
+        return text, 0, 0
+    b, e = _merged(*(np.frombuffer(b"".join(s[x] for s in spans), "<i8") for x in ("begins", "ends")))
+    edges = [0, *np.stack([b, e], 1).ravel().tolist(), len(text)]
+    return b"".join([text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)]), int((e - b).sum()), len(b)
+
+
 def strip_repeats(documents: DataFrame, length: int = 50, targets: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of each row of `documents` (doc_id, text).
 
     targets: tasks that segments are dealt to; more for larger tables, results don't depend on it. Repeated rows give
     a row each; other columns don't matter; an empty table gives an empty result.
     """
-    targets = targets or 2 * parallelism(documents.sparkSession)
-    found = repeated_spans(to_segments(documents, length, targets), length, targets)
-    spans = found.groupBy(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2")).agg(
-        F.collect_list(F.struct("begins", "ends")).alias("spans")
-    )
-    rows = documents.select(F.col("doc_id").cast("long"), "text").withColumn("key", F.coalesce("doc_id", F.lit(LEAST)))
-    joined = rows.join(spans, (F.col("key") == F.col("k1")) & (F.xxhash64("text") == F.col("k2")), "left").select("doc_id", "text", "spans")
+    spans = spans_to_remove(documents, length, targets)
+    rows = squeezed(documents).withColumn("key", F.coalesce("doc_id", F.lit(LEAST)))
+    joined = rows.join(spans, (F.col("key") == F.col("k1")) & (F.col("text_hash") == F.col("k2")), "left").select("doc_id", "packed", "spans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+        import zstandard
 
-        for batch in pieces(batches, "text"):
+        opener = zstandard.ZstdDecompressor()
+        for batch in pieces(batches, "packed"):
             out = []
             for doc_id, text, spans in zip(batch.column(0).to_pylist(), _bytes_of(batch, 1), batch.column(2).to_pylist(), strict=True):
-                kept, removed, count = text, 0, 0
-                if spans:
-                    b, e = _merged(*(np.frombuffer(b"".join(s[x] for s in spans), "<i8") for x in ("begins", "ends")))
-                    edges = [0, *np.stack([b, e], 1).ravel().tolist(), len(text)]
-                    kept = b"".join([text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)])
-                    removed, count = int((e - b).sum()), len(b)
+                text = opener.decompress(text)
+                kept, removed, count = without(text, spans)
                 out.append((doc_id, len(text), removed, count, hashlib.sha256(kept).hexdigest(), kept))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], RESULT)
@@ -390,3 +456,24 @@ def strip_repeats(documents: DataFrame, length: int = 50, targets: int | None =
 
 
 RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+
+
+def strip_documents(documents: DataFrame, length: int = 50, targets: int | None = None) -> DataFrame:
+    """`row` (all columns of `documents`, as a struct) and `text` without what strip_repeats() removes; null stays null.
+
+    What is left of a character that a cut goes through becomes U+FFFD.
+    """
+    spans = spans_to_remove(documents.select("doc_id", "text"), length, targets)
+    rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"))
+    key = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LEAST))
+    joined = rows.join(spans, (key == F.col("k1")) & (F.xxhash64("row.text") == F.col("k2")), "left").select("row", F.col("row.text").alias("text"), "spans")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            texts = [
+                t if t is None or not s else without(t.encode(), s)[0].decode(errors="replace")
+                for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
+
+    return joined.mapInArrow(work, joined.drop("spans").schema)
