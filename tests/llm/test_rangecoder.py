@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from pagemill.llm import rangecoder
 from pagemill.llm.catalog import op3_token_files
-from pagemill.llm.rangecoder import BLOCK_IDS, read_segment, write_and_read, write_segment
+from pagemill.llm.rangecoder import read_segment, write_and_read, write_segment
 
 from .conftest import ODD
 
@@ -42,7 +42,15 @@ def test_odd_rows(make, monkeypatch):
     assert write_and_read(make([]), PATH, 2).collect() == []
 
 
-@pytest.mark.parametrize("n,symbols", [(0, 3), (1, 1), (7, 1), (5000, 2), (BLOCK_IDS, 300), (3 * BLOCK_IDS + 17, 50_257)])
+BLOCK_IDS = 1500
+
+
+@pytest.fixture(autouse=True)
+def short_blocks(monkeypatch):
+    monkeypatch.setattr(rangecoder, "BLOCK_IDS", BLOCK_IDS)
+
+
+@pytest.mark.parametrize("n,symbols", [(0, 3), (1, 1), (7, 1), (1200, 2), (BLOCK_IDS, 300), (3 * BLOCK_IDS + 17, 50_257)])
 @pytest.mark.parametrize("kind", ["even", "skewed", "repeating"])
 def test_round_trip(n, symbols, kind):
     rng = np.random.default_rng(n)
@@ -73,9 +81,10 @@ def test_blocks_are_independent_and_checked():
             read_segment(bytes(broken))
 
 
-def test_text_is_compressed_below_its_entropy_of_single_ids(docs):
-    ids = np.array([i for _, t in docs[:100] for i in LIBRARY.encode(t).ids], "<u4")
+def test_text_is_compressed_below_its_entropy_of_single_ids(docs, monkeypatch):
+    ids = np.array([i for _, t in docs[:30] for i in LIBRARY.encode(t).ids], "<u4")
     share = np.bincount(ids)[np.unique(ids)] / len(ids)
     assert len(write_segment(ids, 50_257)) * 8 < 16 * len(ids)
+    monkeypatch.setattr(rangecoder, "BLOCK_IDS", 16_000)
     repeated = np.tile(ids[:4000], 4)
     assert len(write_segment(repeated, 50_257)) * 8 < -(share * np.log2(share)).sum() * len(repeated)
