@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -28,6 +27,7 @@ from pagemill.operators.tokens import html_tokens, token_attrs
 from pagemill.plans import corpus as PC
 from pagemill.plans import refresh as PR
 from pagemill.sources import tables as IO
+from pagemill.sources import versions as IV
 from pagemill.streaming import jobs as ST
 
 from . import views as V
@@ -47,9 +47,9 @@ def md5(c: Column | str) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared place the cluster names; a local one only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='pagemill-')}/{uuid.uuid4().hex}"
+    """A new folder in a place that driver and executors share: the one named in spark.checkpoint.dir, else the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared}/scratch-{uuid.uuid4().hex}"
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
@@ -157,8 +157,9 @@ def m12_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r8_special_paths(spark: SparkSession, d: str) -> DataFrame:
+    page_name = F.when(F.col("request_id") % 23 == 0, "wp-login.php")
     return classified(spark, d).select(
-        "request_id", Q.is_sitemap().alias("is_sitemap"), Q.is_robots().alias("is_robots"), Q.is_auth().alias("is_auth")
+        "request_id", Q.is_sitemap().alias("is_sitemap"), Q.is_robots().alias("is_robots"), Q.is_auth(page_name).alias("is_auth")
     )
 
 
@@ -202,23 +203,34 @@ def upserted(spark: SparkSession, d: str) -> DataFrame:
     return K.upsert_entries(old, newer).select("cache_key", "page_id", "markdown", stamp("stored_at").alias("stored_at"))
 
 
-def late_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Changes up to day 12 only, so that some entries stay."""
-    return invalidating(spark, d).where(F.col("ts") < F.lit("2024-01-12").cast("timestamp"))
-
-
 def j8_stale(spark: SparkSession, d: str) -> DataFrame:
-    return K.mark_stale(V.store(spark, d), late_changes(spark, d), V.as_of()).select("cache_key", "page_id", "stale")
+    return K.mark_stale(V.store(spark, d), invalidating(spark, d), V.as_of()).select("cache_key", "page_id", "stale")
 
 
 def j9_refresh(spark: SparkSession, d: str) -> DataFrame:
-    live = K.serveable(V.store(spark, d), late_changes(spark, d), CFG, V.as_of())
+    live = K.serveable(V.store(spark, d), invalidating(spark, d), CFG, V.as_of())
     return K.pages_to_refresh(PC.keyed_pages(V.pages(spark, d), CFG, V.SITE), live).select("page_id", "cache_key")
 
 
 def c6_refresh(spark: SparkSession, d: str) -> DataFrame:
-    done = PR.refresh_corpus(V.pages(spark, d), V.store(spark, d), late_changes(spark, d), CFG, V.as_of(), V.SITE)
-    return done.select("cache_key", "page_id", "language", md5("markdown").alias("markdown_md5"), stamp("stored_at").alias("stored_at"))
+    root = scratch(spark)
+    IV.write_version(spark, V.store(spark, d), root)
+    done = PR.refresh_corpus(V.pages(spark, d), IV.read_version(spark, root), invalidating(spark, d), CFG, V.as_of(), V.SITE)
+    IV.write_version(spark, done, root)
+    return IV.read_version(spark, root).select("cache_key", "page_id", "language", md5("markdown").alias("markdown_md5"), stamp("stored_at").alias("stored_at"))
+
+
+def c4_clear_all(spark: SparkSession, d: str) -> DataFrame:
+    """A store is written as a version and cleared by an empty one: the first stays, the current one is empty."""
+    root = scratch(spark)
+    IV.write_version(spark, V.store(spark, d), root)
+    IV.write_version(spark, K.clear_all(IV.read_version(spark, root)), root)
+    states = (("before", V.store(spark, d)), ("current", IV.read_version(spark, root)), ("first version", IV.read_version(spark, root, 1)))
+    counts = [
+        df.agg(F.count("*").alias("entries"), F.count_distinct("cache_key").alias("keys")).select(F.lit(name).alias("state"), "entries", "keys")
+        for name, df in states
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 def _drain(writer) -> None:
@@ -227,16 +239,21 @@ def _drain(writer) -> None:
 
 
 def t1_convert_stream(spark: SparkSession, d: str) -> DataFrame:
-    out, state = scratch(spark), scratch(spark)
-    stream = IO.stream_pages(spark, f"{d}/pages*.parquet").withColumn(
-        "captured_at", F.timestamp_add("MINUTE", F.col("page_id").cast("int"), F.lit("2024-01-01").cast("timestamp"))
-    )
+    """Four files, one for each batch, whose days go up and then far back."""
+    inbox, out, state = scratch(spark), scratch(spark), scratch(spark)
+    for part, day in ((2, "2024-01-10"), (3, "2024-01-20"), (1, "2024-01-21"), (0, "2024-01-11")):
+        arrived = V.pages(spark, d).where(F.col("page_id") % 4 == part).withColumn("captured_at", F.lit(day).cast("timestamp"))
+        arrived.coalesce(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(spark.read.parquet(inbox).schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     twice = stream.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).drop("again")
 
     def sink(made: DataFrame, number: int) -> None:
         made.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    _drain(ST.convert_stream(twice, CFG, sink, state, V.SITE))
+    def stored(number: int) -> DataFrame | None:
+        return spark.read.parquet(out).where(F.col("batch") < number) if number else None
+
+    _drain(ST.convert_stream(twice, CFG, sink, stored, state, V.SITE))
     return spark.read.parquet(out).select("page_id", "status", md5("markdown").alias("markdown_md5"), stamp("stored_at").alias("stored_at"))
 
 
@@ -260,10 +277,10 @@ def t3_window_audit(spark: SparkSession, d: str) -> DataFrame:
     counts = ST.eligibility_by_window(_request_stream(spark, d))
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/latest")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    _drain(counts.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True))
-    return spark.read.parquet(f"{out}/latest").withColumn("window_start", stamp("window_start"))
+    _drain(counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True))
+    return ST.latest_windows(spark.read.parquet(out)).withColumn("window_start", stamp("window_start"))
 
 
 QUERIES: dict[str, Query] = {
@@ -302,7 +319,7 @@ QUERIES: dict[str, Query] = {
     "m10_dedupe_adjacent_lines": cleanup_step(C.dedupe_adjacent_lines),
     "m11_reflow": cleanup_step(C.reflow),
     "m12_clean_markdown": m12_clean,
-    "m13_page_title": lambda s, d: V.pages(s, d).select("page_id", FM.page_title(F.col("html")).alias("title")),
+    "m13_page_title": lambda s, d: V.titled_pages(s, d).select("page_id", FM.page_title(F.col("html")).alias("title")),
     "m14_excerpt": lambda s, d: V.posts(s, d).select("post_id", FM.excerpt(F.col("excerpt"), F.col("post_content")).alias("excerpt")),
     "m15_meta_description": lambda s, d: descriptions(s, d),
     "m16_lead_image": m16_lead_image,
@@ -320,7 +337,8 @@ QUERIES: dict[str, Query] = {
     "r8_special_paths": r8_special_paths,
     "r9_type_allowed": r9_type_allowed,
     "r10_hard_exclusion": lambda s, d: decided(s, d).select("request_id", "hard_reason"),
-    "r11_is_noindex": lambda s, d: P.is_noindex(P.post_meta_wide(V.post_meta(s, d))),
+    "r11_is_noindex": lambda s, d: P.is_noindex(P.post_meta_wide(V.post_meta(s, d)).withColumn(
+        "seo_noindex", F.when(F.col("post_id") % 6 == 0, True).when(F.col("post_id") % 6 == 1, False))),
     "r12_supported_view": lambda s, d: decided(s, d, CFG.with_(allow_search=True)).select("request_id", "supported_view"),
     "r13_conditional_exclusion": r13_conditional,
     "r14_eligible": lambda s, d: decided(s, d).select("request_id", "eligible"),
@@ -342,7 +360,7 @@ QUERIES: dict[str, Query] = {
     "c1_cache_key": lambda s, d: PC.keyed_pages(V.pages(s, d), CFG, V.SITE),
     "c2_upsert_entries": upserted,
     "c3_live_entries": lambda s, d: K.live_entries(V.store(s, d), CFG, V.as_of()).select("cache_key", "page_id"),
-    "c4_clear_all": lambda s, d: K.clear_all(V.store(s, d)).select("cache_key", "page_id"),
+    "c4_clear_all": c4_clear_all,
     "c5_invalidation_filter": lambda s, d: invalidating(s, d).select("change_id", "kind", "post_id"),
     "c6_refresh_corpus": c6_refresh,
     "t1_convert_stream": t1_convert_stream,

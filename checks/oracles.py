@@ -15,8 +15,9 @@ BODY_RANK = "CASE WHEN name='body' THEN 0 END"
 BODY_EXCLUDED = DEFAULT_EXCLUDED + " OR contains(classes, ' ad ')"
 
 _MARKUP = (
-    r"<!--.*?(?:-->|\z)|" + "|".join(rf"<{t}\b.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript", "iframe"))
-    + r"""|</?[a-z][^>=]*(?:=\s*(?:"[^"]*"|'[^']*'|)[^>=]*)*>|<[!?/][^>]*>|<|\A"""
+    # written out without look-ahead: one character after the name, or none before the end tag's '>'
+    r"<!--.*?(?:-->|\z)|" + "|".join(rf"<{t}[\s/>].*?(?:</{t}>|</{t}[\s/][^>]*>|\z)" for t in ("script", "style", "noscript", "iframe"))
+    + r"""|</?[a-z][^>=]*(?:=\s*(?:"[^"]*"|'[^']*'|)[^>=]*)*>|</?[a-z].*\z|<[!?/][^>]*>|<[!?/][^>]*\z|<|\A"""
 )
 _SEGMENT = ("(?is)(" + _MARKUP + ")([^<]*)").replace("'", "''")
 _START = r"""(?s)^<[^>=]*(?:=\s*(?:"[^"]*"|'[^']*'|)[^>=]*)*>""".replace("'", "''")
@@ -46,13 +47,17 @@ def trim(x: str) -> str:
 AD = '<div class="ad">'
 SOURCES = {
     "pages": "SELECT page_id, url, html FROM pages",
-    "loose": "SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN replace(html, '<html', '<section') ELSE html END AS html FROM pages",
-    "short": """SELECT page_id, url, CASE WHEN page_id % 7 = 0 THEN '<html lang="en"><body><main>Short</main></body></html>' ELSE html END AS html FROM pages""",
+    "loose": """SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN replace(h, '<article>',
+        '<article><style-guide>Kept</style-guide><noscript-box a="1"/><script>if (a < b) "</p>"</SCRIPT' || chr(10) || ' x><iframe src="i"></iframe ><scripts>Kept</scripts>') ELSE h END
+        || CASE page_id % 8 WHEN 1 THEN 'Tail <a href="x" <b id=1 ' WHEN 5 THEN 'Tail <! a <!doc' ELSE '' END AS html
+        FROM (SELECT *, CASE WHEN page_id % 2 = 0 THEN replace(html, '<html', '<section') ELSE html END AS h FROM pages)""",
+    "short": """SELECT page_id, url, html FROM pages UNION ALL
+        SELECT -1 - page_id, url || '?short', '<html lang="en"><body><main>Short</main></body></html>' FROM pages WHERE page_id % 7 = 0""",
     "dressed": f"""SELECT page_id, url, replace(replace(html, '{AD}', CASE WHEN page_id % 2 = 0
         THEN '<div class="ad" style="color:red;DISPLAY:none">' ELSE '<div style="display:  none" Data-X="1" onclick="f()" onload="g()">' END), '<article>',
         CASE WHEN page_id % 2 = 0
-        THEN '<article><img src="/i.png?a=1&amp;b=2" alt=" A "><img alt="none" src=" "><p><img src="/lost.png"></p><ol><li>One<li>Two <i>x </i><ul><li>In</ul></ol>'
-        ELSE '<article class=" post  entry-content "><p style="display: none">Hidden</p><div><span> </span></div><a href=" JavaScript:x()">S</a><p><a href="/k"></a></p><blockquote><p>Quoted &lt;b&gt;</p></blockquote><pre>a' || chr(10) || '  b</pre><hr><p aria-hidden="true">Off</p>' END) AS html FROM pages""",
+        THEN '<article><style-guide>Kept</style-guide><script>if (a < b) "</p>"</script x><img src="/i.png?a=1&amp;b=2" alt=" A "><img alt="none" src=" "><p><img src="/lost.png"></p><ol><li>One<li>Two <i>x </i><ul><li>In</ul></ol>'
+        ELSE '<article class=" post  entry-content "><p style="display: none">Hidden</p><div><span> </span></div><a href=" JavaScript:x()">S</a><p><a href="/k"></a></p><blockquote><p>Quoted &lt;b&gt;</p></blockquote><pre>a <b>c </b> <a href="/q">l</a><i> d</i>' || chr(10) || '  b</pre><hr><p aria-hidden="true">Off</p>' END) AS html FROM pages""",
 }
 
 
@@ -66,8 +71,9 @@ doc AS (SELECT page_id, CASE
     ELSE regexp_replace(html, '(?i)(<html\b[^>]*>)', '\1<body>') END AS doc FROM src),
 cut AS (SELECT page_id, unnest(range(len(a)))::INT AS pos, unnest(a) AS t, unnest(b) AS x
     FROM (SELECT page_id, regexp_extract_all(doc, '{_SEGMENT}', 1) AS a, regexp_extract_all(doc, '{_SEGMENT}', 2) AS b FROM doc)),
-named AS (SELECT page_id, pos, CASE WHEN t = '<' THEN '' ELSE t END AS tag, CASE WHEN t = '<' THEN t || x ELSE x END AS txt,
-    lower(regexp_extract(t, '^</?([A-Za-z][^\s/>]*)', 1)) AS name FROM cut),
+stray AS (SELECT *, t = '<' OR (regexp_matches(t, '^</?[A-Za-z]') AND t NOT LIKE '%>' AND NOT regexp_matches(t, '(?i)^<(script|style|noscript|iframe)([\s/>]|$)')) AS s FROM cut),
+named AS (SELECT page_id, pos, CASE WHEN s THEN '' ELSE t END AS tag, CASE WHEN s THEN t || x ELSE x END AS txt,
+    CASE WHEN s THEN '' ELSE lower(regexp_extract(t, '^</?([A-Za-z][^\s/>]*)', 1)) END AS name FROM stray),
 tok AS (SELECT *, CASE WHEN tag = '' THEN 'text' WHEN name = '' THEN 'comment' WHEN starts_with(tag, '</') THEN 'close'
     WHEN name IN ('script','style','noscript','iframe') THEN 'raw'
     WHEN name IN ('area','base','br','col','embed','hr','img','input','link','meta','param','source','track','wbr')
@@ -108,7 +114,7 @@ el AS (SELECT e.page_id, e.pos, e.name, 'open' AS kind, least(e.pend, w.p_end)::
 
 
 def texts() -> str:
-    body = r"regexp_replace(regexp_replace(tag, '(?s)^<[^>]*>', ''), '</[A-Za-z]+\s*>$', '')"
+    body = r"regexp_replace(regexp_replace(tag, '(?s)^<[^>]*>', ''), '</[A-Za-z]+([\s/][^>]*)?>$', '')"
     raw = rf"CASE WHEN kind = 'raw' THEN CASE WHEN name IN ('script','style') THEN {body} ELSE regexp_replace({body}, '<[^>]*>', '', 'g') END ELSE '' END"
     return f""",
 lens AS (SELECT e.page_id, e.pos, e.name, e.pend, coalesce(strlen({trim(one_blank("string_agg(t.x, '' ORDER BY t.pos)"))}), 0)::BIGINT AS text_len
@@ -182,7 +188,7 @@ def markdown(el: str = "el3", tx: str = "tx3") -> str:
     flat = one_blank(raw)
 
     def wrap(mark: str) -> str:
-        return f"CASE WHEN filled THEN {lead} || {mark} ELSE '' END"
+        return f"CASE WHEN filled AND pre = 0 THEN {lead} || {mark} ELSE '' END"
 
     return f""",
 ev0 AS (SELECT page_id, pos, 1 AS ph, 0 AS tie, kind AS what, name, CASE WHEN name = 'img' THEN '![' || coalesce(alt,'') || '](' || coalesce(src,'') || ')' WHEN name = 'a' THEN target END AS value, NOT blank AS filled FROM {el}
@@ -213,10 +219,10 @@ ev4 AS (SELECT *, CASE
     WHEN what = 'open' AND name = 'pre' THEN {nl} || '```' || chr(10) || {prefix}
     WHEN what = 'open' AND name IN {BLOCKS} THEN CASE WHEN place = 'mark' THEN '' ELSE chr(10) END
     WHEN what = 'open' AND name IN ('b','strong') THEN {wrap('chr(2)')} WHEN what = 'open' AND name IN ('i','em') THEN {wrap('chr(4)')}
-    WHEN what = 'open' AND name = 'code' AND pre = 0 THEN {wrap("'`'")} WHEN what = 'open' AND name = 'a' AND value IS NOT NULL THEN {lead} || '['
+    WHEN what = 'open' AND name = 'code' AND pre = 0 THEN {wrap("'`'")} WHEN what = 'open' AND name = 'a' AND value IS NOT NULL AND pre = 0 THEN {lead} || '['
     WHEN what = 'close' AND name = 'pre' THEN {nl} || '```' || chr(10) WHEN what = 'close' AND name IN {BLOCKS} THEN chr(10) WHEN what = 'close' AND name IN ('td','th') THEN ' '
-    WHEN what = 'close' AND name IN ('b','strong') AND filled THEN chr(3) WHEN what = 'close' AND name IN ('i','em') AND filled THEN chr(5)
-    WHEN what = 'close' AND name = 'code' AND pre = 0 AND filled THEN '`' WHEN what = 'close' AND name = 'a' AND value IS NOT NULL THEN '](' || value || ')'
+    WHEN what = 'close' AND name IN ('b','strong') AND filled AND pre = 0 THEN chr(3) WHEN what = 'close' AND name IN ('i','em') AND filled AND pre = 0 THEN chr(5)
+    WHEN what = 'close' AND name = 'code' AND pre = 0 AND filled THEN '`' WHEN what = 'close' AND name = 'a' AND value IS NOT NULL AND pre = 0 THEN '](' || value || ')'
     WHEN what = 'void' AND name = 'br' THEN chr(10) WHEN what = 'void' AND name = 'hr' THEN {nl} || '---' || chr(10) WHEN what = 'void' AND name = 'img' THEN {lead} || value
     ELSE '' END AS piece FROM ev3),
 md0 AS (SELECT page_id, string_agg(piece, '' ORDER BY pos, ph, tie) AS md, bool_or(what IN ('open','void') OR (what = 'text' AND {trim('value')} <> '')) AS has FROM ev4 GROUP BY page_id),
@@ -261,7 +267,7 @@ done AS (SELECT {key}, {STEPS['m11_reflow']('md')} AS md FROM deduped)"""
 
 
 TITLE = trim(decode(r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)"))
-LANG = r"""lower(regexp_extract(html, '(?is)<html\b[^>]*\blang\s*=\s*["'']?([A-Za-z]{2,3})', 1))"""
+LANG = r"""lower(regexp_extract(html, '(?is)<html\b[^>]*\blang\s*=\s*["'']?\s*([A-Za-z][A-Za-z0-9_-]*)', 1))"""
 RPATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 HOST = "regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)"
 SELECTOR_TEXT = "main, article, .entry-content, .site-main, #content, body"
@@ -313,7 +319,7 @@ keyed AS (SELECT page_id, {KEY} AS cache_key FROM pages)"""
 CHANGES = f"""{POSTS},
 changes AS (SELECT event_id AS change_id, ts, CASE event_id % 4 WHEN 0 THEN 'settings' WHEN 1 THEN 'post_deleted' ELSE 'post_saved' END AS kind, user_id - 3 AS post_id FROM events WHERE event_type = 'error'),
 inval AS (SELECT * FROM changes WHERE kind = 'settings' OR (post_id > 0 AND post_id IN (SELECT post_id FROM posts WHERE post_type <> 'case_study'))),
-emptied AS (SELECT max(ts) AS gone_at FROM inval WHERE ts < TIMESTAMP '2024-01-12')"""
+emptied AS (SELECT max(ts) AS gone_at FROM inval WHERE ts <= TIMESTAMP '2024-01-20')"""
 ROUTES = f"""{POSTS}, {REQUESTS},
 idx AS (SELECT host, trim(url_path, '/') AS resolved, min(CASE WHEN post_type = 'page' THEN post_id END) AS pm, min(post_id) AS um FROM posts GROUP BY ALL),
 want AS (SELECT request_id, host, trim(md_path, '/') AS p FROM asked WHERE md_path IS NOT NULL),
@@ -334,7 +340,7 @@ ROUGH = f"rough AS (SELECT doc_id, '# ' || text || {FLAWS} || text AS md FROM do
 
 
 def corpus_sql(source: str, description: bool) -> str:
-    about = f", {POSTS}, {META}, {ABOUT}" if description else ", about AS (SELECT page_id, '' AS description FROM pages)"
+    about = f", {POSTS}, {META}, {ABOUT}" if description else ", about AS (SELECT page_id, '' AS description FROM src)"
     return f"""{content(source)}{markdown()}, titled AS (SELECT page_id, md, {TITLE} AS title FROM md JOIN src USING (page_id)),
 {cleaned('titled', 'page_id', "title <> ''").replace('SELECT page_id, generate', 'SELECT page_id, generate')}{about},
 corpus AS (SELECT page_id, {LANG} AS language, CASE WHEN has THEN 'ok' ELSE 'no_content' END AS status, url,
@@ -390,10 +396,11 @@ def build() -> dict[str, str]:
         q[name] = f"WITH {ROUGH} SELECT doc_id, md5({step('md')}) AS md_md5 FROM rough"
     q["m10_dedupe_adjacent_lines"] = f"WITH {ROUGH}, {dedupe('rough', 'doc_id', 'md')} SELECT doc_id, md5(md) AS md_md5 FROM deduped"
     q["m12_clean_markdown"] = f"WITH {ROUGH}, {cleaned('rough', 'doc_id', 'doc_id % 2 = 0')} SELECT doc_id, md5(md) AS md_md5 FROM done"
-    q["m13_page_title"] = f"SELECT page_id, {TITLE} AS title FROM pages"
+    q["m13_page_title"] = f"SELECT page_id, {TITLE} AS title FROM pages"  # what the query puts in front must not count
     q["m14_excerpt"] = f"WITH {POSTS} SELECT post_id, {EXCERPT} AS excerpt FROM posts"
     q["m15_meta_description"] = f"WITH {POSTS}, {META}, {ABOUT} SELECT page_id, description FROM about"
-    q["m16_lead_image"] = "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '![A](/i.png?a=1&amp;b=2)' ELSE '' END AS image FROM pages"
+    q["m16_lead_image"] = f"""WITH {content('dressed')}{inner_html()}, found AS (SELECT page_id, regexp_extract(content, '(?i)<img[^>]+src="([^"]+)"[^>]*>', 0) AS img FROM html)
+        SELECT page_id, CASE WHEN img = '' THEN '' ELSE '![' || trim(regexp_extract(img, '(?i)alt="([^"]*)"', 1)) || '](' || regexp_extract(img, '(?i)src="([^"]+)"', 1) || ')' END AS image FROM found"""
     q["m17_front_matter"] = f"""WITH {POSTS}, {META}, {ABOUT} SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '![A](/i.png)' || chr(10) || chr(10) ELSE '' END || CASE WHEN {TITLE} <> '' THEN '# ' || {TITLE} || chr(10) || chr(10) ELSE '' END
         || 'Source: ' || url || chr(10) || chr(10) || CASE WHEN description <> '' THEN {decode('description')} || chr(10) || chr(10) ELSE '' END || 'Body' AS markdown FROM pages JOIN about USING (page_id)"""
     # the extracted HTML of a page converts to what the page itself gives
@@ -405,10 +412,10 @@ def build() -> dict[str, str]:
         ("r5_md_rewrite_path", "md_path"), ("r6_md_method", "md_method"), ("r7_is_explicit", "is_explicit"),
     ):
         q[name] = f"WITH {REQUESTS} SELECT request_id, {col} FROM asked"
-    q["r8_special_paths"] = f"WITH {REQUESTS} SELECT request_id, path LIKE '%sitemap%.xml' AS is_sitemap, path = '/robots.txt' AS is_robots, path LIKE '%wp-login.php%' AS is_auth FROM asked"
+    q["r8_special_paths"] = f"WITH {REQUESTS} SELECT request_id, path LIKE '%sitemap%.xml' AS is_sitemap, path = '/robots.txt' AS is_robots, path LIKE '%wp-login.php%' OR request_id % 23 = 0 AS is_auth FROM asked"
     q["r9_type_allowed"] = f"WITH {POSTS} SELECT post_id, post_type = 'page' AS allowed FROM posts"
     q["r10_hard_exclusion"] = f"WITH {decided()} SELECT request_id, hard_reason FROM judged"
-    q["r11_is_noindex"] = f"WITH {META} SELECT post_id, noindex_value = '1' AS noindex FROM meta"
+    q["r11_is_noindex"] = f"WITH {META} SELECT post_id, CASE post_id % 6 WHEN 0 THEN true WHEN 1 THEN false ELSE noindex_value = '1' END AS noindex FROM meta"
     q["r12_supported_view"] = f"WITH {decided(allow_search=True)} SELECT request_id, supported_view FROM judged"
     q["r13_conditional_exclusion"] = f"WITH {decided()} SELECT request_id, cond_reason FROM judged"
     q["r14_eligible"] = f"WITH {decided()} SELECT request_id, eligible FROM judged"
@@ -435,14 +442,15 @@ def build() -> dict[str, str]:
         CASE WHEN page_id % 2 = 0 THEN TIMESTAMP '2024-01-20' ELSE TIMESTAMP '2023-12-01' END, 1 FROM store WHERE page_id % 3 = 0)
         SELECT cache_key, page_id, markdown, strftime(stored_at, '%Y-%m-%d %H:%M:%S') AS stored_at FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY stored_at DESC, fresh DESC) AS rn FROM both_) WHERE rn = 1"""
     q["c3_live_entries"] = f"WITH {STORE} SELECT cache_key, page_id FROM live"
-    q["c4_clear_all"] = f"WITH {STORE} SELECT cache_key, page_id FROM store WHERE false"
+    q["c4_clear_all"] = f"""WITH {STORE} SELECT 'before' AS state, count(*) AS entries, count(DISTINCT cache_key) AS keys FROM store
+        UNION ALL SELECT 'current', 0, 0 UNION ALL SELECT 'first version', count(*), count(DISTINCT cache_key) FROM store"""
     q["c5_invalidation_filter"] = f"WITH {CHANGES} SELECT change_id, kind, post_id FROM inval"
     q["c6_refresh_corpus"] = f"""WITH {corpus_sql('pages', False)}, {STORE}, {CHANGES},
         valid AS (SELECT * FROM live WHERE stored_at > (SELECT gone_at FROM emptied))
         SELECT cache_key, page_id, language, md5(markdown) AS markdown_md5, strftime(stored_at, '%Y-%m-%d %H:%M:%S') AS stored_at FROM valid
         UNION ALL SELECT k.cache_key, page_id, language, md5(markdown), '2024-01-20 00:00:00' FROM corpus JOIN keyed k USING (page_id) WHERE k.cache_key NOT IN (SELECT cache_key FROM valid)"""
     q["t1_convert_stream"] = f"""WITH {corpus_sql('pages', False)} SELECT page_id, status, md5(markdown) AS markdown_md5,
-        strftime(TIMESTAMP '2024-01-01' + to_minutes(page_id), '%Y-%m-%d %H:%M:%S') AS stored_at FROM corpus"""
+        CASE page_id % 4 WHEN 0 THEN '2024-01-11' WHEN 1 THEN '2024-01-21' WHEN 2 THEN '2024-01-10' ELSE '2024-01-20' END || ' 00:00:00' AS stored_at FROM corpus"""
     q["t2_classify_stream"] = f"WITH {decided()} SELECT request_id, md_method, reason, eligible, eligible_link FROM judged"
     q["t3_eligibility_by_window"] = f"""WITH {decided()} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, coalesce(reason, 'eligible') AS reason, count(*) AS requests
         FROM judged GROUP BY 1, 2"""

@@ -123,24 +123,36 @@ def dressed_pages(spark: SparkSession, d: str) -> DataFrame:
     )
     html = F.replace(
         html, F.lit("<article>"),
-        F.when(even, '<article><img src="/i.png?a=1&amp;b=2" alt=" A "><img alt="none" src=" "><p><img src="/lost.png"></p><ol><li>One<li>Two <i>x </i><ul><li>In</ul></ol>')
+        F.when(even, '<article><style-guide>Kept</style-guide><script>if (a < b) "</p>"</script x><img src="/i.png?a=1&amp;b=2" alt=" A "><img alt="none" src=" "><p><img src="/lost.png"></p><ol><li>One<li>Two <i>x </i><ul><li>In</ul></ol>')
         .otherwise('<article class=" post  entry-content "><p style="display: none">Hidden</p><div><span> </span></div><a href=" JavaScript:x()">S</a><p><a href="/k"></a></p>'
-                   '<blockquote><p>Quoted &lt;b&gt;</p></blockquote><pre>a\n  b</pre><hr><p aria-hidden="true">Off</p>'),
+                   '<blockquote><p>Quoted &lt;b&gt;</p></blockquote><pre>a <b>c </b> <a href="/q">l</a><i> d</i>\n  b</pre><hr><p aria-hidden="true">Off</p>'),
     )
     return pages(spark, d).withColumn("html", html)
 
 
+def titled_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with other titles in a comment, a script and a graphic before their own."""
+    decoys = "<!-- <title>Old</title> --><script>'<title>Js</title>'</script><svg><title>Icon</title></svg>"
+    return pages(spark, d).withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(decoys), F.col("html"))).otherwise(F.col("html")))
+
+
 def short_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of which every seventh has too little text."""
+    """All pages and, beside every seventh of them, one with too little text."""
+    p = pages(spark, d)
     short = F.lit("<html lang=\"en\"><body><main>Short</main></body></html>")
-    return pages(spark, d).withColumn("html", F.when(F.col("page_id") % 7 == 0, short).otherwise(F.col("html")))
+    more = p.where("page_id % 7 = 0").select((-1 - F.col("page_id")).alias("page_id"), F.concat("url", F.lit("?short")).alias("url"), short.alias("html"))
+    return p.select("page_id", "url", "html").unionAll(more)
 
 
 def loose_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of which every second has no html tag."""
-    return pages(spark, d).withColumn(
-        "html", F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("<html"), F.lit("<section"))).otherwise(F.col("html"))
-    )
+    """Pages of which every second has no html tag, every third holds custom elements and an end tag with an
+    attribute, and every fourth ends inside a tag or a comment."""
+    page_id = F.col("page_id")
+    html = F.when(page_id % 2 == 0, F.replace("html", F.lit("<html"), F.lit("<section"))).otherwise(F.col("html"))
+    odd = '<article><style-guide>Kept</style-guide><noscript-box a="1"/><script>if (a < b) "</p>"</SCRIPT\n x><iframe src="i"></iframe ><scripts>Kept</scripts>'
+    html = F.when(page_id % 3 == 0, F.replace(html, F.lit("<article>"), F.lit(odd))).otherwise(html)
+    tail = F.when(page_id % 8 == 1, "Tail <a href=\"x\" <b id=1 ").when(page_id % 8 == 5, "Tail <! a <!doc").otherwise("")
+    return pages(spark, d).withColumn("html", F.concat(html, tail))
 
 
 def captures(spark: SparkSession, d: str) -> DataFrame:

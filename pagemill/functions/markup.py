@@ -29,12 +29,15 @@ ITEM_LEVELS = {
 HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 EMPTY_DROP_TAGS = ("p", "div", "span", "a", "li", *HEADING_TAGS)
 
-_RAW = "|".join(rf"<{t}\b.*?(?:</{t}\s*>|\z)" for t in RAW_TAGS)
-# One piece of markup and the text after it. Quantifiers are possessive, so matching is linear and
-# does not recurse however long the page is; an unclosed comment or raw element takes the rest.
+# A name ends at a blank, a slash or the end of the tag: <style-guide> is not a style element. End tags may
+# carry blanks and attributes.
+RAW_RE = "|".join(rf"<{t}(?=[\s/>]).*?(?:</{t}(?=[\s/>])[^>]*>|\z)" for t in RAW_TAGS)
+# One piece of markup and the text after it. Quantifiers are possessive, so matching does not recurse however
+# long the page is. What is never closed (a comment, a raw element, a declaration, a tag) takes the rest of the
+# page as one piece, so no later piece scans that far again and matching is linear.
 SEGMENT_RE = (
-    rf"(?is)(<!--.*?(?:-->|\z)|{_RAW}"
-    r"""|</?[a-z][^>=]*+(?:=\s*+(?:"[^"]*"|'[^']*'|)[^>=]*+)*+>|<[!?/][^>]*>|<|\A)([^<]*)"""
+    rf"(?is)(<!--.*?(?:-->|\z)|{RAW_RE}"
+    r"""|</?[a-z][^>=]*+(?:=\s*+(?:"[^"]*"|'[^']*'|)[^>=]*+)*+>|</?[a-z].*+|<[!?/][^>]*+(?:>|\z)|<|\A)([^<]*)"""
 )
 
 _ATTR_RE = r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?"""
@@ -76,6 +79,11 @@ def tag_kind(tag: Column, name: Column) -> Column:
     )
 
 
+def is_stray(tag: Column, name: Column) -> Column:
+    """A lone '<', or a tag that the page ends in the middle of: both count as text."""
+    return (tag == "<") | ((name != "") & ~name.isin(*RAW_TAGS) & ~tag.endswith(">"))
+
+
 def attributes(tag: Column) -> Column:
     """Attributes of a start tag as a map: lower-case names, decoded values, first duplicate wins."""
     start = F.regexp_extract(tag, r"""(?s)^<[^>=]*+(?:=\s*+(?:"[^"]*"|'[^']*'|)[^>=]*+)*+>""", 0)
@@ -100,7 +108,7 @@ def attributes(tag: Column) -> Column:
 
 def raw_body(tag: Column, name: Column) -> Column:
     """Text inside a raw element; noscript and iframe hold markup, whose tags are not text."""
-    body = F.regexp_replace(tag, r"(?s)^<[^>]*>|</[A-Za-z]+\s*>$", "")
+    body = F.regexp_replace(tag, r"(?s)^<[^>]*>|</[A-Za-z]+(?:[\s/][^>]*)?>$", "")
     return F.when(name.isin("script", "style"), body).otherwise(F.regexp_replace(body, r"<[^>]*>", ""))
 
 

@@ -18,14 +18,14 @@ SPACE_CLASS = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{20
 _MAYBE_SPACE = r"(?=[\t-\r\x{85}-\x{a0}\x{1680}-\x{3000}])"
 UNEVEN_SPACE = rf" [{SPACE_CLASS}]+|{_MAYBE_SPACE}[{SPACE_CLASS}]+"
 
-ENTITY_RE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+ENTITY_RE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 # Names that need no table.
 EVERYDAY_ENTITIES = (
     ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", "\u00a0"), ("copy", "\u00a9"),
     ("middot", "\u00b7"), ("amp", "&"),
 )
 _OTHER_ENTITY_RE = (
-    r"&(?!(?:" + "|".join(n for n, _ in EVERYDAY_ENTITIES) + r");)(?:#[0-9]|#[xX][0-9a-fA-F]|[A-Za-z][A-Za-z0-9]*;)"
+    r"&(?!(?:" + "|".join(n for n, _ in EVERYDAY_ENTITIES) + r");)(?:#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)"
 )
 
 
@@ -77,11 +77,13 @@ def _code_point(code: Column) -> Column:
 
 def _one_entity(e: Column) -> Column:
     name = F.substring(e, F.lit(2), F.length(e) - 2)
-    digits = F.substring(name, F.lit(2), F.length(name))
-    is_hex = F.lower(digits).startswith("x")
-    code = F.when(
-        is_hex, F.conv(F.substring(digits, F.lit(2), F.length(digits)), 16, 10).try_cast("bigint")
-    ).otherwise(digits.try_cast("bigint"))
+    digits = F.lower(F.substring(name, F.lit(2), F.length(name)))
+    is_hex = digits.startswith("x")
+    # leading zeros, however many, say nothing; more than 18 digits are no code point
+    plain = F.ltrim(F.ltrim(digits, F.lit("x")), F.lit("0"))
+    code = F.when(F.length(plain) > 18, F.lit(-1).cast("bigint")).when(
+        is_hex, F.conv(plain, 16, 10).try_cast("bigint")
+    ).otherwise(F.coalesce(plain.try_cast("bigint"), F.lit(0).cast("bigint")))
     allowed = (
         code.between(32, 126)
         | code.isin(9, 10, 12)

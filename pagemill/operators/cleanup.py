@@ -15,9 +15,26 @@ def demote_h1(md: Column) -> Column:
     return F.regexp_replace(md, r"(?dm)^# ", "## ")
 
 
+# Text without brackets, then the first '[' up to the next ']' and, if it follows, what stands in parentheses. What is
+# never closed takes the rest, so no text is looked at twice, however many brackets it holds.
+_BRACKETS = r"[^\[\]]*+(?:\[(?:\]|[^\]]++(?:\](?:\([^)]*+(?:\)|\z))?|\z))|\]|\z)"
+_LINK = r"(?s)\A([^\[\]]*+)\[([^\]]++)\]\(([^)]++)\)\z"
+_SPACE = " \t\n\x0b\f\r"
+
+
 def tidy_links(md: Column) -> Column:
-    """Blanks just inside link text and target go (M4)."""
-    return F.regexp_replace(md, r"\[\s*([^\]]+?)\s*\]\(\s*([^)]+?)\s*\)", r"[$1]($2)")
+    """Blanks just inside link text and target go (M4). Of a text or target of blanks the last one stays."""
+
+    def bare(value: Column) -> Column:
+        return let(F.btrim(value, F.lit(_SPACE)), lambda x: F.when(x == "", F.right(value, F.lit(1))).otherwise(x))
+
+    def tidy(piece: Column) -> Column:
+        before, text, target = (F.regexp_extract(piece, _LINK, k) for k in (1, 2, 3))
+        link = F.concat(before, F.lit("["), bare(text), F.lit("]("), bare(target), F.lit(")"))
+        return F.when(piece.endswith(")") & piece.rlike(_LINK), link).otherwise(piece)
+
+    pieces = F.regexp_extract_all(md, F.lit(_BRACKETS), F.lit(0))
+    return F.when(md.contains("]("), F.array_join(F.transform(pieces, tidy), "")).otherwise(md)
 
 
 def drop_empty_images(md: Column) -> Column:
@@ -39,7 +56,8 @@ def dedent_and_rstrip(md: Column) -> Column:
     """No indent before headings and links, no blanks at line ends (M8)."""
     md = F.regexp_replace(md, r"(?dm)^[ \t]+(#+\s)", "$1")
     md = F.regexp_replace(md, r"(?dm)^[ \t]+(\[)", "$1")
-    return F.regexp_replace(md, r"(?dm)[ \t]+$", "")
+    # a run of blanks is tried once, from its beginning
+    return F.regexp_replace(md, r"(?dm)(?<![ \t])[ \t]++$", "")
 
 
 def filled_lines(md: Column) -> Column:

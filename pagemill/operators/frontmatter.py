@@ -6,18 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..functions import markup as M
 from ..functions import text as T
 
 EXCERPT_WORDS = 55
 
 
 def page_title(html: Column) -> Column:
-    """Text of the title element, decoded and trimmed, '' when missing."""
-    return T.trim(T.decode_entities(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
+    """Text of the title element, decoded and trimmed, '' when missing (M13). Comments, scripts and inline graphics
+    that stand before it may hold another; where there are any they are taken out first."""
+    start, element = r"(?i)<title(?=[\s/>])", r"(?is)<title(?=[\s/>])[^>]*>(.*?)</title(?=[\s/>])[^>]*>"
+    head = F.get(F.split(html, start, 2), F.lit(0))
+    bare = F.regexp_replace(html, rf"(?is)<!--.*?(?:-->|\z)|{M.RAW_RE}|<svg(?=[\s/>]).*?(?:</svg(?=[\s/>])[^>]*>|\z)", "")
+    return T.trim(T.decode_entities(F.regexp_extract(F.when(head.rlike(r"(?i)<(?:!--|script|style|noscript|iframe|svg)"), bare).otherwise(html), element, 1)))
 
 
 def page_language(html: Column) -> Column:
-    lang = F.regexp_extract(html, r"""(?is)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1)
+    """The whole code of the html tag's lang attribute, in lower case, '' when there is none."""
+    lang = F.regexp_extract(html, r"""(?is)<html\b[^>]*\blang\s*=\s*["']?\s*([A-Za-z][A-Za-z0-9_-]*)""", 1)
     return F.lower(lang)
 
 
@@ -34,14 +40,13 @@ def meta_description(seo: Column, meta: Column) -> Column:
 
 def descriptions(posts: DataFrame, meta_wide: DataFrame) -> DataFrame:
     """page_id, description: the metadata description, else the excerpt (M14 behind M15)."""
-    about = posts.join(meta_wide.select("post_id", "description"), "post_id", "left")
     seo = F.col("seo_description") if "seo_description" in posts.columns else F.lit(None).cast("string")
     own = F.col("excerpt") if "excerpt" in posts.columns else F.lit(None).cast("string")
-    meta = meta_description(seo, F.col("description"))
-    return about.select(
-        F.col("post_id").alias("page_id"),
-        F.when(meta != "", meta).otherwise(excerpt(own, F.col("post_content"))).alias("description"),
-    )
+    # the excerpt is made before the join, so that no page text moves
+    short = posts.select("post_id", seo.alias("seo"), excerpt(own, F.col("post_content")).alias("excerpt"))
+    about = short.join(meta_wide.select("post_id", "description"), "post_id", "left")
+    meta = meta_description(F.col("seo"), F.col("description"))
+    return about.select(F.col("post_id").alias("page_id"), F.when(meta != "", meta).otherwise(F.col("excerpt")).alias("description"))
 
 
 def safe_url(c: Column) -> Column:

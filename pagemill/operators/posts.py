@@ -20,8 +20,11 @@ def post_meta_wide(meta: DataFrame, noindex_key: str = NOINDEX_KEY, description_
 
 
 def is_noindex(meta_wide: DataFrame) -> DataFrame:
-    """post_id, noindex: true where the value is '1' (R11)."""
-    return meta_wide.select("post_id", F.coalesce(F.col("noindex_value") == "1", F.lit(False)).alias("noindex"))
+    """post_id, noindex (R11): what the SEO flag says where there is one (column seo_noindex, either way), else true
+    where the metadata value is '1'."""
+    value = F.coalesce(F.col("noindex_value") == "1", F.lit(False))
+    seo = F.col("seo_noindex").cast("boolean") if "seo_noindex" in meta_wide.columns else F.lit(None).cast("boolean")
+    return meta_wide.select("post_id", F.coalesce(seo, value).alias("noindex"))
 
 
 def viewable_types(post_types: DataFrame) -> DataFrame:

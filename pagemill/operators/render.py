@@ -97,8 +97,9 @@ def markdown_piece() -> Column:
     bullet = F.coalesce(F.concat(F.col("item_no").cast("string"), F.lit(". ")), F.lit("- "))
     filled = F.col("filled")
 
+    # inside pre the text stands as it is: no emphasis, code or link marks
     def wrap(mark: str) -> Column:
-        return F.when(filled, F.concat(lead, F.lit(mark))).otherwise("")
+        return F.when(filled & ~in_pre, F.concat(lead, F.lit(mark))).otherwise("")
 
     start = (
         F.when(name == "li", F.concat(new_line, indent, bullet))
@@ -107,17 +108,17 @@ def markdown_piece() -> Column:
         .when(name.isin(*BLOCKS), F.when(place == "mark", "").otherwise("\n"))
         .when(name.isin("b", "strong"), wrap(BOLD_ON))
         .when(name.isin("i", "em"), wrap(ITALIC_ON))
-        .when((name == "code") & ~in_pre, wrap("`"))
-        .when((name == "a") & F.col("value").isNotNull(), F.concat(lead, F.lit("[")))
+        .when(name == "code", wrap("`"))
+        .when((name == "a") & F.col("value").isNotNull() & ~in_pre, F.concat(lead, F.lit("[")))
     )
     stop = (
         F.when(name == "pre", F.concat(new_line, F.lit("```\n")))
         .when(name.isin(*BLOCKS), "\n")
         .when(name.isin(*CELLS), " ")
-        .when(name.isin("b", "strong") & filled, BOLD_OFF)
-        .when(name.isin("i", "em") & filled, ITALIC_OFF)
-        .when((name == "code") & ~in_pre & filled, "`")
-        .when((name == "a") & F.col("value").isNotNull(), F.concat(F.lit("]("), F.col("value"), F.lit(")")))
+        .when(name.isin("b", "strong") & filled & ~in_pre, BOLD_OFF)
+        .when(name.isin("i", "em") & filled & ~in_pre, ITALIC_OFF)
+        .when((name == "code") & filled & ~in_pre, "`")
+        .when((name == "a") & F.col("value").isNotNull() & ~in_pre, F.concat(F.lit("]("), F.col("value"), F.lit(")")))
     )
     single = (
         F.when(name == "br", "\n")

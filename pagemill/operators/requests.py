@@ -90,9 +90,11 @@ def is_robots() -> Column:
     return F.ltrim(F.lower("path"), F.lit("/")) == "robots.txt"
 
 
-def is_auth() -> Column:
+def is_auth(page_name: Column | None = None) -> Column:
+    """A login script in the path, or as the page's own name where the log has it (column page_name)."""
     path = F.lower("path")
-    return F.contains(path, F.lit(LOGIN_SCRIPTS[0])) | F.contains(path, F.lit(LOGIN_SCRIPTS[1]))
+    in_path = F.contains(path, F.lit(LOGIN_SCRIPTS[0])) | F.contains(path, F.lit(LOGIN_SCRIPTS[1]))
+    return in_path if page_name is None else in_path | F.coalesce(page_name.isin(*LOGIN_SCRIPTS), F.lit(False))
 
 
 def type_allowed(cfg: Settings) -> Column:

@@ -71,20 +71,15 @@ def pages_to_refresh(keyed: DataFrame, live: DataFrame) -> DataFrame:
 
 def upsert_entries(old: DataFrame, new: DataFrame) -> DataFrame:
     """Newest entry per key over both tables (C2); at equal times the new table wins, then the higher
-    page_id.
+    page_id. Keys of old are unique.
 
-    Old rows are not regrouped: they are kept unless a new row replaces them, so a small batch against
-    a large store costs one anti join, which Spark broadcasts when the batch's keys are small enough.
+    One full outer join on the key; each side is evaluated once, and old rows are not regrouped.
     """
     rank = F.struct("stored_at", "page_id")
     columns = [c for c in old.columns if c != "cache_key"]
-    newest = new.groupBy("cache_key").agg(F.max_by(F.struct(*columns), rank).alias("row")).select("cache_key", "row.*").select(*old.columns)
-    times = newest.select("cache_key", F.col("stored_at").alias("new_at"))
-    kept = old.alias("o").join(
-        times.alias("t"), (F.col("o.cache_key") == F.col("t.cache_key")) & (F.col("t.new_at") >= F.col("o.stored_at")), "left_anti"
-    )
-    later = old.select(F.col("cache_key"), F.col("stored_at").alias("old_at"))
-    added = newest.alias("n").join(
-        later.alias("l"), (F.col("n.cache_key") == F.col("l.cache_key")) & (F.col("l.old_at") > F.col("n.stored_at")), "left_anti"
-    )
-    return kept.unionByName(added)
+    entry = F.struct(*columns)
+    newest = new.groupBy("cache_key").agg(F.max_by(entry, rank).alias("added"))
+    joined = old.select("cache_key", entry.alias("stored")).join(newest, "cache_key", "full_outer")
+    stays = F.col("added").isNull() | (F.col("stored.stored_at") > F.col("added.stored_at"))
+    row = F.when(F.col("stored").isNotNull() & stays, F.col("stored")).otherwise(F.col("added"))
+    return joined.select("cache_key", row.alias("row")).select("cache_key", "row.*").select(*old.columns)

@@ -42,14 +42,15 @@ def html_tokens(pages: DataFrame, co_located: bool = False, page_info: Column |
         .select("page_id", "info", F.posexplode(F.arrays_zip("tags", "texts")).alias("pos", "seg"))
     )
     tag, after = F.col("seg.tags"), F.col("seg.texts")
-    stray = tag == "<"
+    name = M.tag_name(tag)
+    stray = M.is_stray(tag, name)
     rows = exploded.select(
         "page_id",
         "pos",
         F.when(F.col("pos") == 0, F.col("info")).alias("info"),
         F.when(stray, "").otherwise(tag).alias("tag"),
         F.when(stray, F.concat(tag, after)).otherwise(after).alias("txt"),
-        M.tag_name(tag).alias("name"),
+        F.when(stray, "").otherwise(name).alias("name"),
     )
     out = rows.withColumn("kind", M.tag_kind(F.col("tag"), F.col("name")))
     return out if page_info is not None else out.drop("info")

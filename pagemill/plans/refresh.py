@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from ..config import Settings, Site
 from ..operators.posts import with_post_facts
 from ..operators.requests import classify_requests, decide
-from ..operators.store import pages_to_refresh, serveable, upsert_entries
+from ..operators.store import pages_to_refresh, serveable
 from .corpus import CORPUS_COLUMNS, build_corpus, keyed_pages
 
 
 def missing_pages(pages: DataFrame, live: DataFrame, cfg: Settings, site: Site = Site()) -> DataFrame:
     """Pages to convert, found by key before any page is tokenised. Only (page_id, key) pairs take part
-    in the anti join; the page text is then filtered by id."""
-    todo = pages_to_refresh(keyed_pages(pages, cfg, site), live).select("page_id")
-    return pages.join(todo, "page_id", "left_semi")
+    in the anti join; the page text is then filtered by id. Of pages with one key the highest page_id is made."""
+    todo = pages_to_refresh(keyed_pages(pages, cfg, site), live).groupBy("cache_key").agg(F.max("page_id").alias("page_id"))
+    return pages.join(todo.select("page_id"), "page_id", "left_semi")
 
 
 def refresh_corpus(
@@ -28,10 +28,13 @@ def refresh_corpus(
     site: Site = Site(),
     descriptions: DataFrame | None = None,
 ) -> DataFrame:
-    """The store after a refresh at as_of: live entries stay, misses are converted and added."""
+    """The store after a refresh at as_of: live entries stay, misses are converted and added.
+
+    What is made has no live entry under its key, so the two are put together as they are; nothing is evaluated twice.
+    """
     live = serveable(corpus, invalidating, cfg, as_of).select(*CORPUS_COLUMNS)
     made = build_corpus(missing_pages(pages, live, cfg, site), cfg, as_of, site, descriptions)
-    return upsert_entries(live, made.where(F.col("status") == "ok").select(*CORPUS_COLUMNS))
+    return live.unionByName(made.where(F.col("status") == "ok").select(*CORPUS_COLUMNS))
 
 
 def representation(decided: DataFrame, cfg: Settings) -> DataFrame:
@@ -51,7 +54,7 @@ def representation(decided: DataFrame, cfg: Settings) -> DataFrame:
 def facts_with_entries(facts: DataFrame, keyed: DataFrame, live: DataFrame) -> DataFrame:
     """Post facts plus has_entry: a live entry exists under the post's current key. Done per post, so
     that requests join once."""
-    stored = keyed.join(live.select("cache_key").distinct(), "cache_key", "left_semi").select(
+    stored = keyed.join(live.select("cache_key"), "cache_key", "left_semi").select(
         F.col("page_id").alias("post_id"), F.lit(True).alias("has_entry")
     )
     return facts.join(stored, "post_id", "left")

@@ -7,6 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 
+CORPUS_SCHEMA = "cache_key string, page_id long, markdown string, stored_at timestamp, ttl_s int, status string, language string"
+
+
 def _folders(spark: SparkSession, root: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     path = hadoop.Path(root)
@@ -26,7 +29,8 @@ def current_version(spark: SparkSession, root: str) -> int:
 
 
 def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    return spark.read.parquet(f"{root}/v={version or current_version(spark, root)}")
+    """A version, the current one by default; a version without entries reads as an empty corpus."""
+    return spark.read.schema(CORPUS_SCHEMA).parquet(f"{root}/v={version or current_version(spark, root)}")
 
 
 def write_version(spark: SparkSession, corpus: DataFrame, root: str) -> int:

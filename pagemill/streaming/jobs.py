@@ -1,10 +1,10 @@
-"""Streaming forms (T1-T3). Each runs the batch functions; state is bounded by watermarks."""
+"""Streaming forms (T1-T3). Each runs the batch functions; only the windowed counts keep state, bounded by a watermark."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -15,28 +15,40 @@ from ..plans.refresh import decide_requests
 STREAM_SALT = 16
 
 
-def first_arrivals(pages: DataFrame, cfg: Settings, site: Site = Site()) -> DataFrame:
-    """Each page version once per lifetime: keys are remembered for the time an entry would live."""
-    keyed = pages.withColumn("cache_key", page_columns(cfg, site)["cache_key"])
-    return keyed.withWatermark("captured_at", f"{cfg.ttl_seconds} seconds").dropDuplicatesWithinWatermark(["cache_key"])
+def first_arrivals(pages: DataFrame, stored: DataFrame | None, cfg: Settings, site: Site = Site()) -> DataFrame:
+    """The pages of a batch whose key is neither stored nor held by an earlier capture in the batch. Only keys
+    and ids take part in the joins' comparisons; how old a page is does not matter."""
+    keyed = pages.withColumn("cache_key", page_columns(cfg, site)["cache_key"]).withColumn(
+        "_turn", F.row_number().over(Window.partitionBy("cache_key").orderBy("captured_at", "page_id"))
+    )
+    fresh = keyed.where("_turn = 1").drop("_turn")
+    if stored is not None:
+        fresh = fresh.join(stored.select("cache_key"), "cache_key", "left_anti")
+    return fresh.drop("cache_key")
 
 
 def convert_stream(
-    pages: DataFrame, cfg: Settings, sink: Callable[[DataFrame, int], None], checkpoint: str, site: Site = Site()
+    pages: DataFrame,
+    cfg: Settings,
+    sink: Callable[[DataFrame, int], None],
+    stored: Callable[[int], DataFrame | None],
+    checkpoint: str,
+    site: Site = Site(),
 ) -> DataStreamWriter:
-    """Converts pages (page_id, url, html, captured_at) as they arrive.
+    """Converts pages (page_id, url, html, captured_at) as they arrive, in whatever order.
 
     Windows over positions are batch-only, so the conversion runs in foreachBatch with the same
-    function as the batch job. A replayed batch has the same number, which the sink should use to
-    overwrite its own earlier attempt.
+    function as the batch job. Repeats are found against the stored keys, not by a watermark, so a
+    backfill of old pages loses nothing and no state is kept. A replayed batch has the same number: the
+    sink should use it to overwrite its own earlier attempt, and stored(number) must leave that out.
     """
 
     def convert(batch: DataFrame, number: int) -> None:
-        sink(build_corpus(batch, cfg, F.col("captured_at"), site, carry=("captured_at",)), number)
+        fresh = first_arrivals(batch, stored(number), cfg, site)
+        sink(build_corpus(fresh, cfg, F.col("captured_at"), site, carry=("captured_at",)), number)
 
     return (
-        first_arrivals(pages, cfg, site)
-        .writeStream.option("checkpointLocation", checkpoint)
+        pages.writeStream.option("checkpointLocation", checkpoint)
         .outputMode("append")
         .foreachBatch(convert)
         .trigger(availableNow=True)
@@ -58,3 +70,9 @@ def eligibility_by_window(decided: DataFrame, delay: str = "10 minutes", length:
         .agg(F.count("*").alias("requests"))
         .select(F.col("w.start").alias("window_start"), "reason", "requests")
     )
+
+
+def latest_windows(batches: DataFrame) -> DataFrame:
+    """Counts written in update mode, one folder a batch (`batch`): the last one of each window and reason."""
+    last = F.max_by("requests", "batch").alias("requests")
+    return batches.groupBy("window_start", "reason").agg(last)

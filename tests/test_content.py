@@ -1,5 +1,7 @@
 """Extraction: picking, cutting, cleaning."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,15 +28,36 @@ def extract(spark, texts, cfg=Settings()):
 def test_main_wins_article_follows_short_gives_nothing(spark):
     shell = "<!DOCTYPE html><html><body>{}</body></html>"
     main, article, short = extract(spark, [
-        shell.format(f'<header class="site-header"><nav>Skip this menu with very many links in it, please</nav></header><main>\n<h1>About</h1>\n<p>{LONG}</p>\n</main><footer>Cookie banner, footer</footer>'),
-        shell.format(f"<article><h2>Services</h2><p>{LONG}</p></article>"),
-        shell.format("<main>Short</main>"),
+        shell.format(f"<nav><a href='/x'>Lighthouse tours, boat hire and a calendar of all the tides</a></nav><main><h3>Harbour</h3><p>{LONG}</p></main><footer>Rights</footer>"),
+        shell.format(f"<div>lead</div><article><h4>Tides</h4><p>{LONG}</p></article>"),
+        shell.format("<main>Ebb</main>"),
     ])
-    assert main == f"<h1>About</h1>\n<p>{LONG}</p>"
-    assert article == f"<h2>Services</h2><p>{LONG}</p>"
+    assert main == f"<h3>Harbour</h3><p>{LONG}</p>"
+    assert article == f"<h4>Tides</h4><p>{LONG}</p>"
     assert short == ""
 
 
+def test_custom_elements_and_loose_end_tags_keep_the_rest(spark):
+    got = extract(spark, [
+        f"<main><p>{LONG}</p><style-guide>x</style-guide><p>TAIL</p></main>",
+        f"<main><p>{LONG}</p><script>1</script data-a='>'><iframe-box></iframe-box><p>TAIL</p></main>",
+        f"<main><p>{LONG}</p><noscript>n</noscript ><scripted>y</scripted><p>TAIL</p></main>",
+    ])
+    assert all("<p>TAIL</p>" in g for g in got) and "style-guide" in got[0] and "scripted" in got[2]
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<!", "</ ", "<p =", "<script "])
+def test_unclosed_markup_takes_time_in_proportion(spark, unit):
+    def seconds(n):
+        rows = frame(spark, [unit * n])
+        begin = time.perf_counter()
+        html_tokens(rows).agg(F.sum(F.length("txt"))).collect()
+        return time.perf_counter() - begin
+
+    seconds(1000)
+    assert seconds(40_000) < 4 * seconds(20_000) + 1.5
+
+
 def test_length_rule_counts_collapsed_decoded_bytes(spark):
     def content(text):
         return f"<html><body><main>{text}</main></body></html>"

@@ -1,17 +1,23 @@
 """Rendering, clean-up and front matter."""
 
+import re
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill.config import Settings
+from pagemill.functions import text as T
 from pagemill.functions.text import decode_entities
 from pagemill.operators import cleanup as C
+from pagemill.operators import frontmatter as FM
 from pagemill.operators.frontmatter import excerpt, front_matter, lead_image, meta_description
 from pagemill.plans.corpus import build_corpus, convert_content
 
 PLAIN = Settings(include_h1=False, include_canonical=False, include_excerpt=False)
 
 
-def convert(spark, html, cfg=PLAIN, title="About Us", url="https://example.com/about/", description="A short excerpt."):
+def convert(spark, html, cfg=PLAIN, title="The harbour", url="https://harbour.example/about/", description="Boats and tides."):
     df = spark.createDataFrame([(1, html, title, url, description)], "page_id long, html string, title string, canonical_url string, description string")
     return convert_content(df, cfg).first().markdown
 
@@ -21,21 +27,44 @@ def one(spark, text, step):
 
 
 def test_headings_lists_links(spark):
-    html = '<h2>Services</h2>\n<p>We help with:</p>\n<ul>\n<li>Web design</li>\n<li>Fundraising</li>\n</ul>\n<p>Learn more on <a href="https://example.com/contact/">our contact page</a>.</p>'
-    assert convert(spark, html) == "## Services\nWe help with:\n- Web design\n- Fundraising\nLearn more on [our contact page](https://example.com/contact/)."
+    html = '<h3>Tides</h3>\n<p>Two a day:</p>\n<ol>\n<li>Ebb</li>\n<li>Flood</li>\n</ol>\n<p>See the <a href="https://harbour.example/table">table</a>!</p>'
+    assert convert(spark, html) == "### Tides\nTwo a day:\n1. Ebb\n2. Flood\nSee the [table](https://harbour.example/table)!"
 
 
 def test_front_matter_and_demotion(spark):
-    got = convert(spark, "<h1>Hero heading</h1><p>Copy.</p>", Settings())
-    assert got == "# About Us\n\nSource: https://example.com/about/\n\nA short excerpt.\n\n## Hero heading\nCopy."
-    assert convert(spark, "<h1>Hero</h1><p>Copy.</p>", Settings(), title="").startswith("Source: ")
-    assert "\n# Hero" in convert(spark, "<p>x</p><h1>Hero</h1>", Settings(), title="")
+    got = convert(spark, "<h1>Low water</h1><p>Mind the mud.</p>", Settings())
+    assert got == "# The harbour\n\nSource: https://harbour.example/about/\n\nBoats and tides.\n\n## Low water\nMind the mud."
+    assert convert(spark, "<h1>Slack</h1><p>Wait.</p>", Settings(), title="").startswith("Source: ")
+    assert "\n# Slack" in convert(spark, "<p>x</p><h1>Slack</h1>", Settings(), title="")
 
 
 def test_empty_headings_entities_links_duplicates(spark):
-    assert convert(spark, "<h2></h2><p>Valid</p>") == "Valid"
-    assert convert(spark, '<p>Tom &amp; Jerry</p><p><a href="https://e.com/w/"> Our work </a></p>') == "Tom & Jerry\n[Our work](https://e.com/w/)"
-    assert convert(spark, "<p>Featured</p>\n\n<p>Featured</p>\n\n<p>Other</p><p>Featured</p>") == "Featured\nOther\nFeatured"
+    assert convert(spark, "<h5> </h5><p>Gulls</p>") == "Gulls"
+    assert convert(spark, '<p>Salt &amp; wind</p><p><a href="https://e.com/r"> Row home </a></p>') == "Salt & wind\n[Row home](https://e.com/r)"
+    assert convert(spark, "<p>Wave</p><p>Wave</p>\n<p>Foam</p><p>Wave</p>") == "Wave\nFoam\nWave"
+
+
+def test_marks_and_titles_where_they_do_not_count(spark):
+    assert convert(spark, "<pre>a <b>bold</b> <a href='/k'>l</a> <i>i</i></pre>") == "```\na bold l i\n```"
+    page = "<!-- <title>Old</title> --><script>'<title>Js</title>'</script><html><head><title> New &amp; true</title></head></html>"
+    assert one(spark, page, FM.page_title) == "New & true"
+    assert one(spark, "&#00000065; &#x0000041; &#0; &#99999999999999999999999; &#x110000;", T.decode_entities) == "A A &#0; &#99999999999999999999999; &#x110000;"
+    for code in ("zh-Hant", "zh-CN", "de"):
+        assert one(spark, f"<html lang='{code}'>", FM.page_language) == code.lower()
+
+
+@pytest.mark.parametrize("unit", [" ", "[", "[a", "![", "](", "[x](", "\t\n "])
+def test_clean_up_takes_time_in_proportion(spark, unit):
+    for step in (C.tidy_links, C.dedent_and_rstrip):
+        begin = time.perf_counter()
+        one(spark, unit * (400_000 // len(unit)), step)
+        assert time.perf_counter() - begin < 6
+
+
+@pytest.mark.parametrize("text", ["[ a ]( /x )", "[](y)[ ]( ) [b] (c)", "[x [ a ]( b ) ]( c )", "a](b) [ c ](d", "[]([b]( c ))", "[ [ n ]( m )", "![ i ]( j )"])
+def test_links_are_tidied_as_the_fixed_pattern_does(spark, text):
+    want = re.sub(r"\[\s*([^\]]+?)\s*\]\(\s*([^)]+?)\s*\)", r"[\1](\2)", text)
+    assert one(spark, text, C.tidy_links) == want
 
 
 def test_nesting(spark):
@@ -107,5 +136,5 @@ def test_build_corpus_gives_every_page_a_status(spark):
     cfg = Settings(include_featured_image=True)
     got = {r.page_id: r for r in build_corpus(df, cfg, F.lit("2024-01-20").cast("timestamp")).collect()}
     assert got[1].markdown == f"# A & B\n\nSource: https://e.com/a\n\n![](i.png)\n\n{long}"
-    assert (got[1].language, got[1].status, got[2].status, got[3].status) == ("en", "ok", "no_content", "no_content")
+    assert (got[1].language, got[1].status, got[2].status, got[3].status) == ("en-gb", "ok", "no_content", "no_content")
     assert got[2].markdown is None and got[1].ttl_s == 86400

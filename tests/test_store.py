@@ -8,7 +8,7 @@ from checks import catalog, views
 from pagemill.config import Settings, Site
 from pagemill.operators import store as K
 from pagemill.plans.corpus import build_corpus, keyed_pages
-from pagemill.plans.refresh import missing_pages
+from pagemill.plans.refresh import missing_pages, refresh_corpus
 from pagemill.sources import tables as IO
 from pagemill.sources.versions import current_version, read_version, write_version
 
@@ -59,10 +59,11 @@ def test_key_sees_every_setting(spark):
 
 
 def test_refresh_converts_only_misses(spark):
-    live = K.serveable(views.store(spark, D), catalog.late_changes(spark, D), Settings(), views.as_of())
+    live = K.serveable(views.store(spark, D), catalog.invalidating(spark, D), Settings(), views.as_of())
     todo = missing_pages(views.pages(spark, D), live, Settings(), views.SITE)
     assert todo.count() == 50 - live.where("cache_key like 'md_%'").count()
-    done = catalog.c6_refresh(spark, D)
+    done = refresh_corpus(views.pages(spark, D), views.store(spark, D), catalog.invalidating(spark, D), Settings(), views.as_of(), views.SITE)
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
     assert done.count() == done.select("cache_key").distinct().count()
 
 
@@ -81,7 +82,7 @@ def test_versions_and_results(spark, tmp_path):
     made = build_corpus(views.short_pages(spark, D), Settings(), now())
     out = str(tmp_path / "out")
     IO.write_results(made, out, compact=True)
-    assert IO.read_corpus(spark, out).count() == 42 and IO.read_quarantine(spark, out).count() == 8
+    assert IO.read_corpus(spark, out).count() == 50 and IO.read_quarantine(spark, out).count() == 8
 
 
 def test_bad_pages_do_not_meet_each_other(spark):
