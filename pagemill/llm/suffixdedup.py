@@ -33,9 +33,9 @@ if TYPE_CHECKING:
     import numpy as np
 
 #: Bytes of the parts that segments are dealt by.
-PART = 12
+PART = 10
 #: Bytes worked on at once when texts are cut into segments, and bytes of one suffix array where segments allow it.
-CUT_BYTES, ARRAY_BYTES = 2 << 20, 128 << 10
+CUT_BYTES, ARRAY_BYTES = 3 << 20, 128 << 10
 #: Odd, so that powers of it can be inverted: the base of the hashes.
 BASE = 0x9E3779B97F4A7C15
 LEAST = -(1 << 63)  # stands for a null doc_id
@@ -158,43 +158,51 @@ def shared_windows(keys: list[bytes], ids: list[int], length: int) -> list[tuple
     """(number of a segment, starts of its windows that also occur in a segment with a smaller id), for distinct segments."""
     import numpy as np
 
-    sizes = np.array([len(k) for k in keys], np.int64)
-    if not len(sizes):
+    if not keys:
         return []
-    data = np.frombuffer(b"".join(keys), np.uint8)
-    begins = np.cumsum(sizes) - sizes
-    h = rolling(data, length)
-    inside = np.zeros(len(data) + 1, np.int8)
-    np.add.at(inside, begins, 1)
-    np.add.at(inside, begins + sizes - length + 1, -1)
-    valid = np.cumsum(inside[: len(h)]) > 0
-    ordered = np.sort(h[valid])
+    # hashes of all windows, segment after segment
+    counts = np.array([len(k) - length + 1 for k in keys], np.int64)
+    h = np.empty(int(counts.sum()), np.uint64)
+    begins, done, begin, total = np.cumsum(counts) - counts, 0, 0, 0
+    for i, k in enumerate(keys):
+        total += len(k)
+        if total >= CUT_BYTES or i + 1 == len(keys):
+            sizes = counts[begin : i + 1] + length - 1
+            inside = np.ones(total, bool)
+            for back in range(1, length):
+                inside[np.cumsum(sizes) - back] = False
+            some = rolling(np.frombuffer(b"".join(keys[begin : i + 1]), np.uint8), length)
+            some = some[inside[: len(some)]]
+            h[done : done + len(some)] = some
+            done, begin, total = done + len(some), i + 1, 0
+    ordered = np.sort(h)
     again = ordered[1:][ordered[1:] == ordered[:-1]]
     del ordered
     # a table of the hashes' last bits passes few others, which the exact look at equal hashes then drops
     bits = np.uint64((1 << max(16, len(again).bit_length() + 4)) - 1)
     table = np.zeros(int(bits) + 1, bool)
     table[again & bits] = True
-    hits = np.flatnonzero(valid & table[h & bits])
+    hits = np.flatnonzero(table[h & bits])
     hits = hits[np.argsort(h[hits], kind="stable")]
     owner = np.searchsorted(begins, hits, "right") - 1
     equal, of = h[hits], np.array(ids, np.int64)[owner]
-    edges = np.flatnonzero(np.append(True, equal[1:] != equal[:-1])) if len(equal) else np.array([], np.int64)
+    del h, table
+    edges = np.array([a for a, _ in _runs(equal)], np.int64)
     if not len(edges):
         return []
     several = np.minimum.reduceat(of, edges) < np.maximum.reduceat(of, edges)
     several = np.repeat(several, np.diff(np.append(edges, len(equal))))
-    hits, owner = hits[several], owner[several]
+    hits, owner = (hits - begins[owner])[several], owner[several]
     if not len(hits):
         return []
     # of each segment, the bytes from its first to its last window in question
     chosen, which = np.unique(owner, return_inverse=True)
-    first, last = np.full(len(chosen), len(data)), np.zeros(len(chosen), np.int64)
+    first, last = counts[chosen], np.zeros(len(chosen), np.int64)
     np.minimum.at(first, which, hits)
     np.maximum.at(last, which, hits)
     # equal windows have equal least parts: segments of one least part must be in one array, others need not
-    whole = least_parts(data, length)
-    parts = whole[first]
+    windows = np.frombuffer(b"".join([keys[i][a : a + length] for i, a in zip(chosen.tolist(), first.tolist(), strict=True)]), np.uint8)
+    parts = least_parts(windows, length)[::length]
     out: list[tuple[int, np.ndarray]] = []
     turn = np.argsort(parts, kind="stable")
     cut_at: list[tuple[int, int, int]] = []
@@ -203,9 +211,9 @@ def shared_windows(keys: list[bytes], ids: list[int], length: int) -> list[tuple
         cut_at.append((int(chosen[t]), int(first[t]), int(last[t]) + length))
         total += cut_at[-1][2] - cut_at[-1][1] + 1
         if n + 1 == len(turn) or total >= ARRAY_BYTES and parts[turn[n + 1]] != parts[t]:
-            for k, windows in _in_array([data[a:b] for _, a, b in cut_at], [ids[i] for i, _, _ in cut_at], length):
-                i, a, _ = cut_at[k]
-                out.append((i, windows + a - begins[i]))
+            texts = [np.frombuffer(keys[i], np.uint8, b - a, a) for i, a, b in cut_at]
+            for k, found in _in_array(texts, [ids[i] for i, _, _ in cut_at], length):
+                out.append((cut_at[k][0], found + cut_at[k][1]))
             cut_at, total = [], 0
     return out
 
@@ -252,7 +260,7 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     """Begin and end of each run of equal values."""
     import numpy as np
 
-    edges = [*np.flatnonzero(values[1:] != values[:-1]) + 1]
+    edges = (np.flatnonzero(values[1:] != values[:-1]) + 1).tolist()
     return [*zip([0, *edges], [*edges, len(values)], strict=True)] if len(values) else []
 
 
