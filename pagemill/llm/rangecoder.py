@@ -34,7 +34,7 @@ if TYPE_CHECKING:
     import numpy as np
 
 MAGIC = b"TOK1"
-BLOCK_IDS, LANES = 1 << 14, 512
+BLOCK_IDS, LANES = 1 << 14, 256
 SEGMENT_IDS = BLOCK_IDS * LANES
 #: Ids between two rebuilds of the order-0 sums; slots of the order-1 and order-2 tables; the coder's resolution in bits.
 EPOCH, SLOTS_1, SLOTS_2, TOTAL_BITS = 1024, 1 << 13, 1 << 14, 24
