@@ -95,6 +95,15 @@ def s6_quarantine(spark: SparkSession, d: str) -> DataFrame:
     return IO.quarantine(made).select("page_id", "url", "status")
 
 
+def e5_compile_selectors(spark: SparkSession, d: str) -> DataFrame:
+    """What each selector text became, and how many elements of the pages answer to it."""
+    texts = [x.strip() for x in SELECTORS.split(",")]
+    hits = S.match_selectors(token_attrs(html_tokens(V.pages(spark, d))).where("attrs is not null"), texts).groupBy("rank").agg(F.count("*").alias("n"))
+    return S.compiled_table(spark, texts).join(hits, "rank", "left").select(
+        "rank", "selector", "kind", "key", "value", F.coalesce("n", F.lit(0)).alias("elements")
+    )
+
+
 def e9_drop_excluded(spark: SparkSession, d: str) -> DataFrame:
     tree = E.page_tree(V.dressed_pages(spark, d), BODY)
     return kept(E.drop_subtrees(E.within_content(tree), F.col("excluded")))
@@ -262,7 +271,7 @@ def _request_stream(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
     n = V.pages(spark, d).count()
     asked = IO.read_requests(V.stream_requests(stream, V.pages(spark, d), n))
-    return ST.classify_stream(asked, facts(spark, d), CFG)
+    return ST.classify_stream(asked, IO.write_facts(facts(spark, d), scratch(spark)), CFG)
 
 
 def t2_classify_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -296,6 +305,7 @@ QUERIES: dict[str, Query] = {
     "e2_html_tokens": lambda s, d: html_tokens(V.loose_pages(s, d)).select("page_id", "pos", "kind", "name", md5("tag").alias("tag_md5"), md5("txt").alias("txt_md5")),
     "e3_html_elements": lambda s, d: html_elements(html_tokens(V.dressed_pages(s, d))).select("page_id", "pos", "pend", "name"),
     "e4_token_attrs": lambda s, d: token_attrs(html_tokens(V.dressed_pages(s, d))).select("page_id", "pos", F.explode("attrs").alias("key", "value")),
+    "e5_compile_selectors": e5_compile_selectors,
     "e6_match_selectors": lambda s, d: S.match_selectors(token_attrs(html_tokens(V.pages(s, d))).where("attrs is not null"), [x.strip() for x in SELECTORS.split(",")]),
     "e7_meaningful_text": lambda s, d: html_elements(html_tokens(V.pages(s, d))).where("text_len is not null").select("page_id", "pos", "name", "text_len", (F.col("text_len") >= 50).alias("meaningful")),
     "e8_pick_content": lambda s, d: E.pick_content(E.page_tree(V.short_pages(s, d), CFG)),

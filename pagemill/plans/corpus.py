@@ -55,17 +55,18 @@ def build_corpus(
     descriptions: DataFrame | None = None,
     co_located: bool = False,
     carry: tuple[str, ...] = (),
+    partitions: int | None = None,
 ) -> DataFrame:
     """The whole page path: one scan, one shuffle by page_id, no join but the one for descriptions.
 
-    stored_at may use page columns named in carry.
+    stored_at may use page columns named in carry. partitions: tasks that pages are dealt to; it changes no result.
 
     What is known of a page rides along on its first segment, so nothing is joined back, and a page
     without content still gives a row, with its status. Columns: those of the corpus plus url, title.
     """
     known = page_columns(cfg, site)
     info = F.struct(*[c.alias(n) for n, c in known.items()], *carry)
-    rows = content_rows(pages, cfg, info, with_tags=cfg.include_featured_image, co_located=co_located)
+    rows = content_rows(pages, cfg, info, with_tags=cfg.include_featured_image, co_located=co_located, partitions=partitions)
     made = render_events(content_events(rows), info=True).select(
         "page_id", "info.*", "markdown", "has_content", *(["content"] if cfg.include_featured_image else [])
     )

@@ -78,3 +78,9 @@ def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
 def quarantine(corpus: DataFrame) -> DataFrame:
     """Pages that gave nothing, with the reason."""
     return corpus.where(F.col("status") != "ok").drop("markdown")
+
+
+def write_facts(facts: DataFrame, path: str) -> DataFrame:
+    """The post facts written once, for streams that join them in every batch."""
+    facts.write.mode("errorifexists").parquet(path)
+    return facts.sparkSession.read.schema(facts.schema).parquet(path)

@@ -12,9 +12,6 @@ from ..config import Settings, Site
 from ..plans.corpus import build_corpus, page_columns
 from ..plans.refresh import decide_requests
 
-STREAM_SALT = 16
-
-
 def first_arrivals(pages: DataFrame, stored: DataFrame | None, cfg: Settings, site: Site = Site()) -> DataFrame:
     """The pages of a batch whose key is neither stored nor held by an earlier capture in the batch. Only keys
     and ids take part in the joins' comparisons; how old a page is does not matter."""
@@ -55,10 +52,11 @@ def convert_stream(
     )
 
 
-def classify_stream(requests: DataFrame, facts: DataFrame, cfg: Settings) -> DataFrame:
-    """Per-request decision; the post facts are a static side (T2). A stream is not re-planned at run
-    time, so hot posts are spread by salt."""
-    return decide_requests(requests, facts, cfg, STREAM_SALT)
+def classify_stream(requests: DataFrame, facts: DataFrame, cfg: Settings, salt: int = 1) -> DataFrame:
+    """Per-request decision; the post facts are a static side (T2), best read from a table that write_facts()
+    made, as a plan over posts and metadata would run again in every batch. A stream is not re-planned at run time:
+    where hot posts are known to need it, salt spreads them, at the cost of repeating the facts as often."""
+    return decide_requests(requests, facts, cfg, salt)
 
 
 def eligibility_by_window(decided: DataFrame, delay: str = "10 minutes", length: str = "1 hour") -> DataFrame:
