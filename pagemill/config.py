@@ -73,6 +73,7 @@ class Site:
     page_on_front: int = 0
     posts_page_url: str | None = None
     version: str = "1.0.0"
+    path_variable: str = "md_path"  # the query variable in which the site's own rewrite rule hands on the path
 
 
 def _truthy(value: Any) -> bool:

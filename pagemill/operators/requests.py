@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Settings
+from ..config import Settings, Site
 from ..functions import text as T
 from ..functions.urls import query_value, request_path
 
@@ -16,7 +16,6 @@ VIEW_FLAGS = (
     "admin", "rest", "ajax", "xmlrpc", "feed", "cron", "preview", "404", "search", "archive", "singular",
     "front_page", "home",
 )
-PATH_VARIABLE = "md_path"
 
 
 def flag(view: str) -> Column:
@@ -49,16 +48,16 @@ def markdown_query(cfg: Settings) -> Column:
     return (wanted[0] | wanted[1]) & F.lit(cfg.query_param_enabled)
 
 
-def rewrite_path(cfg: Settings) -> Column:
+def rewrite_path(cfg: Settings, site: Site = Site()) -> Column:
     """The path a '.md' address stands for: '' for the front page, null when no rule applies.
     Unlike R3 the rules are case-sensitive."""
     path = F.ltrim(F.col("path"), F.lit("/"))
     by_rule = F.when(path.rlike(r"^\.md/?$"), "").when(path.rlike(r"\.md/?$"), F.regexp_extract(path, r"^(.+?)\.md/?$", 1))
-    given = query_value(F.col("uri"), PATH_VARIABLE)
+    given = query_value(F.col("uri"), site.path_variable)
     return F.when(given != "", given).when(F.lit(cfg.md_urls_enabled), by_rule)
 
 
-def classify_requests(requests: DataFrame, cfg: Settings) -> DataFrame:
+def classify_requests(requests: DataFrame, cfg: Settings, site: Site = Site()) -> DataFrame:
     """Adds path, the four ways to ask for Markdown, md_method and is_explicit."""
     known = with_view_flags(requests).withColumn("path", request_path(F.col("uri")))
     asked = known.withColumns(
@@ -66,7 +65,7 @@ def classify_requests(requests: DataFrame, cfg: Settings) -> DataFrame:
             "wants_accept": accepts_markdown(cfg),
             "wants_url": markdown_path(cfg),
             "wants_query": markdown_query(cfg),
-            "md_path": rewrite_path(cfg),
+            "md_path": rewrite_path(cfg, site),
         }
     )
     routed = F.coalesce(T.clean_value(F.col("md_path")) != "", F.lit(False))
@@ -109,7 +108,7 @@ def _first_reason(rules: list[tuple[str, Column]]) -> Column:
     return out
 
 
-def hard_reason(cfg: Settings) -> Column:
+def hard_reason(cfg: Settings, page_name: Column | None = None) -> Column:
     """The first rule that rules a request out, null if none does."""
     has_post = F.col("post_status").isNotNull()
     return _first_reason(
@@ -122,7 +121,7 @@ def hard_reason(cfg: Settings) -> Column:
             ("sitemap", is_sitemap()),
             ("robots", is_robots()),
             ("cron", flag("cron")),
-            ("auth", is_auth()),
+            ("auth", is_auth(page_name)),
             ("preview", flag("preview")),
             ("404", flag("404") & F.lit(not cfg.allow_404)),
             ("search", flag("search") & F.lit(not cfg.allow_search)),
@@ -163,8 +162,9 @@ def decide(requests: DataFrame, cfg: Settings) -> DataFrame:
     """Adds hard_reason, cond_reason, reason, eligible, eligible_alternate and eligible_link
     to classified requests that carry their post's facts."""
     known = requests.withColumn("noindex", F.coalesce(F.col("noindex"), F.lit(False)))
+    page_name = F.col("page_name") if "page_name" in requests.columns else None
     judged = known.withColumns(
-        {"hard_reason": hard_reason(cfg), "cond_reason": conditional_reason(cfg), "supported_view": supported_view(cfg)}
+        {"hard_reason": hard_reason(cfg, page_name), "cond_reason": conditional_reason(cfg), "supported_view": supported_view(cfg)}
     )
     eligible = F.col("hard_reason").isNull() & F.col("cond_reason").isNull()
     links_on = cfg.enabled and (cfg.link_headers_enabled or cfg.head_alternate_link)

@@ -60,6 +60,6 @@ def facts_with_entries(facts: DataFrame, keyed: DataFrame, live: DataFrame) -> D
     return facts.join(stored, "post_id", "left")
 
 
-def decide_requests(requests: DataFrame, facts: DataFrame, cfg: Settings, salt: int = 1) -> DataFrame:
+def decide_requests(requests: DataFrame, facts: DataFrame, cfg: Settings, salt: int = 1, site: Site = Site()) -> DataFrame:
     """Classification, post facts, decision: the whole request job up to R16."""
-    return decide(with_post_facts(classify_requests(requests, cfg), facts, salt), cfg)
+    return decide(with_post_facts(classify_requests(requests, cfg, site), facts, salt), cfg)

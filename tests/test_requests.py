@@ -6,6 +6,7 @@ from pagemill.config import Settings, Site, excluded_selector_list, sanitize_set
 from pagemill.functions.urls import markdown_url, request_path
 from pagemill.operators.links import alternate_index, canonical_url
 from pagemill.operators.requests import classify_requests, decide, eligibility_audit
+from pagemill.operators.posts import is_noindex
 from pagemill.operators.routes import resolve_route, route_index
 from pagemill.plans.refresh import representation
 from pagemill.sources.tables import read_requests
@@ -101,3 +102,12 @@ def test_request_path(spark):
     df = spark.createDataFrame([("/a b?x#y",), ("HTTPS://h/p?q",), ("",), ("?q",)], "uri string")
     assert [r.p for r in df.select(request_path(F.col("uri")).alias("p")).collect()] == ["/a b", "/p", "", ""]
     assert df.select(markdown_url(F.lit("").cast("string")).alias("u")).first().u == ""
+
+
+def test_site_variable_page_name_and_seo_flag(spark):
+    row = requests(spark, dict(uri="/x?way=/a/b"), dict(uri="/y")).withColumn("page_name", F.when(F.col("uri") == "/y", "wp-login.php"))
+    made = classify_requests(read_requests(row), Settings(), Site(path_variable="way"))
+    assert {r.uri: r.md_path for r in made.collect()} == {"/x?way=/a/b": "/a/b", "/y": None}
+    assert {r.uri: r.hard_reason for r in decide(made, Settings()).collect()}["/y"] == "auth"
+    meta = spark.createDataFrame([(1, "1", False), (2, "0", True), (3, "1", None), (4, None, None)], "post_id long, noindex_value string, seo_noindex boolean")
+    assert [r.noindex for r in is_noindex(meta).orderBy("post_id").collect()] == [False, True, True, False]
