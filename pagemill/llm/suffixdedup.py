@@ -419,6 +419,8 @@ def squeezed(documents: DataFrame) -> DataFrame:
 
 def spans_to_remove(documents: DataFrame, length: int, targets: int | None) -> DataFrame:
     """k1 and k2 (doc_id, null as LEAST, and hash of the text) with the `spans` of each document that loses bytes."""
+    if length < PART:
+        raise ValueError(f"length must be {PART} at least")
     targets = targets or 2 * parallelism(documents.sparkSession)
     found = repeated_spans(to_segments(documents, length, targets), length, targets)
     return found.groupBy(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2")).agg(

@@ -13,7 +13,6 @@ tasks; every whole document is scored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
