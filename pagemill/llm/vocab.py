@@ -68,11 +68,11 @@ class ChunkEncoder:
                 parts = chunks_of(text)
             else:
                 parts = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-            missing = {x for x in parts if x not in known}
+            missing = set(parts).difference(known)
             if missing and not all(_whole(x) for x in missing):
                 # white space stands beside white space somewhere
                 parts = chunks_of(text)
-                missing = {x for x in parts if x not in known}
+                missing = set(parts).difference(known)
             new |= missing
             cut.append(parts)
         if new:
