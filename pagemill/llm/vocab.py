@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable
 
 #: Chunks remembered by a Python worker before it starts anew: bounds memory, not results.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _loaded: dict[tuple[str, int], "ChunkEncoder"] = {}
