@@ -34,7 +34,7 @@ if TYPE_CHECKING:
     import numpy as np
 
 MAGIC = b"TOK1"
-BLOCK_IDS, LANES = 1 << 14, 256
+BLOCK_IDS, LANES = 1 << 14, 128
 SEGMENT_IDS = BLOCK_IDS * LANES
 #: Ids between two rebuilds of the order-0 sums; slots of the order-1 and order-2 tables; the coder's resolution in bits.
 EPOCH, SLOTS_1, SLOTS_2, TOTAL_BITS = 1024, 1 << 13, 1 << 14, 24
@@ -298,6 +298,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int)
                     start, segment, held, total = start + total, segment + 1, [], 0
         if held:
             yield segment_of()
+        encoder.forget()  # the worker reads segments next, and needs the memory for models
 
     map_batches(ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text"), work, SEGMENTS).write.parquet(path)
 

@@ -55,6 +55,10 @@ class ChunkEncoder:
 
         return max(Tokenizer.from_file(path).get_vocab().values()) + 1
 
+    def forget(self) -> None:
+        """Drops what is remembered; results don't depend on it."""
+        self._known.clear()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text counts as empty."""
         known = self._known
