@@ -4,7 +4,7 @@ import zlib
 import duckdb
 
 from pagemill.llm.catalog import op5_toxicity
-from pagemill.llm.toxicity import Scorer, fit, locate, score, train
+from pagemill.llm.toxicity import Scorer, fit, locate, score, sentences, train
 
 from .conftest import ODD
 
@@ -47,6 +47,46 @@ def test_held_out_accuracy_and_columns(spark, sf):
     assert sum(x >= 0.3 for x in pos) > 0.8 * len(pos) and sum(x >= 0.3 for x in neg) < 0.02 * len(neg)
 
 
+def test_length_alone_raises_no_score(spark):
+    """Clean held-out texts joined to long ones stay clean; a toxic text within such a long one is still found."""
+    d = "/root/testdata/sf0.1"
+    texts = duckdb.sql(f"select doc_id, text, toxic from '{d}/documents.parquet' join '{d}/labels.parquet' using (doc_id) where text is not null").fetchall()
+    scorer = fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    held = [(t, y, scorer.document(t)) for i, t, y in texts if zlib.crc32(str(i).encode()) % 4 == 2]
+    clean = [t for t, y, s in held if not y and s < 0.3]
+    toxic = [t for t, y, _ in held if y and max(map(scorer.sentence, sentences(t))) >= 0.3]
+    for size in (60_000, 200_000, 1_000_000):
+        flagged = found = 0
+        for seed in range(20):
+            rng, parts = random.Random(seed), []
+            while sum(map(len, parts)) < size:
+                parts.append(rng.choice(clean))
+            flagged += scorer.document("\n".join(parts)) >= 0.3
+            parts.insert(rng.randrange(len(parts)), rng.choice(toxic))
+            found += scorer.document("\n".join(parts)) >= 0.3
+        assert flagged <= 1 and found == 20, (size, flagged, found)
+    plain = Scorer(-8.35, {"rude": 12.0})
+    assert plain.document("all is well. " * 100_000) == plain.document("all is well.")
+    assert plain.document("all is well. " * 100_000 + "a rude word.") > 0.9
+
+
+def test_long_texts_are_learned_from(make, spark):
+    """A word that stands in long texts only."""
+    texts = [(i, f"{t} {'all is well. ' * 6000}{'rascal.' if y else ''}", y) for i, (t, y) in enumerate(sample(80, 4))]
+    texts = [(i, t.replace("Blockhead", "").replace("nitwit!", ""), y) for i, t, y in texts]
+    assert all(len(t) > 60_000 for _, t, _ in texts)
+    scorer = fit(make([(i, t) for i, t, _ in texts]), spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int"))
+    assert scorer.document("you rascal.") >= 0.3 > scorer.document("all is well. " * 50_000)
+
+
+def test_fit_is_train_on_whole_texts(make, spark):
+    texts = [(i, t, y) for i, (t, y) in enumerate(sample(200, 3)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts.append(texts[0])
+    one = fit(make([(i, t) for i, t, _ in texts]), spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int"))
+    two = train([t for _, t, _ in texts], [y for *_, y in texts])
+    assert set(one.weights) == set(two.weights) and abs(one.bias - two.bias) < 1e-6
+
+
 def test_held_out_labels_are_not_used(spark, make):
     texts = make([(i, t) for i, (t, _) in enumerate(sample(200, 3))])
     labels = [(i, y, zlib.crc32(str(i).encode()) % 4 == 2) for i, (_, y) in enumerate(sample(200, 3))]
