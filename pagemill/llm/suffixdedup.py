@@ -4,11 +4,14 @@ Where equal strings meet. Every window of `length` bytes has a least k-byte part
 that follow each other and share it form a segment, so each window of a text lies in one segment, and equal windows
 have equal least parts. Segments are dealt out by that part: equal strings meet in one task, and a text moves about
 three times in one exchange, whatever it holds. A segment repeated inside a task of the first step leaves it once.
+A part that very many different segments share, as next to a passage in many documents, would fill one task: such parts
+are counted first, in slots of their hashes, and their windows are dealt out one by one, by the hash of the whole window.
 
 What is decided there. Equal segments are found by their bytes as they arrive: those in documents with a larger doc_id
 are removed, and one stays to stand for its strings, so memory follows the distinct segments of a task. Different
 segments may still share strings, at the ends of what documents have in common. Segments that hold a window whose hash
-occurs again are put into a suffix array (suffixes.py); suffixes that agree in `length` bytes, compared byte by
+occurs again are clipped to such windows, settled by their bytes once more and put into a suffix array (suffixes.py);
+suffixes that agree in `length` bytes, compared byte by
 byte, stand side by side in it, and of each run of them only those with the smallest doc_id stay.
 
 Spans go back to the documents by one join on (doc_id, hash of the text). Rows equal in both are one document. Rows
@@ -38,6 +41,8 @@ PART = 10
 CUT_BYTES, ARRAY_BYTES = 3 << 20, 128 << 10
 #: Odd, so that powers of it can be inverted: the base of the hashes.
 BASE = 0x9E3779B97F4A7C15
+#: Slots that segments are counted in by their part. A part is hot if its slot holds HOT times the mean and HOT_LEAST segments.
+SLOTS, HOT, HOT_LEAST = 1 << 16, 8, 20_000
 LEAST = -(1 << 63)  # stands for a null doc_id
 
 SEGMENTS = "target int, doc_ids binary, text_hashes binary, places binary, payload binary, kind int"
@@ -89,9 +94,17 @@ def least_parts(data: np.ndarray, length: int) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def cut(texts: list[tuple[int, bytes]], length: int) -> tuple[np.ndarray, ...]:
+def slots(parts: np.ndarray) -> np.ndarray:
+    """The slot of each part. Least parts are small numbers, so they are mixed first."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        return (mixed(parts * np.uint64(BASE)) >> np.uint64(20)).astype(np.int64) % SLOTS
+
+
+def cut(texts: list[tuple[int, bytes]], length: int, hot: frozenset[int] = frozenset()) -> tuple[np.ndarray, ...]:
     """Segments of numbered texts: data, and for each segment its text's number, its start there and in data, its size
-    and its least part. A text longer than CUT_BYTES comes in several, each with its own offset, see blocks()."""
+    and what it is dealt by: its least part; each window of a part in a hot slot is a segment dealt by its own hash. A text longer than CUT_BYTES comes in several, each with its own offset, see blocks()."""
     import numpy as np
 
     data = np.frombuffer(b"".join(t for _, t in texts), np.uint8)
@@ -106,6 +119,13 @@ def cut(texts: list[tuple[int, bytes]], length: int) -> tuple[np.ndarray, ...]:
     fresh = np.ones(len(parts), bool)
     fresh[1:] = (parts[1:] != parts[:-1]) | ~inside[:-1]
     fresh[begins[begins < len(parts)]] = True
+    if hot:
+        is_hot = np.zeros(SLOTS, bool)
+        is_hot[[*hot]] = True
+        single = is_hot[slots(parts)]
+        fresh |= single
+        fresh[1:] |= single[:-1]
+        parts = np.where(single, mixed(rolling(data, length)), parts)
     at = np.flatnonzero(fresh & inside)
     stops = np.append(np.flatnonzero(fresh | ~inside), len(parts))
     ends = stops[np.searchsorted(stops, at, "right")]
@@ -207,13 +227,25 @@ def shared_windows(keys: list[bytes], ids: list[int], length: int) -> list[tuple
     turn = np.argsort(parts, kind="stable")
     cut_at: list[tuple[int, int, int]] = []
     total = 0
+    # pieces equal as bytes are settled first: one of the smallest id goes into an array for all of that id
+    clipped = Segments()
+    clipped.add([keys[i][a : b + length] for i, a, b in zip(chosen.tolist(), first.tolist(), last.tolist(), strict=True)], [ids[i] for i in chosen.tolist()])
+    for t in clipped.gone:
+        out.append((int(chosen[t]), np.arange(first[t], last[t] + 1)))
+    stays = np.zeros(len(chosen), bool)
+    stays[[*clipped.stands.values()]] = True
+    turn = turn[stays[turn]]
+    tied = {int(chosen[o]): [(int(chosen[t]), int(first[t] - first[o])) for t in ts] for o, ts in clipped.ties.items()}
+    del clipped
     for n, t in enumerate(turn):
         cut_at.append((int(chosen[t]), int(first[t]), int(last[t]) + length))
         total += cut_at[-1][2] - cut_at[-1][1] + 1
         if n + 1 == len(turn) or total >= ARRAY_BYTES and parts[turn[n + 1]] != parts[t]:
             texts = [np.frombuffer(keys[i], np.uint8, b - a, a) for i, a, b in cut_at]
             for k, found in _in_array(texts, [ids[i] for i, _, _ in cut_at], length):
-                out.append((cut_at[k][0], found + cut_at[k][1]))
+                windows = found + cut_at[k][1]
+                out.append((cut_at[k][0], windows))
+                out.extend((i, windows + shift) for i, shift in tied.get(cut_at[k][0], ()))
             cut_at, total = [], 0
     return out
 
@@ -301,7 +333,38 @@ def unpacked(opener, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return docs, total - before, sizes
 
 
-def to_segments(documents: DataFrame, length: int, targets: int) -> DataFrame:
+def hot_slots(documents: DataFrame, length: int) -> frozenset[int]:
+    """Slots of parts that too many different segments share. Which slots these are changes no result.
+
+    A task passes on only counts above its own mean, so little moves, and what is not passed on is below the mean too.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in pieces(batches, "text"):
+            for block in blocks(_bytes_of(batch, 0), length):
+                data, _, _, at, size, part = cut([(0, t) for _, _, t in block], length)
+                if len(at):
+                    # different segments of the block, told apart by their first and last window
+                    with np.errstate(over="ignore"):
+                        h = rolling(data, length)
+                        whole = mixed(h[at] * np.uint64(BASE) + h[at + size - length]) ^ part
+                    _, one = np.unique(whole, return_index=True)
+                    counts += np.bincount(slots(part[one]), minlength=SLOTS)
+        big = np.flatnonzero(counts > 2 * counts.mean() + 16)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *big.tolist()], pa.int32()), pa.array([int(counts.sum()), *counts[big].tolist()], pa.int64())], ["slot", "n"])
+
+    texts = documents.select("text").where(F.octet_length("text") >= length)
+    total = map_batches(texts, work, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    # SLOTS + 1 rows at most
+    of = {r.slot: r.n for r in total.where((F.col("slot") < 0) | (F.col("n") >= HOT_LEAST)).collect()}
+    least = max(HOT_LEAST, HOT * of.pop(-1, 0) / SLOTS)
+    return frozenset(slot for slot, n in of.items() if n >= least)
+
+
+def to_segments(documents: DataFrame, length: int, targets: int, hot: frozenset[int] = frozenset()) -> DataFrame:
     """Segments of all documents, one row for each task's batch and target; of segments repeated in a batch, spans instead."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +377,7 @@ def to_segments(documents: DataFrame, length: int, targets: int) -> DataFrame:
             hashes = np.array(batch.column(1).to_pylist(), np.int64)
             all_ids = np.array(ids, np.int64)
             for block in blocks(_bytes_of(batch, 2), length):
-                data, text, start, at, size, part = cut([(0, t) for _, _, t in block], length)
+                data, text, start, at, size, part = cut([(0, t) for _, _, t in block], length, hot)
                 if not len(at):
                     continue
                 number = np.array([k for k, _, _ in block])[text]
@@ -422,7 +485,7 @@ def spans_to_remove(documents: DataFrame, length: int, targets: int | None) -> D
     if length < PART:
         raise ValueError(f"length must be {PART} at least")
     targets = targets or 2 * parallelism(documents.sparkSession)
-    found = repeated_spans(to_segments(documents, length, targets), length, targets)
+    found = repeated_spans(to_segments(documents, length, targets, hot_slots(documents, length)), length, targets)
     return found.groupBy(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2")).agg(
         F.collect_list(F.struct("begins", "ends")).alias("spans")
     )

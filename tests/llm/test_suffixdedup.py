@@ -90,6 +90,40 @@ def test_a_passage_in_many_documents(make):
     compare(make, rows, targets=4)
 
 
+def boundary_rows(n):
+    rng = random.Random(7)
+    passage = "This line stands in every third document of the table, word for word, and it is long."
+    return [(i, f"{rng.random()} {passage if i % 3 == 0 else ''} {rng.random()}") for i in range(n)]
+
+
+def test_windows_of_hot_parts_are_dealt_one_by_one(make, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "HOT_LEAST", 50)
+    rows = boundary_rows(600) + [(None, boundary_rows(1)[0][1]), (3, boundary_rows(4)[3][1] + "!")]
+    hot = suffixdedup.hot_slots(make(rows), 50)
+    assert hot
+    texts = [(0, t.encode()) for _, t in rows]
+    data, _, _, at, size, part = suffixdedup.cut(texts, 50, hot)
+    groups = {}
+    for a, n, p in zip(at.tolist(), size.tolist(), part.tolist(), strict=True):
+        groups.setdefault(p, set()).add(data[a : a + n].tobytes())
+    assert max(map(len, groups.values())) < 50
+    assert sum(size - 49) == sum(max(0, len(t) - 49) for _, t in texts)
+    compare(make, rows, targets=4)
+
+
+def test_equal_pieces_enter_an_array_once(monkeypatch):
+    entered = []
+    in_array = suffixdedup._in_array
+    monkeypatch.setattr(suffixdedup, "_in_array", lambda texts, *rest: (entered.append(sum(map(len, texts))), in_array(texts, *rest))[1])
+    rng = random.Random(1)
+    passage = bytes(rng.randrange(97, 123) for _ in range(60))
+    keys = [bytes([130 + i] * 20) + passage for i in range(100)]
+    ids = [7, 7, *range(8, 106)]
+    got = {i: sorted(w.tolist()) for i, w in suffixdedup.shared_windows(keys, ids, 50)}
+    assert sum(entered) < 200
+    assert got == {i: [*range(20, 31)] for i in range(2, 100)}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(st.lists(st.integers(0, 3), max_size=60), st.binary(max_size=60)))
 def test_suffix_array(data):
