@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import SQL as COLLOCATIONS
 from .linededup import SQL as LINE_DEDUP
 
 
@@ -82,6 +83,12 @@ def op10_nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{d}/embeddings.parquet"), k=10, every=100)
 
 
+def op13_phrase_collocations(spark: SparkSession, d: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(documents(spark, d), least=10, first=2000, cover=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
@@ -93,7 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_packing": op9_packing,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 #: Operators that plain SQL can't express have none; tests/llm compares them with brute force.
-ORACLES: dict[str, str] = {"op6_line_dedup": LINE_DEDUP}
+ORACLES: dict[str, str] = {"op6_line_dedup": LINE_DEDUP, "op13_phrase_collocations": COLLOCATIONS}
