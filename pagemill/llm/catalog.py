@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .collocations import SQL as COLLOCATIONS
+from .conversations import SQL as CONVERSATION_REPAIR
 from .linededup import SQL as LINE_DEDUP
 
 
@@ -83,6 +84,13 @@ def op10_nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{d}/embeddings.parquet"), k=10, every=100)
 
 
+def op12_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    from .conversations import audit, damaged
+
+    conversations = spark.read.parquet(f"{d}/conversations.parquet")
+    return audit(damaged(conversations), conversations)
+
+
 def op13_phrase_collocations(spark: SparkSession, d: str) -> DataFrame:
     from .collocations import collocations
 
@@ -100,8 +108,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_packing": op9_packing,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 #: Operators that plain SQL can't express have none; tests/llm compares them with brute force.
-ORACLES: dict[str, str] = {"op6_line_dedup": LINE_DEDUP, "op13_phrase_collocations": COLLOCATIONS}
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": LINE_DEDUP,
+    "op12_conversation_repair": CONVERSATION_REPAIR,
+    "op13_phrase_collocations": COLLOCATIONS,
+}
