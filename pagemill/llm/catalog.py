@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .collocations import SQL as COLLOCATIONS
 from .conversations import SQL as CONVERSATION_REPAIR
+from .jaccard import SQL as JACCARD_JOIN
 from .linededup import SQL as LINE_DEDUP
 
 
@@ -84,6 +85,12 @@ def op10_nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{d}/embeddings.parquet"), k=10, every=100)
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    from .jaccard import similar_documents
+
+    return similar_documents(documents(spark, d), length=3, num=9, den=10)
+
+
 def op12_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
     from .conversations import audit, damaged
 
@@ -108,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_packing": op9_packing,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
@@ -115,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Operators that plain SQL can't express have none; tests/llm compares them with brute force.
 ORACLES: dict[str, str] = {
     "op6_line_dedup": LINE_DEDUP,
+    "op11_ngram_jaccard_join": JACCARD_JOIN,
     "op12_conversation_repair": CONVERSATION_REPAIR,
     "op13_phrase_collocations": COLLOCATIONS,
 }
