@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,19 +27,20 @@ from .common import checkpointed, map_batches, parallelism, pieces
 
 # What splits a text into pieces; A to Z become a to z in the same pass. Bytes of other characters stay.
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
-_TABLE = bytes.maketrans(SEPARATORS + bytes(range(65, 91)), b"\n" * len(SEPARATORS) + bytes(range(97, 123)))
+_UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
+_PIECES = bytes.maketrans(SEPARATORS + _UPPER, b"\n" * len(SEPARATORS) + _LOWER)
 #: Different entries that a task counts before it hands them on: bounds memory, not results.
-HELD = 400_000
+HELD = 250_000
 #: At most so many groups, so that the prefixes dealt out, two for a group at most, stay a list the driver can hold.
 MOST_GROUPS = 1_000_000
 
-SUFFIXES = "grp long, lang string, paths binary, counts binary"
+SUFFIXES = "grp long, lang string, heads binary, tails binary, counts binary"
 NODES = "lang string, words int, phrase binary, f long"
 
 
 def words_of(text: bytes) -> Iterator[list[bytes]]:
     """The words of each piece of a text in UTF-8, lower case; split() of bytes knows blanks and tabs only here."""
-    for piece in text.translate(_TABLE).split(b"\n"):
+    for piece in text.translate(_PIECES).split(b"\n"):
         words = piece.split()
         if words:
             yield words
@@ -70,8 +72,7 @@ def count_words(documents: DataFrame) -> DataFrame:
 
         for lang, text in texts(batches):
             found = counts.setdefault(lang, Counter())
-            for words in words_of(text):
-                found.update(words)
+            found.update(text.translate(_PIECES).split())  # a line end parts words too
             if len(found) > HELD:
                 yield from rows()
         yield from rows()
@@ -109,7 +110,7 @@ def frequent_pairs(documents: DataFrame, heavy: dict[str, frozenset[bytes]], lea
             found, first = counts.setdefault(lang, Counter()), heavy.get(lang, frozenset())
             for words in words_of(text):
                 seen += len(words)
-                found.update(p for p in zip(words, words[1:]) if p[0] in first)
+                found.update(compress(zip(words, words[1:]), map(first.__contains__, words)))
             if len(found) > HELD:
                 yield from rows()
                 seen = 0
@@ -122,7 +123,8 @@ def frequent_pairs(documents: DataFrame, heavy: dict[str, frozenset[bytes]], lea
 def suffixes(documents: DataFrame, heavy: dict[str, frozenset[bytes]], pairs: dict[str, frozenset[tuple[bytes, bytes]]], groups: int) -> DataFrame:
     """The cut suffixes of all places, counted within a task and packed by group and language.
 
-    paths: lines "w1 w2 w3", with less words where the piece ends; counts: 32-bit integers; both compressed.
+    heads: lines "w1 w2", or "w1" where the piece ends; tails: lines "w3", or empty ones; counts: 32-bit integers; all
+    compressed.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,30 +132,30 @@ def suffixes(documents: DataFrame, heavy: dict[str, frozenset[bytes]], pairs: di
 
         def rows(lang: str, found: Counter) -> Iterator[pa.RecordBatch]:
             name, often, dealt = lang.encode() + b"\n", heavy.get(lang, frozenset()), pairs.get(lang, frozenset())
-            of_word: dict[bytes, int] = {}
-            packed: dict[int, tuple[list[bytes], list[int]]] = {}
+            of_word: dict[bytes, tuple[list, list, list]] = {}
+            packed: dict[int, tuple[list, list, list]] = {}
+
+            def slot(prefix: bytes) -> tuple[list, list, list]:
+                return packed.setdefault(zlib.crc32(name + prefix) % groups, ([], [], []))
+
             for path, n in found.items():
-                w = path[0]
-                if w not in often:
-                    g = of_word.get(w)
-                    if g is None:
-                        g = of_word[w] = zlib.crc32(name + w) % groups
-                elif path[:2] not in dealt:
-                    g = zlib.crc32(name + b" ".join(path[:2])) % groups
-                else:
-                    g = zlib.crc32(name + b" ".join(path)) % groups
-                slot = packed.get(g)
-                if slot is None:
-                    slot = packed[g] = ([], [])
-                slot[0].append(b" ".join(path))
-                slot[1].append(n)
-            done = [(g, zlib.compress(b"\n".join(p), 1), zlib.compress(np.array(n, "<i4").tobytes(), 1)) for g, (p, n) in packed.items()]
+                at = of_word.get(path[0])
+                if at is None:
+                    if path[0] not in often:
+                        at = of_word[path[0]] = slot(path[0])
+                    else:
+                        at = slot(b" ".join(path if path[:2] in dealt else path[:2]))
+                at[0].append(b"%b %b" % path[:2] if len(path) > 1 else path[0])
+                at[1].append(path[2] if len(path) > 2 else b"")
+                at[2].append(n)
+            found.clear()
+            lines = lambda x: zlib.compress(b"\n".join([*x, b""]), 1)
+            done = [(g, lines(h), lines(t), zlib.compress(np.array(n, "<i4").tobytes(), 1)) for g, (h, t, n) in packed.items()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in done], pa.int64()), pa.array([lang] * len(done), pa.string()),
-                 pa.array([x[1] for x in done], pa.binary()), pa.array([x[2] for x in done], pa.binary())],
-                ["grp", "lang", "paths", "counts"],
+                 *(pa.array([x[i] for x in done], pa.binary()) for i in (1, 2, 3))],
+                ["grp", "lang", "heads", "tails", "counts"],
             )
-            found.clear()
 
         counts: dict[str, Counter] = {}
         for lang, text in texts(batches):
@@ -171,54 +173,61 @@ def suffixes(documents: DataFrame, heavy: dict[str, frozenset[bytes]], pairs: di
     return map_batches(languages_and_texts(documents), work, SUFFIXES)
 
 
-def subtree(paths: list[bytes], counts: list[bytes], least: int) -> tuple[pa.Table, pa.Table]:
-    """Totals of the leaves (phrases of three words, column p) and of the inner nodes of two words, each `least` or more.
+def lines_of(blocks: list[bytes]) -> pa.Array:
+    """The lines of compressed blocks as they are, each with its line end."""
+    import numpy as np
+
+    data = b"".join(map(zlib.decompress, blocks))
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
+    offsets = np.concatenate(([0], ends)).astype("<i8")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def subtree(heads: list[bytes], tails: list[bytes], counts: list[bytes], least: int) -> tuple[pa.Table, pa.Table]:
+    """Totals (f) of the leaves of three words, `least` or more, and of all inner nodes of two words; columns head, tail
+    and f, lines with their ends.
 
     Leaves are added up by path. An inner node's total is that of the leaves below it and of the suffixes that end there.
     """
     import numpy as np
 
-    lines = pa.array([line for block in paths for line in zlib.decompress(block).split(b"\n")], pa.binary())
     n = np.concatenate([np.frombuffer(zlib.decompress(block), "<i4") for block in counts]).astype(np.int64)
-    leaves = pa.table({"p": lines, "f": n}).group_by("p").aggregate([("f", "sum")]).rename_columns(["p", "f"])
-    split = [path.split(b" ") for path in leaves.column("p").to_pylist()]
-    depth = np.array([len(path) for path in split])
-    long = leaves.filter(pa.array(depth > 1))
-    inner = pa.table({"p": pa.array([b" ".join(path[:2]) for path in split if len(path) > 1], pa.binary()), "f": long.column("f")})
-    inner = inner.group_by("p").aggregate([("f", "sum")]).rename_columns(["p", "f"])
-    often = pc.and_(pa.array(depth == 3), pc.greater_equal(leaves.column("f"), least))
-    return leaves.filter(often), inner
+    paths = pa.table({"head": lines_of(heads), "tail": lines_of(tails), "f": n})
+    paths = paths.filter(pc.match_substring(paths.column("head"), " "))
+    leaves = paths.group_by(["head", "tail"]).aggregate([("f", "sum")]).rename_columns(["head", "tail", "f"])
+    inner = leaves.group_by("head").aggregate([("f", "sum")]).rename_columns(["head", "f"])
+    whole = pc.greater(pc.binary_length(leaves.column("tail")), 1)
+    return leaves.filter(pc.and_(whole, pc.greater_equal(leaves.column("f"), least))), inner
 
 
 def frequent_nodes(packed: DataFrame, pairs: dict[str, frozenset[tuple[bytes, bytes]]], least: int) -> DataFrame:
     """lang, words (2 or 3), phrase and its count f, `least` or more, from the subtrees of the groups in `packed`."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def nodes(lang: str, paths: list[bytes], counts: list[bytes]) -> Iterator[pa.RecordBatch]:
-            leaves, inner = subtree(paths, counts, least)
-            dealt = pa.array([b" ".join(p) for p in pairs.get(lang, ())], pa.binary())
+        def nodes(lang: str, *blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+            leaves, inner = subtree(*blocks, least)
+            dealt = pa.array([b" ".join(p) + b"\n" for p in pairs.get(lang, ())], pa.large_binary())
             # a pair dealt out by its third word has a part of its total in each of several groups
-            keep = pc.or_(pc.greater_equal(inner.column("f"), least), pc.is_in(inner.column("p"), value_set=dealt))
-            for depth, table in ((3, leaves), (2, inner.filter(keep))):
-                size = table.num_rows
-                if size:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * size, pa.string()), pa.array([depth] * size, pa.int32()),
-                         table.column("p").combine_chunks(), table.column("f").combine_chunks()],
-                        ["lang", "words", "phrase", "f"],
-                    )
-
-        at, paths, counts = None, [], []
+            inner = inner.filter(pc.or_(pc.greater_equal(inner.column("f"), least), pc.is_in(inner.column("head"), value_set=dealt)))
+            threes = [(3, h[:-1] + b" " + t[:-1], n) for h, t, n in zip(*(c.to_pylist() for c in leaves.columns), strict=True)]
+            found = threes + [(2, h[:-1], n) for h, n in zip(*(c.to_pylist() for c in inner.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(found), pa.string()), pa.array([x[0] for x in found], pa.int32()),
+                 pa.array([x[1] for x in found], pa.binary()), pa.array([x[2] for x in found], pa.int64())],
+                ["lang", "words", "phrase", "f"],
+            )
+
+        now, held = None, ([], [], [])
         for batch in batches:
-            for g, lang, p, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (g, lang):
-                    if paths:
-                        yield from nodes(at[1], paths, counts)
-                    at, paths, counts = (g, lang), [], []
-                paths.append(p)
-                counts.append(n)
-        if paths:
-            yield from nodes(at[1], paths, counts)
+            for g, lang, *blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (g, lang):
+                    if now:
+                        yield from nodes(now[1], *held)
+                    now, held = (g, lang), ([], [], [])
+                for column, block in zip(held, blocks, strict=True):
+                    column.append(block)
+        if now:
+            yield from nodes(now[1], *held)
 
     spark = packed.sparkSession
     dealt = packed.repartition(parallelism(spark), "grp").sortWithinPartitions("grp", "lang")
@@ -300,7 +309,10 @@ def collocations(documents: DataFrame, least: int = 10, first: int = 2000, cover
         "lang", "phrase", "a", F.col("f1").alias("l"), F.col("f2").alias("r"), score(F.col("a"), F.col("f1"), F.col("f2")).alias("score")
     ).unionByName(cuts.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    top = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    # the first of each of 64 parts of a language, then the first of those: no task sorts a whole language
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(F.desc("score"), F.desc("a"), "phrase")
+    ahead = both.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= first)
+    top = ahead.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
     return top.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
