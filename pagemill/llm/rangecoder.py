@@ -33,11 +33,13 @@ from .vocab import ChunkEncoder
 if TYPE_CHECKING:
     import numpy as np
 
-MAGIC = b"TOK1"
+MAGIC = b"TOK2"
 BLOCK_IDS, LANES = 1 << 14, 128
 SEGMENT_IDS = BLOCK_IDS * LANES
 #: Ids between two rebuilds of the order-0 sums; slots of the order-1 and order-2 tables; the coder's resolution in bits.
-EPOCH, SLOTS_1, SLOTS_2, TOTAL_BITS = 1024, 1 << 13, 1 << 14, 24
+EPOCH, SLOTS_1, SLOTS_2, TOTAL_BITS = 1024, 1 << 13, 1 << 14, 28
+#: Units of the interval that order 0 always has.
+LEAST_ROOM = 1 << (TOTAL_BITS - 8)
 #: What one occurrence adds to an id's count of one; hits in a row that are told apart; how slowly a share follows its hits.
 WEIGHT, LEVELS, RATE = 24, 8, 5
 #: Every this many-th running sum is looked at first when decoding.
@@ -50,6 +52,8 @@ class Model:
     def __init__(self, lanes: int, symbols: int) -> None:
         import numpy as np
 
+        if symbols + WEIGHT * BLOCK_IDS > LEAST_ROOM:
+            raise ValueError("too many symbols for blocks of this length")
         self.symbols, lane = symbols, np.arange(lanes)
         self.counts = np.zeros((lanes, symbols), np.uint16)
         self.sums = np.zeros((lanes, symbols + 1), np.int32)
@@ -86,7 +90,8 @@ class Model:
         self.c1, self.c2 = t1 & 7, t2 & 7
         self.level_1, self.level_2 = self.at_levels[:n] + self.c1, self.at_levels[:n] + self.c2
         self.p1, self.p2 = self.chance_1.take(self.level_1), self.chance_2.take(self.level_2)
-        # chances stay between 1 / 128 and 15 / 16, so every share is wide enough and leaves room behind it
+        # chances stay between 1 / 128 and 15 / 16, so what two guesses leave is 1 / 256 at least, LEAST_ROOM units; order
+        # 0's sums stay below that, so every id has a part of it
         self.w2 = self.p2 << (TOTAL_BITS - 16)
         room = (1 << TOTAL_BITS) - self.w2
         self.w1 = np.where(self.g1 == self.g2, 0, (self.p1 * room) >> 16)

@@ -88,3 +88,25 @@ def test_text_is_compressed_below_its_entropy_of_single_ids(docs, monkeypatch):
     monkeypatch.setattr(rangecoder, "BLOCK_IDS", 16_000)
     repeated = np.tile(ids[:4000], 4)
     assert len(write_segment(repeated, 50_257)) * 8 < -(share * np.log2(share)).sum() * len(repeated)
+
+
+def test_full_blocks_with_rare_ids_after_sure_guesses(monkeypatch):
+    """Both guesses as sure as they get, and then ids that never stood before, early and late in whole blocks."""
+    monkeypatch.undo()
+    symbols, size = 50_257, rangecoder.BLOCK_IDS
+    rng = np.random.default_rng(1)
+    blocks = []
+    for period, gap in ((2, 5), (3, 40), (7, 300), (500, 1000), (1, size // 2)):
+        ids = np.resize(rng.integers(0, symbols, period), size)
+        ids[::2][: size // 3] = 7  # one id follows many, many follow one
+        places = np.arange(gap, size, gap)
+        ids[places] = rng.permutation(symbols)[: len(places)] if len(places) <= symbols else rng.integers(0, symbols, len(places))
+        blocks.append(ids)
+    blocks += [rng.permutation(symbols)[:size] if size <= symbols else rng.integers(0, symbols, size), np.arange(size) % symbols]
+    ids = np.concatenate(blocks).astype("<u4")
+    assert (read_segment(write_segment(ids, symbols)) == ids).all()
+
+
+def test_too_many_symbols_are_refused():
+    with pytest.raises(ValueError, match="symbols"):
+        write_segment(np.zeros(5, "<u4"), 1 << 21)
