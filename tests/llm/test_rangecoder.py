@@ -102,6 +102,11 @@ def test_full_blocks_with_rare_ids_after_sure_guesses(monkeypatch):
         places = np.arange(gap, size, gap)
         ids[places] = rng.permutation(symbols)[: len(places)] if len(places) <= symbols else rng.integers(0, symbols, len(places))
         blocks.append(ids)
+    # order 1 is sure of 12 after 11, order 2 of 14 after 13 and 11; every twelfth time neither comes
+    unit = np.array([10, 11, 12] * 10 + [13, 11, 14])
+    ids = np.resize(unit, size)
+    ids[12 * len(unit) - 1 :: 12 * len(unit)] = rng.permutation(np.arange(20_000, symbols))[: len(ids[12 * len(unit) - 1 :: 12 * len(unit)])]
+    blocks.append(ids)
     blocks += [rng.permutation(symbols)[:size] if size <= symbols else rng.integers(0, symbols, size), np.arange(size) % symbols]
     ids = np.concatenate(blocks).astype("<u4")
     assert (read_segment(write_segment(ids, symbols)) == ids).all()
