@@ -188,6 +188,19 @@ def representation(spark: SparkSession, d: str) -> DataFrame:
     return made.groupBy("plan").agg(F.count("*").alias("requests"))
 
 
+def representation_at(spark: SparkSession, d: str) -> DataFrame:
+    """What each request was answered with, by the store as it was at its time."""
+    emptying = K.invalidating_changes(V.sunday_changes(spark, d), V.posts(spark, d), V.post_types(spark))
+    spans = PR.spans_of_posts(V.store_history(spark, d), PC.keyed_pages(V.pages(spark, d), CFG, V.SITE), emptying)
+    made = PR.representation(PR.entries_at_request_time(decided(spark, d), spans), CFG)
+    return made.select("request_id", "has_entry", "plan")
+
+
+def valid_spans(spark: SparkSession, d: str) -> DataFrame:
+    spans = K.valid_spans(V.store_history(spark, d), invalidating(spark, d))
+    return spans.select("cache_key", "page_id", stamp("stored_at").alias("stored_at"), F.unix_micros("valid_until").alias("valid_until_us"))
+
+
 def routes(spark: SparkSession, d: str) -> DataFrame:
     index = J.route_index(V.posts(spark, d), V.post_types(spark, viewable_case=True))
     return J.resolve_route(classified(spark, d), index, V.SITE, salt=4)
@@ -204,12 +217,8 @@ def j7_overrides(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upserted(spark: SparkSession, d: str) -> DataFrame:
-    old = V.store(spark, d)
-    newer = old.where("page_id % 3 = 0").withColumns(
-        {"markdown": F.concat(F.lit("new "), F.col("page_id").cast("string")),
-         "stored_at": F.when(F.col("page_id") % 2 == 0, V.as_of()).otherwise(F.lit("2023-12-01").cast("timestamp"))}
-    )
-    return K.upsert_entries(old, newer).select("cache_key", "page_id", "markdown", stamp("stored_at").alias("stored_at"))
+    done = K.upsert_entries(V.store(spark, d), V.newer_entries(spark, d))
+    return done.select("cache_key", "page_id", "markdown", stamp("stored_at").alias("stored_at"))
 
 
 def j8_stale(spark: SparkSession, d: str) -> DataFrame:
@@ -224,11 +233,37 @@ def j9_refresh(spark: SparkSession, d: str) -> DataFrame:
 def c6_refresh(spark: SparkSession, d: str) -> DataFrame:
     root = scratch(spark)
     IV.write_version(spark, V.store(spark, d), root)
-    done = PR.refresh_corpus(V.pages(spark, d), IV.read_version(spark, root), invalidating(spark, d), CFG, V.as_of(), V.SITE)
-    IV.write_version(spark, done, root)
+    PR.refresh_store(spark, root, V.pages(spark, d), invalidating(spark, d), CFG, V.as_of(), V.SITE)
     return IV.read_version(spark, root).select("cache_key", "page_id", "language", md5("markdown").alias("markdown_md5"), stamp("stored_at").alias("stored_at"))
 
 
+def c2_upsert_store(spark: SparkSession, d: str) -> DataFrame:
+    """Entries whose first half is upserted in a store of many buckets: what each bucket's folder is, beside its rows."""
+    root = scratch(spark)
+    IV.write_version(spark, V.store(spark, d), root, buckets=64)
+    PR.upsert_store(spark, root, V.newer_entries(spark, d).where(V.low_key()))
+    written = spark.createDataFrame(list(IV.manifest(spark, root).items()), "bucket int, written int")
+    rows = IV.read_version(spark, root).select("cache_key", "page_id", "markdown", stamp("stored_at").alias("stored_at"), IV.bucket_of(F.col("cache_key"), 64).alias("bucket"))
+    return rows.join(written, "bucket").select("cache_key", "page_id", "markdown", "stored_at")
+
+
+def s6_refresh_twice(spark: SparkSession, d: str) -> DataFrame:
+    """A store refreshed, refreshed again, and refreshed after some pages have changed: by refresh and status, the entries
+    that were made by it."""
+    root = scratch(spark)
+    IV.write_version(spark, K.clear_all(V.store(spark, d)), root)
+    before, out = V.short_pages(spark, d), None
+    changed = before.withColumn("html", F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("<!-- new -->"))).otherwise(F.col("html")))
+    none = V.changes(spark, d).where("false")
+    for turn, pages in enumerate((before, before, changed), 1):
+        at = F.timestamp_add("HOUR", F.lit(turn), V.as_of())
+        number = PR.refresh_store(spark, root, pages, none, CFG, at, V.SITE)
+        made = IV.read_version(spark, root, number).where(F.col("stored_at") == at).groupBy("status").agg(F.count("*").alias("made"))
+        counted = made.select(F.lit(turn).alias("refresh"), "status", "made")
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
 def c4_clear_all(spark: SparkSession, d: str) -> DataFrame:
     """A store is written as a version and cleared by an empty one: the first stays, the current one is empty."""
     root = scratch(spark)
@@ -248,13 +283,9 @@ def _drain(writer) -> None:
 
 
 def t1_convert_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Four files, one for each batch, whose days go up and then far back."""
+    """Arrivals in five appends, each drained as a batch: days that go up and far back, copies, captures within a lifetime
+    and beyond it in one batch and over batches."""
     inbox, out, state = scratch(spark), scratch(spark), scratch(spark)
-    for part, day in ((2, "2024-01-10"), (3, "2024-01-20"), (1, "2024-01-21"), (0, "2024-01-11")):
-        arrived = V.pages(spark, d).where(F.col("page_id") % 4 == part).withColumn("captured_at", F.lit(day).cast("timestamp"))
-        arrived.coalesce(1).write.mode("append").parquet(inbox)
-    stream = spark.readStream.schema(spark.read.parquet(inbox).schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    twice = stream.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).drop("again")
 
     def sink(made: DataFrame, number: int) -> None:
         made.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -262,7 +293,10 @@ def t1_convert_stream(spark: SparkSession, d: str) -> DataFrame:
     def stored(number: int) -> DataFrame | None:
         return spark.read.parquet(out).where(F.col("batch") < number) if number else None
 
-    _drain(ST.convert_stream(twice, CFG, sink, stored, state, V.SITE))
+    for arrived in V.arrivals(spark, d):
+        arrived.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(arrived.schema).parquet(inbox)
+        _drain(ST.convert_stream(stream, CFG, sink, stored, state, V.SITE))
     return spark.read.parquet(out).select("page_id", "status", md5("markdown").alias("markdown_md5"), stamp("stored_at").alias("stored_at"))
 
 
@@ -301,6 +335,7 @@ QUERIES: dict[str, Query] = {
     "s4_post_meta_wide": lambda s, d: P.post_meta_wide(V.post_meta(s, d)),
     "s5_write_corpus": s5_write_corpus,
     "s6_quarantine": s6_quarantine,
+    "s6_refresh_twice": s6_refresh_twice,
     "e1_wrap_fragment": lambda s, d: V.loose_pages(s, d).select("page_id", md5(M.wrap_fragment(F.col("html"))).alias("html_md5")),
     "e2_html_tokens": lambda s, d: html_tokens(V.loose_pages(s, d)).select("page_id", "pos", "kind", "name", md5("tag").alias("tag_md5"), md5("txt").alias("txt_md5")),
     "e3_html_elements": lambda s, d: html_elements(html_tokens(V.dressed_pages(s, d))).select("page_id", "pos", "pend", "name"),
@@ -355,6 +390,7 @@ QUERIES: dict[str, Query] = {
     "r15_eligible_alternate": lambda s, d: decided(s, d, CFG.with_(disable_logged_in=False)).select("request_id", "eligible_alternate"),
     "r16_eligible_link": lambda s, d: decided(s, d).select("request_id", "eligible_link"),
     "r17_representation": representation,
+    "r17_representation_at": representation_at,
     "r19_eligibility_audit": lambda s, d: Q.eligibility_audit(decided(s, d)),
     "j1_resolve_route": lambda s, d: routes(s, d).select("request_id", "resolved", "target_kind", "target_id"),
     "j2_resolve_front_page": lambda s, d: routes(s, d).where("target_kind = 'front_page'").select("request_id", "target_id"),
@@ -364,11 +400,13 @@ QUERIES: dict[str, Query] = {
     "j6_alternate_index": lambda s, d: L.alternate_index(V.pages(s, d)),
     "j7_alternate_overrides": j7_overrides,
     "j8_stale_entries": j8_stale,
+    "j8_valid_spans": valid_spans,
     "j9_pages_to_refresh": j9_refresh,
     "l1_viewable_types": lambda s, d: V.posts(s, d).groupBy("post_type").agg(F.count("*").alias("posts")).join(
         P.viewable_types(V.post_types(s, viewable_case=True)).withColumnRenamed("name", "post_type"), "post_type"),
     "c1_cache_key": lambda s, d: PC.keyed_pages(V.pages(s, d), CFG, V.SITE),
     "c2_upsert_entries": upserted,
+    "c2_upsert_store": c2_upsert_store,
     "c3_live_entries": lambda s, d: K.live_entries(V.store(s, d), CFG, V.as_of()).select("cache_key", "page_id"),
     "c4_clear_all": c4_clear_all,
     "c5_invalidation_filter": lambda s, d: invalidating(s, d).select("change_id", "kind", "post_id"),

@@ -3,6 +3,8 @@ windows, these join intervals and compare texts outright."""
 
 from __future__ import annotations
 
+from .views import ARRIVALS
+
 WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
 DEFAULT_EXCLUDED = "name IN ('nav','header','footer','aside','script','style','noscript','iframe') OR aria = 'true' OR " + " OR ".join(
     f"contains(classes, ' {c} ')" for c in ("site-header", "site-footer", "cookie", "cookies", "sr-only")
@@ -443,12 +445,31 @@ def build() -> dict[str, str]:
         '<link rel="alternate" type="text/markdown" href="' || replace(u, '&', '&amp;') || '" />' AS link_tag FROM (SELECT page_id, {MD_URL} AS u FROM pages)"""
     q["j7_alternate_overrides"] = f"SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'https://cdn.example.net/' || page_id || '.md' ELSE {MD_URL} END AS markdown_url FROM pages"
     q["j8_stale_entries"] = f"WITH {STORE}, {CHANGES} SELECT cache_key, page_id, stored_at <= (SELECT gone_at FROM emptied) AS stale FROM store"
+    history = """history AS (SELECT * FROM store UNION ALL SELECT cache_key, page_id, language, CASE WHEN page_id % 10 = 4 THEN '' ELSE 'again' END,
+        stored_at + INTERVAL 126 HOUR, 43200 FROM store WHERE page_id % 2 = 0)"""
+    q["j8_valid_spans"] = f"""WITH {STORE}, {CHANGES}, {history}, next_ AS (SELECT h.page_id, h.stored_at, min(i.ts) AS gone FROM history h LEFT JOIN inval i ON i.ts >= h.stored_at GROUP BY ALL)
+        SELECT cache_key, page_id, strftime(stored_at, '%Y-%m-%d %H:%M:%S') AS stored_at,
+            epoch_us(CASE WHEN markdown = '' THEN stored_at WHEN gone < stored_at + to_seconds(ttl_s) THEN gone ELSE stored_at + to_seconds(ttl_s) END) AS valid_until_us
+        FROM history JOIN next_ USING (page_id, stored_at)"""
+    q["r17_representation_at"] = f"""WITH {decided()}, {STORE}, {CHANGES.replace(POSTS + ',', '')}, {history},
+        sunday AS (SELECT ts FROM inval WHERE dayofweek(ts) = 0 AND hour(ts) = 2),
+        own AS (SELECT h.*, k.page_id AS post_id FROM history h JOIN keyed k USING (cache_key)),
+        last_ AS (SELECT j.request_id, max(stored_at) AS stored_at FROM judged j JOIN own o ON o.post_id = j.post_id AND o.stored_at <= j.ts GROUP BY ALL),
+        has AS (SELECT j.request_id FROM judged j JOIN last_ l USING (request_id) JOIN own o ON o.post_id = j.post_id AND o.stored_at = l.stored_at
+            WHERE o.markdown <> '' AND o.stored_at + to_seconds(o.ttl_s) > j.ts AND NOT EXISTS (SELECT 1 FROM sunday s WHERE s.ts >= o.stored_at AND s.ts <= j.ts))
+        SELECT request_id, request_id IN (SELECT request_id FROM has) AS has_entry, CASE WHEN md_method IS NOT NULL AND eligible THEN
+            CASE WHEN request_id IN (SELECT request_id FROM has) THEN 'stored_markdown' ELSE 'fresh_markdown' END
+            WHEN eligible_link THEN 'html_with_link' ELSE 'html' END AS plan FROM judged"""
     q["j9_pages_to_refresh"] = f"WITH {STORE}, {CHANGES} SELECT page_id, cache_key FROM keyed WHERE cache_key NOT IN (SELECT cache_key FROM live WHERE stored_at > (SELECT gone_at FROM emptied))"
     q["l1_viewable_types"] = f"WITH {POSTS} SELECT post_type, count(*) AS posts, CASE post_type WHEN 'page' THEN 'Page' WHEN 'post' THEN 'Post' ELSE 'case Study' END AS label FROM posts GROUP BY post_type"
     q["c1_cache_key"] = f"SELECT page_id, {KEY} AS cache_key FROM pages"
     q["c2_upsert_entries"] = f"""WITH {STORE}, both_ AS (SELECT cache_key, page_id, markdown, stored_at, 0 AS fresh FROM store UNION ALL SELECT cache_key, page_id, 'new ' || page_id,
         CASE WHEN page_id % 2 = 0 THEN TIMESTAMP '2024-01-20' ELSE TIMESTAMP '2023-12-01' END, 1 FROM store WHERE page_id % 3 = 0)
         SELECT cache_key, page_id, markdown, strftime(stored_at, '%Y-%m-%d %H:%M:%S') AS stored_at FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY stored_at DESC, fresh DESC) AS rn FROM both_) WHERE rn = 1"""
+    q["c2_upsert_store"] = q["c2_upsert_entries"].replace("WHERE page_id % 3 = 0)", "WHERE page_id % 3 = 0 AND regexp_extract(cache_key, 'md_(.)', 1) IN ('0','1','2','3','4','5','6','7'))")
+    q["s6_refresh_twice"] = f"""WITH {corpus_sql('short', False)}, first_ AS (SELECT page_id, status FROM corpus)
+        SELECT 1::INT AS refresh, status, count(*) AS made FROM first_ GROUP BY status
+        UNION ALL SELECT 3::INT, status, count(*) FROM first_ WHERE page_id % 5 = 0 GROUP BY status"""
     q["c3_live_entries"] = f"WITH {STORE} SELECT cache_key, page_id FROM live"
     q["c4_clear_all"] = f"""WITH {STORE} SELECT 'before' AS state, count(*) AS entries, count(DISTINCT cache_key) AS keys FROM store
         UNION ALL SELECT 'current', 0, 0 UNION ALL SELECT 'first version', count(*), count(DISTINCT cache_key) FROM store"""
@@ -457,8 +478,15 @@ def build() -> dict[str, str]:
         valid AS (SELECT * FROM live WHERE stored_at > (SELECT gone_at FROM emptied))
         SELECT cache_key, page_id, language, md5(markdown) AS markdown_md5, strftime(stored_at, '%Y-%m-%d %H:%M:%S') AS stored_at FROM valid
         UNION ALL SELECT k.cache_key, page_id, language, md5(markdown), '2024-01-20 00:00:00' FROM corpus JOIN keyed k USING (page_id) WHERE k.cache_key NOT IN (SELECT cache_key FROM valid)"""
-    q["t1_convert_stream"] = f"""WITH {corpus_sql('pages', False)} SELECT page_id, status, md5(markdown) AS markdown_md5,
-        CASE page_id % 4 WHEN 0 THEN '2024-01-11' WHEN 1 THEN '2024-01-21' WHEN 2 THEN '2024-01-10' ELSE '2024-01-20' END || ' 00:00:00' AS stored_at FROM corpus"""
+    # arrivals of each page in order of batch and time; what is kept moves the time from which the next one counts
+    batches = ", ".join(f"({i}, {part}, TIMESTAMP '{day}' + to_hours({h}))" for i, (part, day, hours) in enumerate(ARRIVALS) for h in hours)
+    q["t1_convert_stream"] = f"""WITH RECURSIVE {corpus_sql('pages', False)},
+        seen AS (SELECT page_id, at_, row_number() OVER (PARTITION BY page_id ORDER BY batch, at_) AS n
+            FROM pages JOIN (VALUES {batches}) v(batch, part, at_) ON part = 4 OR page_id % 4 = part),
+        walk AS (SELECT page_id, n, at_, true AS kept, at_ + INTERVAL 1 DAY AS until FROM seen WHERE n = 1
+            UNION ALL SELECT s.page_id, s.n, s.at_, s.at_ >= w.until, CASE WHEN s.at_ >= w.until THEN s.at_ + INTERVAL 1 DAY ELSE w.until END
+            FROM walk w JOIN seen s ON s.page_id = w.page_id AND s.n = w.n + 1)
+        SELECT page_id, status, md5(markdown) AS markdown_md5, strftime(at_, '%Y-%m-%d %H:%M:%S') AS stored_at FROM corpus JOIN walk USING (page_id) WHERE kept"""
     q["t2_classify_stream"] = f"WITH {decided()} SELECT request_id, md_method, reason, eligible, eligible_link FROM judged"
     q["t3_eligibility_by_window"] = f"""WITH {decided()} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, coalesce(reason, 'eligible') AS reason, count(*) AS requests
         FROM judged GROUP BY 1, 2"""

@@ -114,6 +114,37 @@ def store(spark: SparkSession, d: str, cfg: Settings = Settings()) -> DataFrame:
     )
 
 
+def store_history(spark: SparkSession, d: str) -> DataFrame:
+    """All entries ever stored: those of the store, and half of them again five days and six hours later for half a day,
+    some of these empty."""
+    old, page_id = store(spark, d), F.col("page_id")
+    again = old.where("page_id % 2 = 0").withColumns({
+        "stored_at": F.timestamp_add("HOUR", F.lit(126), F.col("stored_at")), "ttl_s": F.lit(43200),
+        "markdown": F.when(page_id % 10 == 4, "").otherwise("again"),
+    })
+    return old.unionByName(again)
+
+
+def sunday_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What changed in the maintenance hour, on Sundays from two to three; at any time changes follow each other so
+    closely that the store would hardly ever hold anything."""
+    return changes(spark, d).where((F.dayofweek("ts") == 1) & (F.hour("ts") == 2))
+
+
+def newer_entries(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the store's entries made anew, half of them later and half earlier than what is stored."""
+    page_id = F.col("page_id")
+    return store(spark, d).where("page_id % 3 = 0").withColumns({
+        "markdown": F.concat(F.lit("new "), page_id.cast("string")),
+        "stored_at": F.when(page_id % 2 == 0, as_of()).otherwise(F.lit("2023-12-01").cast("timestamp")),
+    })
+
+
+def low_key() -> Column:
+    """Whether the hash in a key is in the first half of all."""
+    return F.substring(F.regexp_replace("cache_key", "^(old_)?md_", ""), 1, 1).isin(*"01234567")
+
+
 def dressed_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages with what the given ones lack: hidden parts, handlers, script links, images, empties, lists."""
     even = F.col("page_id") % 2 == 0
@@ -173,3 +204,17 @@ def rough_markdown(spark: SparkSession, d: str) -> DataFrame:
     flaws = "\n[  a b ](  /x )\n![](u)\n![pic]( )\n![ ](u)\n!  \n##  \n[ ](y)\n   ## H\n\t[q](r)  [s](t)  \nTwice\n Twice \n# Top\n\n\n# Next\r\nEnd\rof &amp;lt; it "
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.select("doc_id", F.concat(F.lit("# "), F.col("text"), F.lit(flaws), F.col("text")).alias("md"))
+
+
+#: The batches of arrivals: which part of the pages by page_id % 4 (4: all), the day, and the hours at which each is captured.
+ARRIVALS = ((2, "2024-01-10", (0, 0, 12, 30)), (3, "2024-01-20", (0,)), (1, "2024-01-21", (0, 24, 47, 48)), (0, "2024-01-11", (5, 5)), (4, "2024-01-21", (6, 40)))
+
+
+def arrivals(spark: SparkSession, d: str) -> list[DataFrame]:
+    """One frame for each batch; an hour given twice is a copy."""
+    out = []
+    for part, day, hours in ARRIVALS:
+        rows = pages(spark, d).where((F.col("page_id") % 4 == part) | F.lit(part == 4))
+        at = F.explode(F.array(*(F.timestamp_add("HOUR", F.lit(h), F.lit(day).cast("timestamp")) for h in hours)))
+        out.append(rows.select("page_id", "url", "html", at.alias("captured_at")))
+    return out

@@ -56,22 +56,29 @@ def build_corpus(
     co_located: bool = False,
     carry: tuple[str, ...] = (),
     partitions: int | None = None,
+    by_key: bool = False,
 ) -> DataFrame:
     """The whole page path: one scan, one shuffle by page_id, no join but the one for descriptions.
 
-    stored_at may use page columns named in carry. partitions: tasks that pages are dealt to; it changes no result.
+    stored_at may use page columns named in carry, also to give several rows for a page. partitions: tasks that pages
+    are dealt to; it changes no result. by_key: pages bring cache_key and source_id; page_id, of any type, only tells
+    rows apart, and source_id is the id that goes into keys and results. So several contents of one page fit in a job.
 
     What is known of a page rides along on its first segment, so nothing is joined back, and a page
     without content still gives a row, with its status. Columns: those of the corpus plus url, title.
     """
     known = page_columns(cfg, site)
+    if by_key:
+        known["cache_key"] = F.col("cache_key")
+        carry = (*carry, "source_id")
+    own_id = "source_id" if by_key else "page_id"
     info = F.struct(*[c.alias(n) for n, c in known.items()], *carry)
     rows = content_rows(pages, cfg, info, with_tags=cfg.include_featured_image, co_located=co_located, partitions=partitions)
     made = render_events(content_events(rows), info=True).select(
         "page_id", "info.*", "markdown", "has_content", *(["content"] if cfg.include_featured_image else [])
     )
     if descriptions is not None and cfg.include_excerpt:
-        made = made.join(descriptions.select("page_id", "description"), "page_id", "left")
+        made = made.join(descriptions.select(F.col("page_id").alias(own_id), "description"), own_id, "left")
     else:
         made = made.withColumn("description", F.lit(""))
     made = clean_markdown(made, F.lit(cfg.include_h1) & (F.col("title") != ""))
@@ -80,7 +87,7 @@ def build_corpus(
     done = made.withColumn("markdown", page).withColumn("status", outcome(F.col("has_content"), F.col("markdown")))
     return done.select(
         "cache_key",
-        "page_id",
+        F.col(own_id).alias("page_id"),
         "language",
         F.when(F.col("status") == "ok", F.col("markdown")).alias("markdown"),
         stored_at.alias("stored_at"),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import Settings, Site
+from ..config import DAY_SECONDS, Settings, Site
 from ..operators.posts import with_post_facts
 from ..operators.requests import classify_requests, decide
-from ..operators.store import pages_to_refresh, serveable
+from ..operators.store import kept_entries, pages_to_refresh, serveable, span_of, upsert_entries, valid_spans
+from ..sources.versions import buckets_of, current_version, manifest, read_version, replace_buckets
 from .corpus import CORPUS_COLUMNS, build_corpus, keyed_pages
 
 
@@ -37,9 +38,45 @@ def refresh_corpus(
     return live.unionByName(made.where(F.col("status") == "ok").select(*CORPUS_COLUMNS))
 
 
+def refresh_store(
+    spark: SparkSession,
+    root: str,
+    pages: DataFrame,
+    invalidating: DataFrame,
+    cfg: Settings,
+    as_of: Column,
+    site: Site = Site(),
+    descriptions: DataFrame | None = None,
+) -> int:
+    """The same over a store of versions (C6), as its next version: only buckets that change are read whole and written.
+
+    A bucket changes where a page of it is converted or an entry of it may no longer be given out. Keys that gave
+    nothing are entries too, with their status (S6): they have no lifetime, as the same content gives nothing again,
+    and go only when their key changes or the store is emptied. So pages behind them are not parsed again (J9).
+    """
+    number = current_version(spark, root)
+    stored = read_version(spark, root, number)
+    n = len(manifest(spark, root, number))
+    known = kept_entries(stored, invalidating, cfg, as_of)
+    todo = missing_pages(pages, known, cfg, site)
+    gone = stored.select("cache_key").join(known.select("cache_key"), "cache_key", "left_anti")
+    touched = buckets_of(keyed_pages(todo, cfg, site).select("cache_key").unionByName(gone), n)
+    here = kept_entries(read_version(spark, root, number, touched), invalidating, cfg, as_of)
+    made = build_corpus(todo, cfg, as_of, site, descriptions)
+    return replace_buckets(spark, root, here.select(*CORPUS_COLUMNS).unionByName(made.select(*CORPUS_COLUMNS)), touched)
+
+
+def upsert_store(spark: SparkSession, root: str, new: DataFrame) -> int:
+    """The newest entry of each key over the store and `new` (C2), as the store's next version; buckets without a key of
+    `new` are neither read nor written."""
+    touched = buckets_of(new, len(manifest(spark, root)))
+    old = read_version(spark, root, only=touched)
+    return replace_buckets(spark, root, upsert_entries(old.select(*CORPUS_COLUMNS), new.select(*CORPUS_COLUMNS)), touched)
+
+
 def representation(decided: DataFrame, cfg: Settings) -> DataFrame:
     """Adds plan: stored_markdown, fresh_markdown, html_with_link or html (R17). Needs has_entry, true
-    where the request's post has a live entry."""
+    where the request's post has a live entry: now (facts_with_entries) or when it came (entries_at_request_time)."""
     markdown = F.lit(cfg.enabled) & F.col("md_method").isNotNull() & F.col("eligible")
     stored = F.lit(cfg.caching_enabled) & F.coalesce("has_entry", F.lit(False))
     return decided.withColumn(
@@ -60,6 +97,46 @@ def facts_with_entries(facts: DataFrame, keyed: DataFrame, live: DataFrame) -> D
     return facts.join(stored, "post_id", "left")
 
 
+def spans_of_posts(entries: DataFrame, keyed: DataFrame, invalidating: DataFrame) -> DataFrame:
+    """post_id, since, until of every entry under a post's current key, from all entries ever stored."""
+    own = keyed.select("cache_key", F.col("page_id").alias("post_id")).distinct()
+    spans = valid_spans(entries, invalidating).select("cache_key", F.col("stored_at").alias("since"), F.col("valid_until").alias("until"))
+    return spans.join(own, "cache_key").select("post_id", "since", "until")
+
+
+def entries_at_request_time(requests: DataFrame, spans: DataFrame, seconds: int = DAY_SECONDS) -> DataFrame:
+    """`requests` (post_id, ts and any other columns) with has_entry: whether the entry last stored for the post before or
+    at the time of the request was valid then. Of entries stored at one time the one that lasts longest counts.
+
+    An as-of join: requests and entries of a post stand in one order, with a running "valid until". The order is cut into
+    stretches of time, each begun by what the stretches before it left, so the requests of a hot post are spread over
+    as many tasks as it has stretches. A request without post or time has no entry.
+    """
+    columns = requests.columns
+    row = F.struct(*(F.col(f"`{c}`") for c in columns))
+    whole = F.col("post_id").isNotNull() & F.col("ts").isNotNull()
+    asked = requests.where(whole).select("post_id", F.col("ts").alias("at"), row.alias("request")).withColumn("stretch", span_of(F.col("at"), seconds))
+    known = spans.where("post_id is not null and since is not null").withColumn("stretch", span_of(F.col("since"), seconds))
+
+    left = known.groupBy("post_id", "stretch").agg(F.max_by("until", F.struct("since", "until")).alias("until"))
+    needed = asked.select("post_id", "stretch").distinct().withColumn("until", F.lit(None).cast("timestamp"))
+    stretches = left.unionByName(needed).groupBy("post_id", "stretch").agg(F.max("until").alias("until"))
+    before = Window.partitionBy("post_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = stretches.select("post_id", "stretch", F.last("until", ignorenulls=True).over(before).alias("until")).where("until is not null")
+
+    none = F.lit(None).cast(asked.schema["request"].dataType)
+    start, no_time = F.lit(0), F.lit(None).cast("timestamp")
+    events = (
+        asked.select("post_id", "stretch", "at", F.lit(2).alias("kind"), no_time.alias("until"), "request")
+        .unionByName(known.select("post_id", "stretch", F.col("since").alias("at"), F.lit(1).alias("kind"), "until", none.alias("request")))
+        .unionByName(carried.select("post_id", "stretch", no_time.alias("at"), start.alias("kind"), "until", none.alias("request")))
+    )
+    order = Window.partitionBy("post_id", "stretch").orderBy(F.asc_nulls_first("at"), "kind", "until").rowsBetween(Window.unboundedPreceding, 0)
+    seen = events.withColumn("valid_until", F.last("until", ignorenulls=True).over(order)).where("kind = 2")
+    has_entry = F.coalesce(F.col("valid_until") > F.col("at"), F.lit(False))
+    return seen.select("request.*", has_entry.alias("has_entry")).unionByName(requests.where(~whole).withColumn("has_entry", F.lit(False)))
+
+
 def decide_requests(requests: DataFrame, facts: DataFrame, cfg: Settings, salt: int = 1, site: Site = Site()) -> DataFrame:
     """Classification, post facts, decision: the whole request job up to R16."""
     return decide(with_post_facts(classify_requests(requests, cfg, site), facts, salt), cfg)

@@ -4,24 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..config import Settings, Site
+from ..operators.store import due_times
 from ..plans.corpus import build_corpus, page_columns
 from ..plans.refresh import decide_requests
 
-def first_arrivals(pages: DataFrame, stored: DataFrame | None, cfg: Settings, site: Site = Site()) -> DataFrame:
-    """The pages of a batch whose key is neither stored nor held by an earlier capture in the batch. Only keys
-    and ids take part in the joins' comparisons; how old a page is does not matter."""
-    keyed = pages.withColumn("cache_key", page_columns(cfg, site)["cache_key"]).withColumn(
-        "_turn", F.row_number().over(Window.partitionBy("cache_key").orderBy("captured_at", "page_id"))
+
+def due_pages(pages: DataFrame, stored: DataFrame | None, cfg: Settings, site: Site = Site()) -> DataFrame:
+    """One row for each key in `pages` that is due, with the times at which it is (see due_times). Keys and times alone
+    decide; page texts are moved once, to where their key is. page_id is the key here, as one page may come with
+    several contents; source_id is the page's own."""
+    keyed = pages.withColumn("cache_key", page_columns(cfg, site)["cache_key"])
+    due = due_times(keyed, stored, cfg.ttl_seconds)
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = keyed.join(due, "cache_key").repartition(tasks, "cache_key")
+    # rows of one key are equal in all that is converted
+    one = copies.groupBy("cache_key").agg(F.first(F.struct("page_id", "url", "html")).alias("page"), F.first("due").alias("due"))
+    return one.select(
+        "cache_key", F.col("cache_key").alias("page_id"), F.col("page.page_id").alias("source_id"), "page.url", "page.html", "due"
     )
-    fresh = keyed.where("_turn = 1").drop("_turn")
-    if stored is not None:
-        fresh = fresh.join(stored.select("cache_key"), "cache_key", "left_anti")
-    return fresh.drop("cache_key")
 
 
 def convert_stream(
@@ -35,14 +40,16 @@ def convert_stream(
     """Converts pages (page_id, url, html, captured_at) as they arrive, in whatever order.
 
     Windows over positions are batch-only, so the conversion runs in foreachBatch with the same
-    function as the batch job. Repeats are found against the stored keys, not by a watermark, so a
-    backfill of old pages loses nothing and no state is kept. A replayed batch has the same number: the
-    sink should use it to overwrite its own earlier attempt, and stored(number) must leave that out.
+    function as the batch job. A key is converted once until its lifetime is over, and then again; captures
+    of a batch that lie further apart than that each give an entry, from one conversion. Lifetimes are read from the
+    stored entries (cache_key, stored_at, ttl_s), not from a watermark, so a backfill of old pages loses nothing and
+    no state is kept. A replayed batch has the same number: the sink should use it to overwrite its own earlier
+    attempt, and stored(number) must leave that out.
     """
 
     def convert(batch: DataFrame, number: int) -> None:
-        fresh = first_arrivals(batch, stored(number), cfg, site)
-        sink(build_corpus(fresh, cfg, F.col("captured_at"), site, carry=("captured_at",)), number)
+        due = due_pages(batch, stored(number), cfg, site)
+        sink(build_corpus(due, cfg, F.explode("due"), site, co_located=True, carry=("due",), by_key=True), number)
 
     return (
         pages.writeStream.option("checkpointLocation", checkpoint)

@@ -118,6 +118,6 @@ def test_streams_equal_batch(spark):
     batch = build_corpus(views.pages(spark, D), Settings(), now(), views.SITE)
     want = {r.page_id: r.m for r in batch.select("page_id", F.md5("markdown").alias("m")).collect()}
     got = [(r.page_id, r.markdown_md5) for r in catalog.t1_convert_stream(spark, D).collect()]
-    assert len(got) == 50 and dict(got) == want
+    assert len(got) > 100 and dict(got) == want and set(got) == set(want.items())  # keys come back after their lifetime
     decided = {r.request_id: r.reason for r in catalog.decided(spark, D).collect()}
     assert {r.request_id: r.reason for r in catalog.t2_classify_stream(spark, D).collect()} == decided
