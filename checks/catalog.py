@@ -206,6 +206,25 @@ def routes(spark: SparkSession, d: str) -> DataFrame:
     return J.resolve_route(classified(spark, d), index, V.SITE, salt=4)
 
 
+def page_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The path of every page by its parents."""
+    root = scratch(spark)
+
+    def keep(rows: DataFrame, number: int) -> DataFrame:
+        rows.write.parquet(f"{root}/round={number}")
+        return spark.read.schema(rows.schema).parquet(f"{root}/round={number}")
+
+    return J.page_paths(V.page_tree_rows(spark, d), keep)
+
+
+def e6_selector_index(spark: SparkSession, d: str) -> DataFrame:
+    """Every link target of the pages as a selector, and how many elements answer to it."""
+    starts = token_attrs(html_tokens(V.pages(spark, d))).where("attrs is not null")
+    targets = starts.select(F.col("attrs")["href"].alias("value")).where("value is not null").distinct()
+    table = targets.select(F.lit(0).alias("rank"), F.concat(F.lit('[href="'), "value", F.lit('"]')).alias("selector"), F.lit("attr").alias("kind"), F.lit("href").alias("key"), "value")
+    return S.match_selector_table(starts, table).groupBy("selector", "name").agg(F.count("*").alias("elements"))
+
+
 def j4_canonical(spark: SparkSession, d: str) -> DataFrame:
     known = P.with_post_facts(classified(spark, d), facts(spark, d))
     return known.select("request_id", L.canonical_url(V.SITE).alias("canonical_url"))
@@ -300,6 +319,24 @@ def t1_convert_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).select("page_id", "status", md5("markdown").alias("markdown_md5"), stamp("stored_at").alias("stored_at"))
 
 
+def t2_facts_that_change(spark: SparkSession, d: str) -> DataFrame:
+    """Requests in two appends; before the second the facts have a new version, in which every third post is a draft."""
+    inbox, out, state, root = scratch(spark), scratch(spark), scratch(spark), scratch(spark)
+    first = facts(spark, d)
+    later = first.withColumn("post_status", F.when(F.col("post_id") % 3 == 0, "draft").otherwise(F.col("post_status")))
+    asked = IO.read_requests(V.requests(spark, d))
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.select("request_id", "reason", "eligible").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    for turn, known in enumerate((first, later)):
+        IO.write_facts(known, f"{root}/v={turn + 1}")
+        asked.where((F.dayofmonth("ts") > 15) == F.lit(turn == 1)).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(asked.schema).parquet(inbox)
+        _drain(ST.decide_batches(stream, lambda: IO.current_facts(spark, root, first.schema), CFG, sink, state))
+    return spark.read.parquet(out).select("request_id", "reason", "eligible")
+
+
 def _request_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = V.events(spark, d).schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
@@ -342,6 +379,8 @@ QUERIES: dict[str, Query] = {
     "e4_token_attrs": lambda s, d: token_attrs(html_tokens(V.dressed_pages(s, d))).select("page_id", "pos", F.explode("attrs").alias("key", "value")),
     "e5_compile_selectors": e5_compile_selectors,
     "e6_match_selectors": lambda s, d: S.match_selectors(token_attrs(html_tokens(V.pages(s, d))).where("attrs is not null"), [x.strip() for x in SELECTORS.split(",")]),
+    "e6_selector_index": e6_selector_index,
+    "e7_meaningful_documents": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", E.meaningful_text(F.concat(F.lit(" \n\u00a0"), F.col("text"))).alias("meaningful")),
     "e7_meaningful_text": lambda s, d: html_elements(html_tokens(V.pages(s, d))).where("text_len is not null").select("page_id", "pos", "name", "text_len", (F.col("text_len") >= 50).alias("meaningful")),
     "e8_pick_content": lambda s, d: E.pick_content(E.page_tree(V.short_pages(s, d), CFG)),
     "e9_drop_excluded": e9_drop_excluded,
@@ -364,6 +403,7 @@ QUERIES: dict[str, Query] = {
     "m10_dedupe_adjacent_lines": cleanup_step(C.dedupe_adjacent_lines),
     "m11_reflow": cleanup_step(C.reflow),
     "m12_clean_markdown": m12_clean,
+    "m13_page_language": lambda s, d: V.titled_pages(s, d).select("page_id", FM.page_language(F.concat(F.lit("<!-- <html lang='xx'> --><script>'<html lang=yy>'</script>"), "html")).alias("language")),
     "m13_page_title": lambda s, d: V.titled_pages(s, d).select("page_id", FM.page_title(F.col("html")).alias("title")),
     "m14_excerpt": lambda s, d: V.posts(s, d).select("post_id", FM.excerpt(F.col("excerpt"), F.col("post_content")).alias("excerpt")),
     "m15_meta_description": lambda s, d: descriptions(s, d),
@@ -393,6 +433,7 @@ QUERIES: dict[str, Query] = {
     "r17_representation_at": representation_at,
     "r19_eligibility_audit": lambda s, d: Q.eligibility_audit(decided(s, d)),
     "j1_resolve_route": lambda s, d: routes(s, d).select("request_id", "resolved", "target_kind", "target_id"),
+    "j1_page_paths": page_paths,
     "j2_resolve_front_page": lambda s, d: routes(s, d).where("target_kind = 'front_page'").select("request_id", "target_id"),
     "j3_route_target": lambda s, d: routes(s, d).select("request_id", "target_type", "target_name", "target_var"),
     "j4_canonical_url": j4_canonical,
@@ -405,6 +446,8 @@ QUERIES: dict[str, Query] = {
     "l1_viewable_types": lambda s, d: V.posts(s, d).groupBy("post_type").agg(F.count("*").alias("posts")).join(
         P.viewable_types(V.post_types(s, viewable_case=True)).withColumnRenamed("name", "post_type"), "post_type"),
     "c1_cache_key": lambda s, d: PC.keyed_pages(V.pages(s, d), CFG, V.SITE),
+    "c1_given_language": lambda s, d: V.pages(s, d).withColumn("spoken", F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("xx-"), (F.col("page_id") % 3).cast("string")))).select(
+        "page_id", *(PC.page_columns(CFG, V.SITE_BY_COLUMN)[c].alias(c) for c in ("cache_key", "language"))),
     "c2_upsert_entries": upserted,
     "c2_upsert_store": c2_upsert_store,
     "c3_live_entries": lambda s, d: K.live_entries(V.store(s, d), CFG, V.as_of()).select("cache_key", "page_id"),
@@ -413,5 +456,6 @@ QUERIES: dict[str, Query] = {
     "c6_refresh_corpus": c6_refresh,
     "t1_convert_stream": t1_convert_stream,
     "t2_classify_stream": t2_classify_stream,
+    "t2_facts_that_change": t2_facts_that_change,
     "t3_eligibility_by_window": t3_window_audit,
 }

@@ -386,6 +386,9 @@ def build() -> dict[str, str]:
     rows = ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in row) + ")" for row in compiled)
     q["e5_compile_selectors"] = f"""SELECT v.*, coalesce(n, 0) AS elements FROM (VALUES {rows}) v(rank, selector, kind, key, value)
         LEFT JOIN (SELECT rank, count(*) AS n FROM ({q["e6_match_selectors"]}) GROUP BY rank) USING (rank)"""
+    q["e6_selector_index"] = f"""WITH {tokens('pages')} SELECT '[href="' || a.value || '"]' AS selector, t.name, count(*) AS elements
+        FROM attrs a JOIN tok t USING (page_id, pos) WHERE a.key = 'href' GROUP BY ALL"""
+    q["e7_meaningful_documents"] = f"SELECT doc_id, strlen({trim(one_blank('text'))}) >= 50 AS meaningful FROM documents"
     q["e7_meaningful_text"] = f"WITH {elements('pages')}{texts()} SELECT page_id, pos, name, text_len, text_len >= 50 AS meaningful FROM lens"
     q["e8_pick_content"] = f"WITH {elements('short')}{flags(DEFAULT_RANK, DEFAULT_EXCLUDED)} SELECT page_id, rank, rpos AS pstart, rend AS pend FROM root"
     q["e9_drop_excluded"] = f"WITH {elements('dressed')}{flags(BODY_RANK, BODY_EXCLUDED)}{cut_out('excluded')} {_kept('el1')}"
@@ -406,6 +409,7 @@ def build() -> dict[str, str]:
         q[name] = f"WITH {ROUGH} SELECT doc_id, md5({step('md')}) AS md_md5 FROM rough"
     q["m10_dedupe_adjacent_lines"] = f"WITH {ROUGH}, {dedupe('rough', 'doc_id', 'md')} SELECT doc_id, md5(md) AS md_md5 FROM deduped"
     q["m12_clean_markdown"] = f"WITH {ROUGH}, {cleaned('rough', 'doc_id', 'doc_id % 2 = 0')} SELECT doc_id, md5(md) AS md_md5 FROM done"
+    q["m13_page_language"] = f"SELECT page_id, {LANG} AS language FROM pages"  # what the query puts in front must not count
     q["m13_page_title"] = f"SELECT page_id, {TITLE} AS title FROM pages"  # what the query puts in front must not count
     q["m14_excerpt"] = f"WITH {POSTS} SELECT post_id, {EXCERPT} AS excerpt FROM posts"
     q["m15_meta_description"] = f"WITH {POSTS}, {META}, {ABOUT} SELECT page_id, description FROM about"
@@ -436,6 +440,11 @@ def build() -> dict[str, str]:
     q["r19_eligibility_audit"] = f"""WITH {decided()}, named AS (SELECT coalesce(md_method, 'none') AS method, coalesce(reason, 'eligible') AS reason FROM judged)
         SELECT method, reason, count(*)::BIGINT AS requests FROM named GROUP BY GROUPING SETS ((method, reason), (reason), ())"""
     q["j1_resolve_route"] = f"WITH {ROUTES} SELECT request_id, resolved, target_kind, target_id FROM routes"
+    q["j1_page_paths"] = """WITH RECURSIVE p AS (SELECT page_id AS post_id, 'p' || page_id AS slug, CASE WHEN page_id > 1 AND page_id % 41 = 0 THEN page_id + 1
+            WHEN page_id > 1 AND page_id % 41 = 1 THEN page_id - 1 WHEN page_id % 17 = 0 THEN -page_id ELSE page_id // 2 END AS parent_id FROM pages),
+        walk AS (SELECT post_id, slug AS path FROM p WHERE parent_id = 0 OR parent_id NOT IN (SELECT post_id FROM p)
+            UNION ALL SELECT p.post_id, walk.path || '/' || p.slug FROM p JOIN walk ON p.parent_id = walk.post_id WHERE p.parent_id <> 0)
+        SELECT post_id, path FROM p LEFT JOIN walk USING (post_id)"""
     q["j2_resolve_front_page"] = f"WITH {ROUTES} SELECT request_id, target_id FROM routes WHERE target_kind = 'front_page'"
     q["j3_route_target"] = f"WITH {ROUTES} SELECT request_id, target_type, target_name, target_var FROM routes"
     q["j4_canonical_url"] = f"""WITH {decided()} SELECT request_id, CASE WHEN view = 'singular' THEN permalink WHEN view IN ('front_page','home') THEN 'https://example.com/'
@@ -461,8 +470,10 @@ def build() -> dict[str, str]:
             CASE WHEN request_id IN (SELECT request_id FROM has) THEN 'stored_markdown' ELSE 'fresh_markdown' END
             WHEN eligible_link THEN 'html_with_link' ELSE 'html' END AS plan FROM judged"""
     q["j9_pages_to_refresh"] = f"WITH {STORE}, {CHANGES} SELECT page_id, cache_key FROM keyed WHERE cache_key NOT IN (SELECT cache_key FROM live WHERE stored_at > (SELECT gone_at FROM emptied))"
-    q["l1_viewable_types"] = f"WITH {POSTS} SELECT post_type, count(*) AS posts, CASE post_type WHEN 'page' THEN 'Page' WHEN 'post' THEN 'Post' ELSE 'case Study' END AS label FROM posts GROUP BY post_type"
+    q["l1_viewable_types"] = f"WITH {POSTS} SELECT post_type, count(*) AS posts, CASE post_type WHEN 'page' THEN 'Page' WHEN 'post' THEN 'Post' ELSE 'case Study' END AS label, CASE post_type WHEN 'page' THEN 2 WHEN 'post' THEN 3 ELSE 1 END AS place FROM posts GROUP BY post_type"
     q["c1_cache_key"] = f"SELECT page_id, {KEY} AS cache_key FROM pages"
+    spoken = "CASE WHEN page_id % 3 > 0 THEN 'xx-' || page_id % 3 ELSE '' END"
+    q["c1_given_language"] = f"SELECT page_id, {KEY.replace(LANG, spoken)} AS cache_key, {spoken} AS language FROM pages"
     q["c2_upsert_entries"] = f"""WITH {STORE}, both_ AS (SELECT cache_key, page_id, markdown, stored_at, 0 AS fresh FROM store UNION ALL SELECT cache_key, page_id, 'new ' || page_id,
         CASE WHEN page_id % 2 = 0 THEN TIMESTAMP '2024-01-20' ELSE TIMESTAMP '2023-12-01' END, 1 FROM store WHERE page_id % 3 = 0)
         SELECT cache_key, page_id, markdown, strftime(stored_at, '%Y-%m-%d %H:%M:%S') AS stored_at FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY stored_at DESC, fresh DESC) AS rn FROM both_) WHERE rn = 1"""
@@ -488,6 +499,9 @@ def build() -> dict[str, str]:
             FROM walk w JOIN seen s ON s.page_id = w.page_id AND s.n = w.n + 1)
         SELECT page_id, status, md5(markdown) AS markdown_md5, strftime(at_, '%Y-%m-%d %H:%M:%S') AS stored_at FROM corpus JOIN walk USING (page_id) WHERE kept"""
     q["t2_classify_stream"] = f"WITH {decided()} SELECT request_id, md_method, reason, eligible, eligible_link FROM judged"
+    q["t2_facts_that_change"] = f"""WITH {decided()}, later AS (SELECT *, day(ts) > 15 AND post_id % 3 = 0 AS now_draft FROM judged)
+        SELECT request_id, CASE WHEN now_draft AND coalesce(hard_reason, 'post_type') = 'post_type' THEN 'status' ELSE reason END AS reason,
+            CASE WHEN now_draft THEN false ELSE eligible END AS eligible FROM later"""
     q["t3_eligibility_by_window"] = f"""WITH {decided()} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, coalesce(reason, 'eligible') AS reason, count(*) AS requests
         FROM judged GROUP BY 1, 2"""
     return q

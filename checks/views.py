@@ -10,6 +10,7 @@ from pagemill.functions.urls import url_host
 from pagemill.plans.corpus import page_columns
 
 SITE = Site(home="https://example.com", page_on_front=7)
+SITE_BY_COLUMN = Site(home="https://example.com", page_on_front=7, language_column="spoken")
 
 
 def as_of() -> Column:
@@ -199,6 +200,15 @@ def captures(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def page_tree_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Posts as (post_id, parent_id, slug): trees of up to ten levels, as a post's parent has about half its number, some
+    whose parent is missing, and circles of two below which others hang."""
+    page_id = F.col("page_id")
+    circle = page_id > 1
+    parent = F.when(circle & (page_id % 41 == 0), page_id + 1).when(circle & (page_id % 41 == 1), page_id - 1).when(page_id % 17 == 0, -page_id).otherwise(F.floor(page_id / 2))
+    return pages(spark, d).select(page_id.alias("post_id"), parent.cast("bigint").alias("parent_id"), F.concat(F.lit("p"), page_id.cast("string")).alias("slug"))
+
+
 def rough_markdown(spark: SparkSession, d: str) -> DataFrame:
     """Texts with every flaw the clean-up repairs."""
     flaws = "\n[  a b ](  /x )\n![](u)\n![pic]( )\n![ ](u)\n!  \n##  \n[ ](y)\n   ## H\n\t[q](r)  [s](t)  \nTwice\n Twice \n# Top\n\n\n# Next\r\nEnd\rof &amp;lt; it "

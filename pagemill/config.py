@@ -73,6 +73,7 @@ class Site:
     page_on_front: int = 0
     posts_page_url: str | None = None
     version: str = "1.0.0"
+    language_column: str | None = None  # page column with the language, where the caller knows it; else the page's own
     path_variable: str = "md_path"  # the query variable in which the site's own rewrite rule hands on the path
 
 

@@ -63,10 +63,25 @@ def one_blank(c: Column) -> Column:
     return F.regexp_replace(c, UNEVEN_SPACE, " ")
 
 
-def _rare_entities() -> Column:
-    # The table comes from the Python standard library; folded to one map literal at planning time.
-    table = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
-    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+# Code of the first character of names less 65 is the row, that of the second less 47 (0: none) the column of the table.
+_ROWS, _COLUMNS = ord("z") - 64, ord("z") - 46
+
+
+def _rare_entity(name: Column) -> Column:
+    """What a named entity stands for, null for an unknown name.
+
+    The names come from the Python standard library. A map is searched from its beginning, so they are dealt to some
+    small ones by their first two characters, and the place of a name's map in the table is computed. The table is
+    folded to one literal at planning time.
+    """
+    table: list[dict[str, str]] = [{} for _ in range(_ROWS * _COLUMNS)]
+    for key, value in html5.items():
+        if key.endswith(";"):
+            second = ord(key[1]) - 47 if len(key) > 2 else 0
+            table[(ord(key[0]) - 65) * _COLUMNS + second][key[:-1]] = value
+    maps = F.from_json(F.lit(json.dumps(table)), "array<map<string,string>>")
+    second = F.greatest(F.ascii(F.substring(name, 2, 1)) - 47, F.lit(0))
+    return F.try_element_at(F.get(maps, (F.ascii(name) - 65) * _COLUMNS + second), name)
 
 
 def _code_point(code: Column) -> Column:
@@ -99,7 +114,7 @@ def _one_entity(e: Column) -> Column:
         .when(e == "&nbsp;", " ")
         .when(e == "&apos;", "'")
         .when(name.startswith("#"), F.when(allowed, _code_point(code)).otherwise(e))
-        .otherwise(F.coalesce(F.try_element_at(_rare_entities(), name), e))
+        .otherwise(F.coalesce(_rare_entity(name), e))
     )
 
 

@@ -39,8 +39,9 @@ def tidy_links(md: Column) -> Column:
 
 def drop_empty_images(md: Column) -> Column:
     """Images without target, then without alternative text, then lines of a lone '!' (M5)."""
-    md = F.regexp_replace(md, r"!\[[^\]]*\]\(\s*\)", "")
-    md = F.regexp_replace(md, r"!\[\s*\]\([^)]+\)", "")
+    # what begins like an image and is none is passed over whole, as no image can begin within it
+    md = F.regexp_replace(md, r"!\[[^\]]*+\]\(\s*+\)|(!\[[^\]]*+)", "$1")
+    md = F.regexp_replace(md, r"!\[\s*+\]\([^)]++\)|(!\[\s*+\]\([^)]*+)", "$1")
     return F.regexp_replace(md, r"(?dm)^!\s*$", "")
 
 

@@ -20,7 +20,7 @@ from .tokens import html_tokens, text_features, token_attrs
 
 def meaningful_text(c: Column) -> Column:
     """At least 50 bytes once white space is collapsed and trimmed."""
-    return F.octet_length(T.collapse(c)) >= MIN_CONTENT_BYTES
+    return F.octet_length(T.trim(T.one_blank(c))) >= MIN_CONTENT_BYTES
 
 
 def page_tree(

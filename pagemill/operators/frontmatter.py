@@ -15,15 +15,21 @@ EXCERPT_WORDS = 55
 def page_title(html: Column) -> Column:
     """Text of the title element, decoded and trimmed, '' when missing (M13). Comments, scripts and inline graphics
     that stand before it may hold another; where there are any they are taken out first."""
-    start, element = r"(?i)<title(?=[\s/>])", r"(?is)<title(?=[\s/>])[^>]*>(.*?)</title(?=[\s/>])[^>]*>"
-    head = F.get(F.split(html, start, 2), F.lit(0))
+    element = r"(?is)<title(?=[\s/>])[^>]*>(.*?)</title(?=[\s/>])[^>]*>"
+    return T.trim(T.decode_entities(F.regexp_extract(_without_decoys(html, "title"), element, 1)))
+
+
+def _without_decoys(html: Column, name: str) -> Column:
+    """html without comments, scripts and inline graphics, where any stand before the first tag of this name."""
+    head = F.get(F.split(html, rf"(?i)<{name}(?=[\s/>])", 2), F.lit(0))
     bare = F.regexp_replace(html, rf"(?is)<!--.*?(?:-->|\z)|{M.RAW_RE}|<svg(?=[\s/>]).*?(?:</svg(?=[\s/>])[^>]*>|\z)", "")
-    return T.trim(T.decode_entities(F.regexp_extract(F.when(head.rlike(r"(?i)<(?:!--|script|style|noscript|iframe|svg)"), bare).otherwise(html), element, 1)))
+    return F.when(head.rlike(r"(?i)<(?:!--|script|style|noscript|iframe|svg)"), bare).otherwise(html)
 
 
 def page_language(html: Column) -> Column:
-    """The whole code of the html tag's lang attribute, in lower case, '' when there is none."""
-    lang = F.regexp_extract(html, r"""(?is)<html\b[^>]*\blang\s*=\s*["']?\s*([A-Za-z][A-Za-z0-9_-]*)""", 1)
+    """The whole code of the html tag's lang attribute, in lower case, '' when there is none. An html tag in a comment
+    or script before it does not count."""
+    lang = F.regexp_extract(_without_decoys(html, "html"), r"""(?is)<html\b[^>]*\blang\s*=\s*["']?\s*([A-Za-z][A-Za-z0-9_-]*)""", 1)
     return F.lower(lang)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NOINDEX_KEY = "robots_noindex"
@@ -28,8 +28,10 @@ def is_noindex(meta_wide: DataFrame) -> DataFrame:
 
 
 def viewable_types(post_types: DataFrame) -> DataFrame:
-    """Viewable types by label, upper and lower case alike (L1)."""
-    return post_types.where(F.col("viewable")).orderBy(F.lower("label"), "name").select("name", "label")
+    """Viewable types by label, upper and lower case alike (L1): name, label and place, from 1, in that order. A place
+    outlives a join, which an order of rows does not. Types are few, a row for each kind of content."""
+    order = Window.orderBy(F.lower("label"), "name")
+    return post_types.where(F.col("viewable")).select("name", "label", F.row_number().over(order).alias("place")).orderBy("place")
 
 
 def post_facts(posts: DataFrame, post_types: DataFrame, meta_wide: DataFrame) -> DataFrame:

@@ -132,8 +132,9 @@ def markdown_piece() -> Column:
 def settle_emphasis(md: Column) -> Column:
     """Blanks at the inner edge of an emphasis go outside it, then the marks are written."""
     on, off = BOLD_ON + ITALIC_ON, BOLD_OFF + ITALIC_OFF
-    md = F.regexp_replace(md, rf"([{on}]+)(\s+)", "$2$1")
-    md = F.regexp_replace(md, rf"(\s+)([{off}]+)", "$2$1")
+    # a run is tried once, from its beginning
+    md = F.regexp_replace(md, rf"(?<![{on}])([{on}]++)(\s++)", "$2$1")
+    md = F.regexp_replace(md, rf"(?<!\s)(\s++)([{off}]++)", "$2$1")
     md = F.regexp_replace(md, f"[{BOLD_ON}{BOLD_OFF}]", "**")
     return F.translate(md, ITALIC_ON + ITALIC_OFF, "**")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +61,41 @@ def resolve_route(routed: DataFrame, index: DataFrame, site: Site, salt: int = 1
         F.when(as_page, F.col("resolved")).when(as_post, F.col("url_match.post_name")).otherwise(base).alias("target_name"),
         F.when(as_post & (post_type != "post") & (own_var != "post_type"), own_var).alias("target_var"),
     ).unionByName(front)
+
+
+def page_paths(pages: DataFrame, keep: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """post_id and path of each of `pages` (post_id, parent_id, slug): the slugs from its topmost parent down to itself,
+    joined by '/'. A parent that is null, 0, or not in `pages` counts as none. Pages on a circle of parents, and those
+    below one, have no path: null.
+
+    Pointer jumping: each round a page takes over what its pointer knows, so the number of levels a path spans doubles
+    and a tree of a thousand levels takes ten rounds. A round in which no path is finished leaves circles only. keep
+    writes the rows of a round to a folder of their own and reads them again, so a plan never grows and a lost executor
+    costs one round.
+    """
+    known = pages.groupBy("post_id").agg(F.min(F.struct("parent_id", "slug")).alias("p")).select("post_id", "p.parent_id", "p.slug")
+    parents = known.select(F.col("post_id").alias("parent_id"), F.lit(True).alias("there"))
+    rows = known.join(parents, "parent_id", "left").select(
+        "post_id", F.when(F.col("there") & (F.col("parent_id") != 0), F.col("parent_id")).alias("up"), F.coalesce("slug", F.lit("")).alias("path")
+    )
+    number, rows = 0, keep(rows, 0)
+    left = rows.where("up is not null").count()
+    while left:
+        number += 1
+        above = rows.select(F.col("post_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
+        open_ = rows.where("up is not null").join(above, "up").select(
+            "post_id", F.col("next").alias("up"), F.concat("head", F.lit("/"), "path").alias("path")
+        )
+        rows = keep(rows.where("up is null").unionByName(open_), number)
+        before, left = left, rows.where("up is not null").count()
+        if left == before:
+            break
+    return rows.select("post_id", F.when(F.col("up").isNull(), F.col("path")).alias("path"))
+
+
+def with_page_paths(posts: DataFrame, paths: DataFrame) -> DataFrame:
+    """`posts` with the path of its parents as url_path where the post is a page that has one; for route_index()."""
+    own = paths.where("path is not null").select("post_id", F.concat(F.lit("/"), "path", F.lit("/")).alias("_path"))
+    joined = posts.join(own, "post_id", "left")
+    path = F.when(F.col("post_type") == "page", F.coalesce("_path", "url_path")).otherwise(F.col("url_path"))
+    return joined.withColumn("url_path", path).drop("_path")

@@ -12,6 +12,8 @@ from ..functions import markup as M
 from ..functions.text import trim
 
 _NAME = re.compile(r"[A-Za-z_][\w.\-]*")
+# What parts the tokens of a class attribute.
+CLASS_SPACE = r"[ \t\r\n]+"
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,7 @@ def selector_test(s: Selector, name: Column, attrs: Column) -> Column:
         return F.coalesce(M.attr(attrs, "id") == s.value, F.lit(False))
     if s.kind == "attr":
         return F.coalesce(M.attr(attrs, s.key) == s.value, F.lit(False))
-    classes = F.regexp_replace(F.coalesce(M.attr(attrs, "class"), F.lit("")), r"[ \t\r\n]+", " ")
+    classes = F.regexp_replace(F.coalesce(M.attr(attrs, "class"), F.lit("")), CLASS_SPACE, " ")
     return F.contains(F.concat(F.lit(" "), trim(classes), F.lit(" ")), F.lit(f" {s.value} "))
 
 
@@ -80,16 +82,42 @@ def any_match(selectors: list[tuple[int, Selector]], name: Column, attrs: Column
     return out
 
 
-def match_selectors(elements: DataFrame, texts: list[str]) -> DataFrame:
-    """Every (element, selector) pair that matches, with the selector's rank."""
-    name, attrs = F.col("name"), F.col("attrs")
-    hits = [
-        F.when(selector_test(s, name, attrs), F.struct(F.lit(rank).alias("rank"), F.lit(texts[rank]).alias("selector")))
-        for rank, s in compile_selectors(texts)
-    ]
-    if not hits:
-        return elements.select("page_id", "pos", "name", F.lit(0).alias("rank"), F.lit("").alias("selector")).limit(0)
-    return (
-        elements.select("page_id", "pos", "name", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("hit"))
-        .select("page_id", "pos", "name", "hit.rank", "hit.selector")
+def element_features(elements: DataFrame) -> DataFrame:
+    """page_id, pos, name and kind, key, value of all that a selector may ask of an element, every one once: its tag, its
+    id, each of its attributes and each of its class tokens (one empty token where it has none), these with the whole
+    row of tokens beside them."""
+    attrs, none = F.col("attrs"), F.lit("")
+
+    def feature(kind: str, key: Column, value: Column, tokens: Column = F.lit("")) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"), tokens.alias("tokens"))
+
+    classes = trim(F.regexp_replace(F.coalesce(M.attr(attrs, "class"), none), CLASS_SPACE, " "))
+    ids = F.filter(F.array(M.attr(attrs, "id")), lambda v: v.isNotNull())
+    pairs = F.coalesce(F.map_entries(attrs), F.map_entries(F.create_map().cast("map<string,string>")))
+    features = F.concat(
+        F.array(feature("tag", F.col("name"), none)),
+        F.transform(ids, lambda v: feature("id", none, v)),
+        F.transform(pairs, lambda e: feature("attr", e["key"], e["value"])),
+        F.transform(F.array_distinct(F.split(classes, " ")), lambda v: feature("class", none, v, classes)),
     )
+    return elements.select("page_id", "pos", "name", F.explode(features).alias("f")).select("page_id", "pos", "name", "f.*")
+
+
+def match_selector_table(elements: DataFrame, table: DataFrame) -> DataFrame:
+    """Every (element, selector) pair that matches (E6), for selectors as rows (rank, selector, kind, key, value), as
+    compiled_table() gives them: one equi-join of what elements have with what selectors ask, so the plan is the same
+    for five selectors and for five thousand. Spark broadcasts the table while it is small.
+
+    A class of several words meets elements on its first one; the words must follow each other in the row of tokens.
+    """
+    asked = table.where("kind is not null").withColumn("phrase", F.col("value"))
+    asked = asked.withColumn("value", F.when(F.col("kind") == "class", F.substring_index("value", " ", 1)).otherwise(F.col("value")))
+    blank = F.lit(" ")
+    whole = F.contains(F.concat(blank, F.col("tokens"), blank), F.concat(blank, F.col("phrase"), blank))
+    met = element_features(elements).join(asked, ["kind", "key", "value"]).where((F.col("kind") != "class") | whole)
+    return met.select("page_id", "pos", "name", "rank", "selector")
+
+
+def match_selectors(elements: DataFrame, texts: list[str]) -> DataFrame:
+    """The same for a list of texts; the rank is the place in it."""
+    return match_selector_table(elements, compiled_table(elements.sparkSession, texts))

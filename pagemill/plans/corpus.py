@@ -16,9 +16,10 @@ CORPUS_COLUMNS = ("cache_key", "page_id", "language", "markdown", "stored_at", "
 
 
 def page_columns(cfg: Settings, site: Site) -> dict[str, Column]:
-    """What is known of a page before it is parsed. The content's md5 stands in for a modified time."""
+    """What is known of a page before it is parsed. The content's md5 stands in for a modified time. The language is the
+    caller's where the site names a column for it, '' where that is null."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    language = page_language(html)
+    language = F.coalesce(F.col(site.language_column), F.lit("")) if site.language_column else page_language(html)
     return {
         "url": F.coalesce(F.col("url"), F.lit("")),
         "title": page_title(html),

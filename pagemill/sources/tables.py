@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,6 +83,27 @@ def quarantine(corpus: DataFrame) -> DataFrame:
     return corpus.where(F.col("status") != "ok").drop("markdown")
 
 
+def current_facts(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """The newest finished version of post facts under root/v=N, as write_facts(facts, f"{root}/v={n}") makes them. A
+    version that is still being written, or was lost, has no mark and is passed over."""
+    number = max(folder_numbers(spark, root, "v", "_SUCCESS"), default=None)
+    if number is None:
+        raise ValueError(f"no version of the facts in {root}")
+    return spark.read.schema(schema).parquet(f"{root}/v={number}")
+
+
+def folder_numbers(spark: SparkSession, folder: str, name: str, mark: str | None = None) -> Iterator[int]:
+    """N of each folder name=N in `folder`, or of those that hold a file `mark`; through the session's own file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        for status in fs.listStatus(path):
+            found = re.fullmatch(rf"{name}=(\d+)", status.getPath().getName())
+            if found and (mark is None or fs.exists(hadoop.Path(status.getPath(), mark))):
+                yield int(found.group(1))
+
+
 def write_facts(facts: DataFrame, path: str) -> DataFrame:
     """The post facts written once, for streams that join them in every batch."""
     facts.write.mode("errorifexists").parquet(path)

@@ -8,33 +8,20 @@ readable as long as their folders are kept. One writer at a time.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import folder_numbers
+
 CORPUS_SCHEMA = "cache_key string, page_id long, markdown string, stored_at timestamp, ttl_s int, status string, language string"
 MANIFEST_SCHEMA = "bucket int, written int"
 #: For a store of some 100 TB take as many as make a bucket a few hundred MB; a manifest row is all that each costs.
 BUCKETS = 16
 
 
-def _numbers(spark: SparkSession, folder: str, name: str, mark: str | None = None) -> Iterator[int]:
-    """N of each folder name=N in `folder`, or of those that hold a file `mark`."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(path):
-        for status in fs.listStatus(path):
-            found = re.fullmatch(rf"{name}=(\d+)", status.getPath().getName())
-            if found and (mark is None or fs.exists(hadoop.Path(status.getPath(), mark))):
-                yield int(found.group(1))
-
-
 def current_version(spark: SparkSession, root: str) -> int:
     """Number of the newest finished version, 0 when there is none."""
-    return max(_numbers(spark, f"{root}/manifest", "v", "_SUCCESS"), default=0)
+    return max(folder_numbers(spark, f"{root}/manifest", "v", "_SUCCESS"), default=0)
 
 
 def manifest(spark: SparkSession, root: str, version: int | None = None) -> dict[int, int | None]:
@@ -60,7 +47,7 @@ def _write(spark: SparkSession, rows: DataFrame, root: str, touched: set[int], b
     here = rows.select(*columns, bucket_of(F.col("cache_key"), buckets).alias("bucket"))
     # one exchange by bucket; Spark splits the large ones into files of even size and puts small ones together
     here.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/data/v={number}")
-    filled = set(_numbers(spark, f"{root}/data/v={number}", "bucket"))
+    filled = set(folder_numbers(spark, f"{root}/data/v={number}", "bucket"))
     if filled - touched:
         raise ValueError("rows outside the buckets that were to be written")
     after = [(b, (number if b in filled else None) if b in touched else v) for b, v in before.items()]

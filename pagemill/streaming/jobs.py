@@ -23,9 +23,10 @@ def due_pages(pages: DataFrame, stored: DataFrame | None, cfg: Settings, site: S
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     copies = keyed.join(due, "cache_key").repartition(tasks, "cache_key")
     # rows of one key are equal in all that is converted
-    one = copies.groupBy("cache_key").agg(F.first(F.struct("page_id", "url", "html")).alias("page"), F.first("due").alias("due"))
+    columns = ["url", "html", *([site.language_column] if site.language_column else [])]
+    one = copies.groupBy("cache_key").agg(F.first(F.struct("page_id", *columns)).alias("page"), F.first("due").alias("due"))
     return one.select(
-        "cache_key", F.col("cache_key").alias("page_id"), F.col("page.page_id").alias("source_id"), "page.url", "page.html", "due"
+        "cache_key", F.col("cache_key").alias("page_id"), F.col("page.page_id").alias("source_id"), *(f"page.{c}" for c in columns), "due"
     )
 
 
@@ -66,6 +67,26 @@ def classify_stream(requests: DataFrame, facts: DataFrame, cfg: Settings, salt:
     return decide_requests(requests, facts, cfg, salt)
 
 
+def decide_batches(
+    requests: DataFrame,
+    facts: Callable[[], DataFrame],
+    cfg: Settings,
+    sink: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    salt: int = 1,
+    site: Site = Site(),
+) -> DataStreamWriter:
+    """Per-request decision by facts that change under a running stream (T2): each micro-batch asks facts() for the ones
+    that are current at its start and keeps to them, for example the newest version of a folder that write_facts() fills
+    (current_facts). A batch is planned when it runs, so Spark also sees its sizes and splits hot posts. A replayed
+    batch has the same number; the sink should overwrite its earlier attempt."""
+
+    def decide_batch(batch: DataFrame, number: int) -> None:
+        sink(decide_requests(batch, facts(), cfg, salt, site), number)
+
+    return requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(decide_batch).trigger(availableNow=True)
+
+
 def eligibility_by_window(decided: DataFrame, delay: str = "10 minutes", length: str = "1 hour") -> DataFrame:
     """Reasons per hour (T3). State: one count per open window and reason."""
     reason = F.coalesce("reason", F.lit("eligible"))
