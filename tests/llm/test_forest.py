@@ -36,25 +36,32 @@ def test_whole_small_table_is_exact(spark, sf):
     assert all(abs(a[1] - b[1]) < 1e-12 for q in got for a, b in zip(got[q], want[q], strict=True))
 
 
-def test_recall_of_the_forest(spark):
-    """Groups planned small, so that trees and the common ascent do the work."""
-    d = "/root/testdata/check_s"
-    rows = spark.read.parquet(f"{d}/embeddings.parquet")
-    want = brute([(r.vec_id, r.embedding) for r in rows.collect()][:10_300], 10, 400)
-    got = lists(nearest(rows, every=400))
-    assert set(got) == set(want) and all(len(x) == 10 for x in got.values())
-    hits = sum(len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in want)
-    assert hits >= 0.9 * 10 * len(want)
+@pytest.mark.parametrize("n,group_rows", [(9_000, 8192), (16_000, 1000)])
+def test_recall_of_the_forest(spark, n, group_rows):
+    """Vectors in clusters, as many as do not fit one group: every query of the contract against all rows."""
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(40, 64))
+    values = (centres[rng.integers(0, 40, n)] + 0.7 * rng.normal(size=(n, 64))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "vec_id long, embedding array<float>")
+    got = lists(nearest(frame, every=100, group_rows=group_rows))
+    assert set(got) == set(range(0, n, 100)) and all(len(x) == 10 for x in got.values())
+    hits = 0
+    exact = values.astype(np.float64)
     for q, x in got.items():
+        d = np.sqrt(((exact - exact[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len({j for j, _ in x} & set(np.lexsort((np.arange(n), d))[:10].tolist()))
         assert x == sorted(x, key=lambda y: (y[1], y[0]))
+        assert np.allclose([s for _, s in x], d[[j for j, _ in x]], rtol=1e-12)
+    assert hits >= 0.9 * 10 * len(got)
 
 
 def test_the_ascent_goes_past_the_groups_digits(spark):
     """group_rows forces three digits for groups of 4,000 rows of 4 components; results are those of groups of one digit."""
     rng = np.random.default_rng(3)
     rows = [(i, v) for i, v in enumerate(rng.normal(size=(4000, 4)).astype(np.float32).tolist(), 1)]
-    rows = table(spark, rows).repartition(2).localCheckpoint()
-    want = brute([(r.vec_id, r.embedding) for r in rows.collect()], 10, 100)
+    want = brute(rows, 10, 100)
+    rows = table(spark, rows).repartition(2)
     few, many = ({"trees": 2, "candidates": 700, "every": 100, "group_rows": g} for g in (40, 3999))
     got = lists(nearest(rows, **few))
     assert got == lists(nearest(rows, **many))
