@@ -71,7 +71,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
         .groupBy(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2"))
         .agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
     )
-    rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"))
+    rows = documents.select(F.struct(*(documents[f"`{c}`"].alias(c) for c in documents.columns)).alias("row"))
     joined = rows.join(spans, F.col("row.doc_id").eqNullSafe(F.col("k1")) & (F.xxhash64("row.text") == F.col("k2")), "left")
     text = F.col("row.text")
 

@@ -145,7 +145,7 @@ def keep_one(documents: DataFrame, length: int = 3, distance: int = 2) -> DataFr
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     least = rows.groupBy("fp").agg(F.min(place).alias("place")).join(classes, "fp").groupBy("label").agg(F.min("place").alias("place"))
     stay = least.select(F.col("place.doc_id").alias("k1"), F.col("place.text_hash").alias("k2"))
-    one = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"))
+    one = documents.select(F.struct(*(documents[f"`{c}`"].alias(c) for c in documents.columns)).alias("row"))
     kept = one.join(
         stay, F.col("row.doc_id").cast("long").eqNullSafe(F.col("k1")) & (F.xxhash64("row.text") == F.col("k2")), "left_semi"
     ).select("row.*")

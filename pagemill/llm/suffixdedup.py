@@ -537,7 +537,7 @@ def strip_documents(documents: DataFrame, length: int = 50, targets: int | None
     What is left of a character that a cut goes through becomes U+FFFD.
     """
     spans = spans_to_remove(documents.select("doc_id", "text"), length, targets)
-    rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"))
+    rows = documents.select(F.struct(*(documents[f"`{c}`"].alias(c) for c in documents.columns)).alias("row"))
     key = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LEAST))
     joined = rows.join(spans, (key == F.col("k1")) & (F.xxhash64("row.text") == F.col("k2")), "left").select("row", F.col("row.text").alias("text"), "spans")
 

@@ -122,3 +122,17 @@ def test_words_survive(stages):
     """Removing repeats never makes up text."""
     first = {w for _, t in rows_of(stages[0][0]) for w in re.findall(r"\w+", t)}
     assert len({w for _, t in rows_of(stages[1][1]) for w in re.findall(r"\w+", t)} - first) == 0
+
+
+def test_columns_with_dots_and_clashing_names(spark):
+    """Names that look like fields, or like columns the operators make themselves, go through all stages unharmed."""
+    import corpus_pipeline
+
+    words = " ".join(f"word{i} and more." for i in range(60))
+    rows = [(i, f"{words}\nline {i} one\nline {i} two\nline {i} three", "en", "s", 5, i, "x", "y", 7) for i in range(12)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, `a.b` long, `row` string, `k1` string, fp int"
+    docs = spark.createDataFrame(rows, names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, "")
+        assert kept.columns == docs.columns, name
+        assert all(r["a.b"] == r.doc_id and r["row"] == "x" and r.fp == 7 for r in kept.collect()), name
