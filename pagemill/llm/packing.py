@@ -29,19 +29,22 @@ PIECES = (
 
 
 def tokenise(documents: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id and the ids (`ids`, little-endian unsigned 16-bit, zlib at its fastest) of each row with end_id behind."""
+    """doc_id, the ids (`ids`, little-endian unsigned 16-bit, zlib at its fastest) of each row with end_id behind, and how
+    many they are (`n`)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = ChunkEncoder.of(vocabulary, 2), end_id.to_bytes(2, "little")
         for batch in pieces(batches, "text"):
-            ids = [zlib.compress(x + end, 1) for x in encoder.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids = encoder.encode(batch.column(1).to_pylist())
+            n = pa.array([len(x) // 2 + 1 for x in ids], pa.int64())
+            packed = pa.array([zlib.compress(x + end, 1) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, n], ["doc_id", "ids", "n"])
 
-    return map_batches(documents.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, ids binary")
+    return map_batches(documents.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, ids binary, n long")
 
 
 def concatenate_and_cut(tokens: DataFrame, length: int = 1024) -> DataFrame:
-    """Pieces of `tokens` (doc_id, ids as of tokenise) in sequences of `length` ids.
+    """Pieces of `tokens` (doc_id, ids and n as of tokenise) in sequences of `length` ids.
 
     One row per piece: start and length count ids within the document, offset within the sequence, doc_tokens is the
     document's total, ids_crc32 is over the piece's ids as little-endian unsigned 32-bit integers. padded_length is
@@ -50,21 +53,9 @@ def concatenate_and_cut(tokens: DataFrame, length: int = 1024) -> DataFrame:
     Rows without ids give no piece; rows with equal doc_id are packed each on its own; a null doc_id stays null; an
     empty table gives an empty result.
     """
-    tokens = checkpointed(tokens.select("doc_id", "ids"))
+    tokens = checkpointed(tokens.select("doc_id", "ids", "n"))
     part = F.spark_partition_id()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(zlib.decompress(x)) // 2 for x in batch.column(1).to_pylist()], pa.int64())],
-                ["part", "n"],
-            )
-
-    totals = {
-        r.part: r.n
-        for r in map_batches(tokens.select(part.alias("part"), "ids"), count, "part int, n long")
-        .groupBy("part").agg(F.sum("n").alias("n")).collect()
-    }
+    totals = {r.part: r.n for r in tokens.groupBy(part.alias("part")).agg(F.sum("n").alias("n")).collect()}
     begins: dict[int, int] = {}
     total = 0
     for p in sorted(totals):

@@ -3,16 +3,20 @@
 The byte-level pattern always begins a new piece at a white-space character that follows a character other than
 white space. Where a single blank or line feed stands between two such characters, the text may therefore be cut
 before it, and the chunks encoded one by one give the ids of the whole. Added tokens of the vocabulary must hold no
-white space, which is checked, so a cut is never inside one.
+white space, which is checked, so a cut is never inside one. Nor does the pattern ever leave a stop, comma or the like
+in one piece with a letter or digit before it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 #: Chunks remembered by a Python worker before it starts anew: bounds memory, not results.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
+
+# Signs that never stand in one piece with a letter or digit before them.
+SIGNS = (",", ".", ";", ":", "!", "?")
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _loaded: dict[tuple[str, int], "ChunkEncoder"] = {}
@@ -66,27 +70,39 @@ class ChunkEncoder:
             known.clear()
         cut: list[list[str]] = []
         new: set[str] = set()
-        for text in texts:
-            text = text or ""
-            if "\0" in text:
-                parts = chunks_of(text)
-            else:
-                parts = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        uneven: dict[int, None] = {}  # texts in which white space stands beside white space
+        for i, text in enumerate(texts):
+            parts = _quick(text) if text else []
             missing = set(parts).difference(known)
-            if missing and not all(_whole(x) for x in missing):
-                # white space stands beside white space somewhere
-                parts = chunks_of(text)
-                missing = set(parts).difference(known)
-            new |= missing
+            missing -= new
+            if missing and not all(map(_whole, missing)):
+                parts, uneven[i] = chunks_of(text), None
+            else:
+                new |= missing
             cut.append(parts)
-        if new:
-            fresh = list(new)
-            known.update(zip(fresh, self._encode_many(fresh), strict=True))
-        joined = [b"".join([known[x] for x in parts]) for parts in cut]
-        for chunk in new:
-            if not _whole(chunk):
-                del known[chunk]  # so that quick cutting never finds a part that must not stand alone
-        return joined
+        known.update(self._encode_new(new))
+        # what is remembered may all stand alone, so that quick cutting never finds a part that must not
+        apart = dict(self._encode_new({x for i in uneven for x in cut[i] if x not in known}))
+        for i in uneven:
+            cut[i] = [known[x] if x in known else apart[x] for x in cut[i]]
+        return [b"".join(parts if i in uneven else [known[x] for x in parts]) for i, parts in enumerate(cut)]
+
+    def _encode_new(self, chunks: set[str]) -> Iterator[tuple[str, bytes]]:
+        """Each chunk with its ids. A sign behind a letter or digit begins a piece of its own, so a word before it is
+        encoded once, whatever follows it."""
+        words = {x: x[:-1] for x in chunks if x[-1:] in SIGNS and x[-2:-1].isalnum()}
+        whole = list(chunks.difference(words).union(words.values()).difference(self._known).union(SIGNS if words else ()))
+        ids = dict(zip(whole, self._encode_many(whole) if whole else (), strict=True))
+        for x in chunks:
+            if x in words:
+                yield x, (ids.get(words[x]) or self._known[words[x]]) + ids[x[-1]]
+            else:
+                yield x, ids[x]
+
+
+def _quick(text: str) -> list[str]:
+    """chunks_of(text), if no white space stands beside white space."""
+    return chunks_of(text) if "\0" in text else text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
 
 def _whole(chunk: str) -> bool:
