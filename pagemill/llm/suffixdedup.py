@@ -44,10 +44,14 @@ BASE = 0x9E3779B97F4A7C15
 #: Slots that segments are counted in by their part. A part is hot if its slot holds HOT times the mean and HOT_LEAST segments.
 SLOTS, HOT, HOT_LEAST = 1 << 16, 8, 20_000
 LEAST = -(1 << 63)  # stands for a null doc_id
+#: Segments that a task is to hold, about, and rows of a batch of spans.
+TASK_SEGMENTS, SPAN_ROWS = 400_000, 100_000
 
 SEGMENTS = "target int, doc_ids binary, text_hashes binary, places binary, payload binary, kind int"
 NAMES = [x.split()[0] for x in SEGMENTS.split(", ")]
-SPANS = "doc_id long, text_hash long, begins binary, ends binary"
+#: A span is one number: its begin in the upper half, its end in the lower; texts are shorter than 2^31 bytes.
+SPANS = "doc_id long, text_hash long, span long"
+HALF = 32
 
 
 def rolling(data: np.ndarray, length: int) -> np.ndarray:
@@ -278,14 +282,18 @@ def _in_array(texts: list[np.ndarray], ids: list[int], length: int) -> list[tupl
     return [(int(owner[a]), order[a:b] - begins[owner[a]]) for a, b in _runs(owner)]
 
 
-def _merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans in ascending order without overlaps; spans that touch become one."""
+def _merged(docs: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of numbered documents in ascending order without overlaps; spans of a document that touch become one."""
     import numpy as np
 
+    base = docs.astype(np.int64) << HALF
+    begins, ends = base + begins, base + ends
     turn = np.argsort(begins, kind="stable")
     begins, ends = begins[turn], np.maximum.accumulate(ends[turn])
-    fresh = np.append(True, begins[1:] > ends[:-1])
-    return begins[fresh], ends[np.append(fresh[1:], True)]
+    fresh = np.append(True, begins[1:] > ends[:-1])[: len(begins)]
+    begins, ends = begins[fresh], ends[np.append(fresh[1:], True)[: len(ends)]]
+    docs = begins >> HALF
+    return docs, begins - (docs << HALF), ends - (docs << HALF)
 
 
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -296,19 +304,21 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     return [*zip([0, *edges], [*edges, len(values)], strict=True)] if len(values) else []
 
 
-def _spans(docs: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-    """(number of a document, begins, ends) of merged spans, for each document."""
+def _bytes_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
+    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte: the lowest bytes of all, then the next; small numbers leave planes of zeros, which pack well."""
     import numpy as np
 
-    turn = np.argsort(docs, kind="stable")
-    docs, begins, ends = docs[turn], begins[turn], ends[turn]
-    for a, b in _runs(docs):
-        x, y = _merged(begins[a:b], ends[a:b])
-        yield int(docs[a]), x.astype("<i8").tobytes(), y.astype("<i8").tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 
-def _bytes_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
-    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+def from_planes(data: np.ndarray, kind: str) -> np.ndarray:
+    import numpy as np
+
+    return np.ascontiguousarray(data.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def packed(packer, docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -317,24 +327,24 @@ def packed(packer, docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> b
 
     fresh = np.append(True, docs[1:] != docs[:-1])
     steps = np.where(fresh, starts, starts - np.append(0, starts[:-1]))
-    return packer.compress(b"".join(x.astype(k).tobytes() for x, k in ((np.diff(docs, prepend=0), "<i4"), (steps, "<i8"), (sizes, "<i4"))))
+    return packer.compress(b"".join(planes(x.astype(k)) for x, k in ((np.diff(docs, prepend=0), "<i4"), (steps, "<i8"), (sizes, "<i4"))))
 
 
 def unpacked(opener, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     import numpy as np
 
-    raw = opener.decompress(data)
+    raw = np.frombuffer(opener.decompress(data), np.uint8)
     n = len(raw) // 16
-    docs = np.cumsum(np.frombuffer(raw, "<i4", n))
-    steps, sizes = np.frombuffer(raw, "<i8", n, 4 * n), np.frombuffer(raw, "<i4", n, 12 * n).astype(np.int64)
+    docs = np.cumsum(from_planes(raw[: 4 * n], "<i4"))
+    steps, sizes = from_planes(raw[4 * n : 12 * n], "<i8"), from_planes(raw[12 * n :], "<i4").astype(np.int64)
     total = np.cumsum(steps)
     first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
     before = np.repeat(total[first] - steps[first], np.diff(np.append(first, n)))
     return docs, total - before, sizes
 
 
-def hot_slots(documents: DataFrame, length: int) -> frozenset[int]:
-    """Slots of parts that too many different segments share. Which slots these are changes no result.
+def hot_slots(documents: DataFrame, length: int) -> tuple[frozenset[int], int]:
+    """Slots of parts that too many different segments share, and the number of segments. Neither changes a result.
 
     A task passes on only counts above its own mean, so little moves, and what is not passed on is below the mean too.
     """
@@ -360,8 +370,9 @@ def hot_slots(documents: DataFrame, length: int) -> frozenset[int]:
     total = map_batches(texts, work, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     # SLOTS + 1 rows at most
     of = {r.slot: r.n for r in total.where((F.col("slot") < 0) | (F.col("n") >= HOT_LEAST)).collect()}
-    least = max(HOT_LEAST, HOT * of.pop(-1, 0) / SLOTS)
-    return frozenset(slot for slot, n in of.items() if n >= least)
+    segments = of.pop(-1, None) or 0
+    least = max(HOT_LEAST, HOT * segments / SLOTS)
+    return frozenset(slot for slot, n in of.items() if n >= least), segments
 
 
 def to_segments(documents: DataFrame, length: int, targets: int, hot: frozenset[int] = frozenset()) -> DataFrame:
@@ -391,8 +402,10 @@ def to_segments(documents: DataFrame, length: int, targets: int, hot: frozenset[
                 stay[gone] = False
                 rows: list[tuple] = []
                 if len(gone):
-                    for k, b, e in _spans(number[gone], start[gone], start[gone] + size[gone]):
-                        rows.append((int(hashes[k]) % targets, all_ids[k : k + 1].tobytes(), hashes[k : k + 1].tobytes(), b, e, 1))
+                    docs, b, e = _merged(number[gone], start[gone], start[gone] + size[gone])
+                    for x, y in _runs(docs):
+                        k = docs[x]
+                        rows.append((int(hashes[k]) % targets, all_ids[k : k + 1].tobytes(), hashes[k : k + 1].tobytes(), b[x:y].tobytes(), e[x:y].tobytes(), 1))
                 left = np.flatnonzero(stay)
                 target = (part[left] % np.uint64(targets)).astype(np.int64)
                 turn = np.argsort(target, kind="stable")
@@ -401,7 +414,8 @@ def to_segments(documents: DataFrame, length: int, targets: int, hot: frozenset[
                     some = left[a:b]
                     docs, which = np.unique(number[some], return_inverse=True)
                     rows.append((
-                        int(target[a]), all_ids[docs].tobytes(), hashes[docs].tobytes(), packed(packer, which, start[some], size[some]),
+                        int(target[a]), packer.compress(planes(np.diff(all_ids[docs], prepend=0))), hashes[docs].tobytes(),
+                        packed(packer, which, start[some], size[some]),
                         packer.compress(b"".join([keys[i] for i in some])), 0,
                     ))
                 kinds = [pa.int32(), *[pa.binary()] * 4, pa.int32()]
@@ -412,7 +426,7 @@ def to_segments(documents: DataFrame, length: int, targets: int, hot: frozenset[
 
 
 def repeated_spans(segments: DataFrame, length: int, targets: int) -> DataFrame:
-    """Spans to remove, merged within each task and document."""
+    """Spans to remove, a row each, merged within each task and document: rows follow what repeats, not the number of tasks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -424,17 +438,19 @@ def repeated_spans(segments: DataFrame, length: int, targets: int) -> DataFrame:
         doc_of: list[np.ndarray] = []
         starts: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
-        spans: list[tuple[int, bytes, bytes]] = []
+        spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 _, ids, hashes, places, payload, kind = row
-                keys = [*zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(hashes, "<i8").tolist(), strict=True)]
+                ids = np.frombuffer(ids, "<i8") if kind else np.cumsum(from_planes(np.frombuffer(opener.decompress(ids), np.uint8), "<i8"))
+                keys = [*zip(ids.tolist(), np.frombuffer(hashes, "<i8").tolist(), strict=True)]
                 for key in keys:
                     if key not in known:
                         known[key] = len(doc_keys)
                         doc_keys.append(key)
                 if kind:
-                    spans.append((known[keys[0]], places, payload))
+                    begins = np.frombuffer(places, "<i8")
+                    spans.append((np.full(len(begins), known[keys[0]]), begins, np.frombuffer(payload, "<i8")))
                     continue
                 which, start, size = unpacked(opener, places)
                 starts.append(start)
@@ -443,7 +459,7 @@ def repeated_spans(segments: DataFrame, length: int, targets: int) -> DataFrame:
                 raw, ends = opener.decompress(payload), np.cumsum(size)
                 seen.add(
                     [raw[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)],
-                    np.frombuffer(ids, "<i8")[which].tolist(),
+                    ids[which].tolist(),
                 )
         none = np.array([], np.int64)
         of, start, size = np.concatenate([*doc_of, none]), np.concatenate([*starts, none]), np.concatenate([*sizes, none])
@@ -453,15 +469,12 @@ def repeated_spans(segments: DataFrame, length: int, targets: int) -> DataFrame:
         for i, windows in shared_windows(keys, [seen.ids[o] for o in stands], length):
             for o in (stands[i], *seen.ties.get(stands[i], ())):
                 found.append((np.full(len(windows), of[o]), start[o] + windows, start[o] + windows + length))
-        for k, b, e in spans:
-            b, e = np.frombuffer(b, "<i8"), np.frombuffer(e, "<i8")
-            found.append((np.full(len(b), k), b, e))
-        merged = [*_spans(*(np.concatenate(x) for x in zip(*found, strict=True)))]
-        columns = [
-            pa.array([doc_keys[k][0] for k, _, _ in merged], pa.int64()), pa.array([doc_keys[k][1] for k, _, _ in merged], pa.int64()),
-            pa.array([b for _, b, _ in merged], pa.binary()), pa.array([e for _, _, e in merged], pa.binary()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SPANS.split(", ")])
+        docs, begins, ends = _merged(*(np.concatenate(x) for x in zip(*found, *spans, strict=True)))
+        ids, hashes = np.array(doc_keys, np.int64).reshape(-1, 2).T
+        for a in range(0, len(docs), SPAN_ROWS):
+            b = a + SPAN_ROWS
+            columns = [ids[docs[a:b]], hashes[docs[a:b]], begins[a:b] << HALF | ends[a:b]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], [x.split()[0] for x in SPANS.split(", ")])
 
     return map_batches(segments.repartitionById(targets, F.col("target")), work, SPANS)
 
@@ -481,23 +494,34 @@ def squeezed(documents: DataFrame) -> DataFrame:
 
 
 def spans_to_remove(documents: DataFrame, length: int, targets: int | None) -> DataFrame:
-    """k1 and k2 (doc_id, null as LEAST, and hash of the text) with the `spans` of each document that loses bytes."""
+    """k1 and k2 (doc_id, null as LEAST, and hash of the text) with the `spans` of each document that loses bytes.
+
+    Where `targets` is not given, there are as many as keep a task's segments near TASK_SEGMENTS, however large the table.
+    """
     if length < PART:
         raise ValueError(f"length must be {PART} at least")
-    targets = targets or 2 * parallelism(documents.sparkSession)
-    found = repeated_spans(to_segments(documents, length, targets, hot_slots(documents, length)), length, targets)
-    return found.groupBy(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2")).agg(
-        F.collect_list(F.struct("begins", "ends")).alias("spans")
-    )
+    hot, segments = hot_slots(documents, length)
+    targets = targets or max(2 * parallelism(documents.sparkSession), segments // TASK_SEGMENTS)
+    found = repeated_spans(to_segments(documents, length, targets, hot), length, targets)
+    return found.groupBy(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2")).agg(F.collect_list("span").alias("spans"))
+
+
+def spans_of(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The spans of each row; none where the row has no list."""
+    import numpy as np
+
+    # a filter for nulls is not needed: their lists are empty
+    values, offsets = column.values.to_numpy(zero_copy_only=False), np.asarray(column.offsets)
+    return (values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True))
 
 
-def without(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
+def without(text: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
     """What is left of a text, the bytes removed and the spans they form."""
     import numpy as np
 
-    if not spans:
+    if not len(spans):
         return text, 0, 0
-    b, e = _merged(*(np.frombuffer(b"".join(s[x] for s in spans), "<i8") for x in ("begins", "ends")))
+    _, b, e = _merged(np.zeros(len(spans), np.int64), spans >> HALF, spans & ((1 << HALF) - 1))
     edges = [0, *np.stack([b, e], 1).ravel().tolist(), len(text)]
     return b"".join([text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)]), int((e - b).sum()), len(b)
 
@@ -518,7 +542,7 @@ def strip_repeats(documents: DataFrame, length: int = 50, targets: int | None =
         opener = zstandard.ZstdDecompressor()
         for batch in pieces(batches, "packed"):
             out = []
-            for doc_id, text, spans in zip(batch.column(0).to_pylist(), _bytes_of(batch, 1), batch.column(2).to_pylist(), strict=True):
+            for doc_id, text, spans in zip(batch.column(0).to_pylist(), _bytes_of(batch, 1), spans_of(batch.column(2)), strict=True):
                 text = opener.decompress(text)
                 kept, removed, count = without(text, spans)
                 out.append((doc_id, len(text), removed, count, hashlib.sha256(kept).hexdigest(), kept))
@@ -544,8 +568,8 @@ def strip_documents(documents: DataFrame, length: int = 50, targets: int | None
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             texts = [
-                t if t is None or not s else without(t.encode(), s)[0].decode(errors="replace")
-                for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+                t if t is None or not len(s) else without(t.encode(), s)[0].decode(errors="replace")
+                for t, s in zip(batch.column(1).to_pylist(), spans_of(batch.column(2)), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 

@@ -1,7 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -99,7 +101,7 @@ def boundary_rows(n):
 def test_windows_of_hot_parts_are_dealt_one_by_one(make, monkeypatch):
     monkeypatch.setattr(suffixdedup, "HOT_LEAST", 50)
     rows = boundary_rows(600) + [(None, boundary_rows(1)[0][1]), (3, boundary_rows(4)[3][1] + "!")]
-    hot = suffixdedup.hot_slots(make(rows), 50)
+    hot, _ = suffixdedup.hot_slots(make(rows), 50)
     assert hot
     texts = [(0, t.encode()) for _, t in rows]
     data, _, _, at, size, part = suffixdedup.cut(texts, 50, hot)
@@ -136,3 +138,23 @@ def test_suffix_arrays_of_repetitive_texts():
         a, b = b, b + a  # the Fibonacci word
     for data in (b, [2] * 300, [0, 1] * 150, [1, 0] * 150, list(range(100)) * 3, list(range(100, 0, -1))):
         assert suffix_array(data) == sorted(range(len(data)), key=lambda i: data[i:])
+
+
+def test_spans_merge_within_a_document_only():
+    rng = np.random.default_rng(3)
+    docs, begins = rng.integers(0, 9, 400), rng.integers(0, 900, 400)
+    ends = begins + rng.integers(1, 12, 400)
+    covered = {(d, x) for d, b, e in zip(docs.tolist(), begins.tolist(), ends.tolist(), strict=True) for x in range(b, e)}
+    d, b, e = suffixdedup._merged(docs, begins, ends)
+    assert {(k, x) for k, y, z in zip(d.tolist(), b.tolist(), e.tolist(), strict=True) for x in range(y, z)} == covered
+    assert all(d[i] < d[i + 1] or e[i] < b[i + 1] for i in range(len(d) - 1))
+    assert not len(suffixdedup._merged(*(np.array([], np.int64),) * 3)[0])
+
+
+def test_packed_columns_come_back():
+    docs = np.array([0, 0, 2, 2, 70_000])
+    starts, sizes = np.array([5, 1 << 30, 0, 3, 9]), np.array([50, 90, 1 << 20, 51, 50])
+    got = suffixdedup.unpacked(zstandard.ZstdDecompressor(), suffixdedup.packed(zstandard.ZstdCompressor(), docs, starts, sizes))
+    assert [x.tolist() for x in got] == [docs.tolist(), starts.tolist(), sizes.tolist()]
+    ids = np.array([-(1 << 63), 7, 3, (1 << 63) - 1])
+    assert suffixdedup.from_planes(np.frombuffer(suffixdedup.planes(ids), np.uint8), "<i8").tolist() == ids.tolist()
