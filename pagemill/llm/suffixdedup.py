@@ -41,8 +41,9 @@ PART = 10
 CUT_BYTES, ARRAY_BYTES = 3 << 20, 128 << 10
 #: Odd, so that powers of it can be inverted: the base of the hashes.
 BASE = 0x9E3779B97F4A7C15
-#: Slots that segments are counted in by their part. A part is hot if its slot holds HOT times the mean and HOT_LEAST segments.
-SLOTS, HOT, HOT_LEAST = 1 << 16, 8, 20_000
+#: Slots that segments are counted in by their part. A part is hot if its slot holds HOT times the mean and HOT_SHARE of
+#: what a task gets on average; smaller ones can't make a task uneven, and dealing out their windows would move more.
+SLOTS, HOT, HOT_SHARE = 1 << 16, 8, 0.5
 LEAST = -(1 << 63)  # stands for a null doc_id
 #: Segments that a task is to hold, about, and rows of a batch of spans.
 TASK_SEGMENTS, SPAN_ROWS = 400_000, 100_000
@@ -343,8 +344,9 @@ def unpacked(opener, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return docs, total - before, sizes
 
 
-def hot_slots(documents: DataFrame, length: int) -> tuple[frozenset[int], int]:
-    """Slots of parts that too many different segments share, and the number of segments. Neither changes a result.
+def hot_slots(documents: DataFrame, length: int, targets: int | None = None) -> tuple[frozenset[int], int]:
+    """Slots of parts that too many different segments share, and the number of targets, so many that a task holds about
+    TASK_SEGMENTS however large the table, where it isn't given. Neither changes a result.
 
     A task passes on only counts above its own mean, so little moves, and what is not passed on is below the mean too.
     """
@@ -368,11 +370,11 @@ def hot_slots(documents: DataFrame, length: int) -> tuple[frozenset[int], int]:
 
     texts = documents.select("text").where(F.octet_length("text") >= length)
     total = map_batches(texts, work, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    # SLOTS + 1 rows at most
-    of = {r.slot: r.n for r in total.where((F.col("slot") < 0) | (F.col("n") >= HOT_LEAST)).collect()}
+    of = {r.slot: r.n for r in total.collect()}  # SLOTS + 1 rows at most
     segments = of.pop(-1, None) or 0
-    least = max(HOT_LEAST, HOT * segments / SLOTS)
-    return frozenset(slot for slot, n in of.items() if n >= least), segments
+    targets = targets or max(2 * parallelism(documents.sparkSession), segments // TASK_SEGMENTS)
+    least = max(HOT_SHARE * segments / targets, HOT * segments / SLOTS)
+    return frozenset(slot for slot, n in of.items() if n > least), targets
 
 
 def to_segments(documents: DataFrame, length: int, targets: int, hot: frozenset[int] = frozenset()) -> DataFrame:
@@ -494,14 +496,10 @@ def squeezed(documents: DataFrame) -> DataFrame:
 
 
 def spans_to_remove(documents: DataFrame, length: int, targets: int | None) -> DataFrame:
-    """k1 and k2 (doc_id, null as LEAST, and hash of the text) with the `spans` of each document that loses bytes.
-
-    Where `targets` is not given, there are as many as keep a task's segments near TASK_SEGMENTS, however large the table.
-    """
+    """k1 and k2 (doc_id, null as LEAST, and hash of the text) with the `spans` of each document that loses bytes."""
     if length < PART:
         raise ValueError(f"length must be {PART} at least")
-    hot, segments = hot_slots(documents, length)
-    targets = targets or max(2 * parallelism(documents.sparkSession), segments // TASK_SEGMENTS)
+    hot, targets = hot_slots(documents, length, targets)
     found = repeated_spans(to_segments(documents, length, targets, hot), length, targets)
     return found.groupBy(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2")).agg(F.collect_list("span").alias("spans"))
 

@@ -98,11 +98,11 @@ def boundary_rows(n):
     return [(i, f"{rng.random()} {passage if i % 3 == 0 else ''} {rng.random()}") for i in range(n)]
 
 
-def test_windows_of_hot_parts_are_dealt_one_by_one(make, monkeypatch):
-    monkeypatch.setattr(suffixdedup, "HOT_LEAST", 50)
+def test_windows_of_hot_parts_are_dealt_one_by_one(make):
     rows = boundary_rows(600) + [(None, boundary_rows(1)[0][1]), (3, boundary_rows(4)[3][1] + "!")]
-    hot, _ = suffixdedup.hot_slots(make(rows), 50)
-    assert hot
+    hot, targets = suffixdedup.hot_slots(make(rows), 50, 20)
+    assert hot and targets == 20
+    assert not suffixdedup.hot_slots(make(rows), 50, 1)[0]
     texts = [(0, t.encode()) for _, t in rows]
     data, _, _, at, size, part = suffixdedup.cut(texts, 50, hot)
     groups = {}
@@ -110,7 +110,7 @@ def test_windows_of_hot_parts_are_dealt_one_by_one(make, monkeypatch):
         groups.setdefault(p, set()).add(data[a : a + n].tobytes())
     assert max(map(len, groups.values())) < 50
     assert sum(size - 49) == sum(max(0, len(t) - 49) for _, t in texts)
-    compare(make, rows, targets=4)
+    compare(make, rows, targets=20)
 
 
 def test_equal_pieces_enter_an_array_once(monkeypatch):
