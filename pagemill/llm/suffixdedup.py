@@ -407,7 +407,7 @@ def to_segments(documents: DataFrame, length: int, targets: int, hot: frozenset[
                     docs, b, e = _merged(number[gone], start[gone], start[gone] + size[gone])
                     for x, y in _runs(docs):
                         k = docs[x]
-                        rows.append((int(hashes[k]) % targets, all_ids[k : k + 1].tobytes(), hashes[k : k + 1].tobytes(), b[x:y].tobytes(), e[x:y].tobytes(), 1))
+                        rows.append((int(hashes[k] ^ all_ids[k]) % targets, all_ids[k : k + 1].tobytes(), hashes[k : k + 1].tobytes(), b[x:y].tobytes(), e[x:y].tobytes(), 1))
                 left = np.flatnonzero(stay)
                 target = (part[left] % np.uint64(targets)).astype(np.int64)
                 turn = np.argsort(target, kind="stable")
