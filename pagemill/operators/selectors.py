@@ -119,5 +119,7 @@ def match_selector_table(elements: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def match_selectors(elements: DataFrame, texts: list[str]) -> DataFrame:
-    """The same for a list of texts; the rank is the place in it."""
-    return match_selector_table(elements, compiled_table(elements.sparkSession, texts))
+    """The same for a list of texts; the rank is the place in it. The list is the caller's own and goes to every task, so
+    elements are not moved: left to itself, Spark takes a table of a few rows, in few of many partitions, for one
+    that is better sorted, and then all elements with it."""
+    return match_selector_table(elements, F.broadcast(compiled_table(elements.sparkSession, texts)))
