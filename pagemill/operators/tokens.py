@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..functions import text as T
 
 
+#: Bytes of HTML that a task of the page job gets, about. They grow about tenfold in segments, and some twenty sorts of a
+#: task hold the segments once each. Far less would not pay: a task also has seconds of its own, as its many generated
+#: classes don't all fit in Spark's cache for them.
+TASK_BYTES = 10 << 20
+
+
+def tasks_for(spark: SparkSession, size: int) -> int:
+    """Tasks for `size` bytes of HTML: each one's share stays the same however large the table is. Small tables get a task
+    for each core, at most spark.sql.shuffle.partitions. Never just as many as these: Spark would drop an exchange like
+    that of a join right before it as needless, and then put the join's partitions together by their shuffled bytes."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(min(usual, spark.sparkContext.defaultParallelism), -(-size // TASK_BYTES))
+    return tasks + (tasks == usual)
+
+
+def page_tasks(pages: DataFrame) -> int:
+    """tasks_for() what html holds in all: one sum over that column, which runs at once."""
+    return tasks_for(pages.sparkSession, pages.agg(F.sum(F.octet_length("html")).alias("n")).first().n or 0)
+
+
 def by_page(pages: DataFrame, co_located: bool = False, partitions: int | None = None) -> DataFrame:
     """The one shuffle of the page job, done on whole page rows, before they multiply into segments.
 
     Everything later is partitioned by page_id and needs no exchange. Pass co_located=True when the
     input already arrives that way (a table bucketed by page_id). The number of partitions is given
-    outright, by default as spark.sql.shuffle.partitions: a page grows about tenfold in segments, which
-    sizing by shuffled bytes would not see. It is parallelism only; plan for some 100 MB of HTML each.
+    outright, by default as page_tasks(): a page grows about tenfold in segments, which sizing by
+    shuffled bytes would not see. It is parallelism only; give it where pages are costly to compute.
     """
     if co_located:
         return pages
-    return pages.repartition(partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
+    return pages.repartition(partitions or page_tasks(pages), "page_id")
 
 
 def html_tokens(

@@ -9,8 +9,9 @@ from ..config import DAY_SECONDS, Settings, Site
 from ..operators.posts import with_post_facts
 from ..operators.requests import classify_requests, decide
 from ..operators.store import kept_entries, pages_to_refresh, serveable, span_of, upsert_entries, valid_spans
-from ..sources.versions import buckets_of, current_version, manifest, read_version, replace_buckets
-from .corpus import CORPUS_COLUMNS, build_corpus, keyed_pages
+from ..operators.tokens import tasks_for
+from ..sources.versions import bucket_of, buckets_of, current_version, manifest, read_version, replace_buckets
+from .corpus import CORPUS_COLUMNS, build_corpus, keyed_pages, page_columns
 
 
 def missing_pages(pages: DataFrame, live: DataFrame, cfg: Settings, site: Site = Site()) -> DataFrame:
@@ -60,9 +61,11 @@ def refresh_store(
     known = kept_entries(stored, invalidating, cfg, as_of)
     todo = missing_pages(pages, known, cfg, site)
     gone = stored.select("cache_key").join(known.select("cache_key"), "cache_key", "left_anti")
-    touched = buckets_of(keyed_pages(todo, cfg, site).select("cache_key").unionByName(gone), n)
+    key = page_columns(cfg, site)["cache_key"]
+    sizes = todo.groupBy(bucket_of(key, n).alias("b")).agg(F.sum(F.octet_length("html")).alias("n")).collect()  # a row a bucket
+    touched = {r.b for r in sizes} | buckets_of(gone, n)
     here = kept_entries(read_version(spark, root, number, touched), invalidating, cfg, as_of)
-    made = build_corpus(todo, cfg, as_of, site, descriptions)
+    made = build_corpus(todo, cfg, as_of, site, descriptions, partitions=tasks_for(spark, sum(r.n or 0 for r in sizes)))
     return replace_buckets(spark, root, here.select(*CORPUS_COLUMNS).unionByName(made.select(*CORPUS_COLUMNS)), touched)
 
 
