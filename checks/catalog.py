@@ -23,7 +23,7 @@ from pagemill.operators import routes as J
 from pagemill.operators import selectors as S
 from pagemill.operators import store as K
 from pagemill.operators.elements import html_elements
-from pagemill.operators.tokens import html_tokens, token_attrs
+from pagemill.operators.tokens import html_tokens, page_tasks, token_attrs
 from pagemill.plans import corpus as PC
 from pagemill.plans import refresh as PR
 from pagemill.sources import tables as IO
@@ -148,9 +148,11 @@ def m17_front_matter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m18_convert(spark: SparkSession, d: str) -> DataFrame:
-    content = E.extract_content(V.dressed_pages(spark, d), CFG).withColumnRenamed("content", "html")
+    dressed = V.dressed_pages(spark, d)
+    tasks = page_tasks(dressed)
+    content = E.extract_content(dressed, CFG, partitions=tasks).withColumnRenamed("content", "html")
     known = V.pages(spark, d).select("page_id", FM.page_title(F.col("html")).alias("title"), F.col("url").alias("canonical_url"), F.lit("").alias("description"))
-    return PC.convert_content(content.join(known, "page_id"), CFG).select("page_id", md5("markdown").alias("markdown_md5"))
+    return PC.convert_content(content.join(known, "page_id"), CFG, tasks).select("page_id", md5("markdown").alias("markdown_md5"))
 
 
 def cleanup_step(step: Callable[[Column], Column]) -> Query:

@@ -180,9 +180,11 @@ def content_rows(
     return drop_empty_elements(mark_blank(clean_targets(drop_excluded_and_hidden(within_content(tree)))))
 
 
-def fragment_rows(fragments: DataFrame, page_info: Column | None = None, with_tags: bool = False) -> DataFrame:
+def fragment_rows(
+    fragments: DataFrame, page_info: Column | None = None, with_tags: bool = False, partitions: int | None = None
+) -> DataFrame:
     """Segments of texts that are already content: nothing is picked or cut but raw elements."""
-    tree = page_tree(fragments, Settings(excluded_selectors=""), page_info, with_tags)
+    tree = page_tree(fragments, Settings(excluded_selectors=""), page_info, with_tags, partitions=partitions)
     rows = within_content(tree, any_length=True)
     return mark_blank(clean_targets(drop_subtrees(rows, F.col("kind") == "raw")))
 

@@ -39,10 +39,11 @@ def outcome(has_content: Column, markdown: Column) -> Column:
     return F.when(~has_content, "no_content").when(blank, "empty_markdown").otherwise("ok")
 
 
-def convert_content(contents: DataFrame, cfg: Settings) -> DataFrame:
-    """page_id, html (extracted content), title, canonical_url, description -> page_id, markdown."""
+def convert_content(contents: DataFrame, cfg: Settings, partitions: int | None = None) -> DataFrame:
+    """page_id, html (extracted content), title, canonical_url, description -> page_id, markdown (M18). partitions: as
+    in build_corpus; with those that extract_content was given, contents are not moved again."""
     info = F.struct("title", "canonical_url", "description")
-    made = render_events(content_events(fragment_rows(contents, info, with_tags=True)), info=True)
+    made = render_events(content_events(fragment_rows(contents, info, with_tags=True, partitions=partitions)), info=True)
     made = clean_markdown(made, F.lit(cfg.include_h1) & (F.col("info.title") != ""))
     page = front_matter(F.col("markdown"), F.col("info.title"), F.col("info.canonical_url"), F.col("info.description"), lead_image(F.col("content")), cfg)
     return made.select("page_id", page.alias("markdown"))
