@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..config import Settings, Site
 from ..operators.store import due_times
+from ..operators.tokens import page_tasks
 from ..plans.corpus import build_corpus, page_columns
 from ..plans.refresh import decide_requests
 
@@ -20,8 +21,7 @@ def due_pages(pages: DataFrame, stored: DataFrame | None, cfg: Settings, site: S
     several contents; source_id is the page's own."""
     keyed = pages.withColumn("cache_key", page_columns(cfg, site)["cache_key"])
     due = due_times(keyed, stored, cfg.ttl_seconds)
-    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    copies = keyed.join(due, "cache_key").repartition(tasks, "cache_key")
+    copies = keyed.join(due, "cache_key").repartition(page_tasks(pages), "cache_key")
     # rows of one key are equal in all that is converted
     columns = ["url", "html", *([site.language_column] if site.language_column else [])]
     one = copies.groupBy("cache_key").agg(F.first(F.struct("page_id", *columns)).alias("page"), F.first("due").alias("due"))
