@@ -9,6 +9,9 @@ in one piece with a letter or digit before it.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -38,6 +41,8 @@ class ChunkEncoder:
     def of(cls, path: str, width: int = 4) -> "ChunkEncoder":
         """The encoder of a tokenizers file, ids of `width` bytes; a Python worker loads each file once."""
         if (path, width) not in _loaded:
+            # a task has one core: the library's threads would take those of other tasks, and wait for each other
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
             import numpy as np
             from tokenizers import Tokenizer
 
@@ -100,6 +105,15 @@ class ChunkEncoder:
                 yield x, ids[x]
 
 
+def forget_all() -> None:
+    """Drops all encoders of this Python worker, which may have served another operator before, and gives their memory back."""
+    if _loaded:
+        _loaded.clear()
+        gc.collect()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 def _quick(text: str) -> list[str]:
     """chunks_of(text), if no white space stands beside white space."""
     return chunks_of(text) if "\0" in text else text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")

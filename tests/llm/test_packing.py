@@ -1,3 +1,4 @@
+import os
 import struct
 import zlib
 
@@ -70,3 +71,15 @@ def test_remembered_chunks_change_nothing(monkeypatch, docs, remembered):
     for texts in (odd, [t for _, t in docs[:40]], odd, [" ".join(odd[:5])] * 3, odd[::-1]):
         assert encoder.encode(texts) == [struct.pack(f"<{len(ids_of(t))}I", *ids_of(t)) for t in texts]
     assert "".join(chunks_of("a b  c\nd")) == "a b  c\nd"
+
+
+def test_a_task_has_one_thread_and_gives_its_memory_back(monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    vocab.forget_all()
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    first = vocab.ChunkEncoder.of(path, 2)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    before = first.encode(["some words", None])
+    vocab.forget_all()
+    again = vocab.ChunkEncoder.of(path, 2)
+    assert again is not first and again.encode(["some words", None]) == before
