@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 from uuid import uuid4
 
@@ -285,6 +285,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int)
         part = None
 
         def segment_of() -> pa.RecordBatch:
+            encoder.forget()  # models take the memory next; recurring chunks cost little beside them
             ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
             row = (
                 part, segment, start, np.array([i or 0 for i, _ in held], "<i8").tobytes(), bytes(i is None for i, _ in held),
@@ -303,13 +304,19 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int)
                     start, segment, held, total = start + total, segment + 1, [], 0
         if held:
             yield segment_of()
-        encoder.forget()  # the worker reads segments next, and needs the memory for models
 
     map_batches(ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text"), work, SEGMENTS).write.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), and `ids` (little-endian unsigned 32-bit) of each document written."""
+READ = "doc_id long, start long, ids binary"
+
+
+def read_tokens(spark: SparkSession, path: str, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = READ) -> DataFrame:
+    """doc_id, start (ids of all documents before it), and `ids` (little-endian unsigned 32-bit) of each document written.
+
+    then: what is made of each batch of these in the task that reads it, with columns as in `schema`; a step of its own
+    would have a second Python worker for each task.
+    """
     segments = spark.read.schema(SEGMENTS).parquet(path)
     lengths: dict[int, int] = {}
 
@@ -337,25 +344,24 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     pa.array([None if x else int(i) for i, x in zip(np.frombuffer(doc_ids, "<i8"), nulls, strict=True)], pa.int64()),
                     pa.array(lengths[part] + first + ends - n), pa.array([ids[4 * a : 4 * b] for a, b in zip(ends - n, ends, strict=True)], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "ids"])
+                made = pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "ids"])
+                yield then(made) if then else made
 
-    return map_batches(segments, work, "doc_id long, start long, ids binary")
+    return map_batches(segments, work, schema)
 
 
-def digests(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of read_tokens()."""
+DIGESTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(2).to_pylist()
-            columns = [batch.column(0), batch.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return map_batches(tokens, work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """doc_id, start, n_tokens and ids_crc32 of a batch of read_tokens()."""
+    ids = batch.column(2).to_pylist()
+    columns = [batch.column(0), batch.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def write_and_read(documents: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """digests() of `documents` after a round through files in the shared checkpoint folder.
+    """digest() of `documents` after a round through files in the shared checkpoint folder.
 
     A null or empty text is the end id alone; repeated rows and tied ids are documents of their own; a null doc_id comes
     first; other columns don't matter; an empty table gives an empty result.
@@ -363,4 +369,4 @@ def write_and_read(documents: DataFrame, vocabulary: str, end_id: int) -> DataFr
     spark = documents.sparkSession
     path = f"{checkpoint_folder(spark)}/tokens-{uuid4().hex}"
     write_tokens(documents, path, vocabulary, end_id)
-    return digests(read_tokens(spark, path))
+    return read_tokens(spark, path, digest, DIGESTS)

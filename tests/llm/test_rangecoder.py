@@ -115,3 +115,8 @@ def test_full_blocks_with_rare_ids_after_sure_guesses(monkeypatch):
 def test_too_many_symbols_are_refused():
     with pytest.raises(ValueError, match="symbols"):
         write_segment(np.zeros(5, "<u4"), 1 << 21)
+
+
+def test_one_python_worker_for_a_task(make):
+    plan = write_and_read(make([(1, "one two"), (2, None)]), PATH, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
