@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, parallelism, pieces
 from .suffixes import suffix_array
+from .vocab import forget_all
 
 if TYPE_CHECKING:
     import numpy as np
@@ -354,6 +355,7 @@ def hot_slots(documents: DataFrame, length: int, targets: int | None = None) ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        forget_all()  # segments need the memory
         counts = np.zeros(SLOTS, np.int64)
         for batch in pieces(batches, "text"):
             for block in blocks(_bytes_of(batch, 0), length):
