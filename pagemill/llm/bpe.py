@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 from .common import map_batches, pieces
 from .vocab import ChunkEncoder
 
+if TYPE_CHECKING:
+    import numpy as np
+
 #: States, pairs and pieces remembered by a Python worker before it starts anew: bounds memory, not results.
 STATES, PAIRS, PIECES = 200_000, 400_000, 800_000
 _loaded: dict[tuple[str, str], "Codec"] = {}
@@ -243,7 +247,9 @@ class Codec:
             _loaded[path, pattern] = cls(path, pattern)
         return _loaded[path, pattern]
 
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        import numpy as np
+
         known, numbers, encode, out = self._known, self._numbers, self.transducer.encode, []
         for chunk in chunks:
             ids: list[bytes] = []
@@ -255,7 +261,8 @@ class Codec:
                     got = known[piece] = b"".join([numbers[t] for t in encode(piece.encode())])
                 ids.append(got)
             out.append(b"".join(ids))
-        return out
+        lengths = np.array([len(x) // 4 for x in out])
+        return np.frombuffer(b"".join(out), "<u4"), np.cumsum(lengths) - lengths, lengths
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text counts as empty."""

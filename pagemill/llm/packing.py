@@ -35,7 +35,7 @@ def tokenise(documents: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = ChunkEncoder.of(vocabulary, 2), end_id.to_bytes(2, "little")
         for batch in pieces(batches, "text"):
-            ids = encoder.encode(batch.column(1).to_pylist())
+            ids = encoder.encode(batch.column(1))
             n = pa.array([len(x) // 2 + 1 for x in ids], pa.int64())
             packed = pa.array([zlib.compress(x + end, 1) for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed, n], ["doc_id", "ids", "n"])

@@ -1,8 +1,10 @@
 import os
+import random
 import struct
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -83,3 +85,32 @@ def test_a_task_has_one_thread_and_gives_its_memory_back(monkeypatch):
     vocab.forget_all()
     again = vocab.ChunkEncoder.of(path, 2)
     assert again is not first and again.encode(["some words", None]) == before
+
+
+def test_new_words_go_to_the_library_many_at_a_time():
+    class Counting:
+        texts = 0
+
+        def get_vocab(self):
+            return LIBRARY.get_vocab()
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return LIBRARY.encode_batch_fast(texts, **options)
+
+    counting = Counting()
+    words = [f" w{k}xé" for k in range(1000)] + ["first", "\nline", "a  b", " ", "", "　", " <|endoftext|>", "\n\n"]
+    ids, begins, lengths = vocab._library_ids(counting)(words)
+    assert [ids[a : a + n].tolist() for a, n in zip(begins, lengths, strict=True)] == [ids_of(w) for w in words]
+    assert counting.texts < 50
+
+
+def test_white_space_of_any_kind_beside_cuts():
+    rnd = random.Random(5)
+    signs = [*" \n\t'.,;:!?aéß1", "  ", " \n", "\xa0", " ", "　", "\x85", "\x1c", "’", " ", "×", "²", "日", "\U0001f600", "<|endoftext|>", " ", " ", " the", "́", " "]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 25))) for _ in range(3000)]
+    encoder = ChunkEncoder.of(PATH, 2)
+    column = pa.array([None, *texts, ""])
+    want = [struct.pack(f"<{len(ids_of(t))}H", *ids_of(t)) for t in column.to_pylist()]
+    assert encoder.encode(column) == want
+    assert encoder.encode(column.slice(700, 900)) == want[700:1600]
