@@ -14,6 +14,7 @@ on passes on whole characters as they are completed; what can't become a charact
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from typing import TYPE_CHECKING
@@ -32,7 +33,11 @@ if TYPE_CHECKING:
 STATES, PAIRS, PIECES = 200_000, 400_000, 800_000
 _loaded: dict[tuple[str, str], "Codec"] = {}
 
-Place = tuple[bytes, tuple[bytes | None, ...]]
+#: Where a token that is still being read may have begun: the node of the tree that its bytes lead to, the rank of the token
+#: before it (-1: none), and a bit for each place up to there, counted from the last that all agree on, where a token ends.
+Place = tuple[int, int, int]
+#: The token before the last place that all agree on (-1: none) and the bytes since, which tell states apart; the places.
+State = tuple[int, bytes, tuple[Place, ...]]
 
 
 class MergeTransducer:
@@ -40,25 +45,40 @@ class MergeTransducer:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self._goes_on = {t[:k] for t in ranks for k in range(len(t))}
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
         self._made_of: dict[bytes, list[bytes]] = {}
-        #: Tokens that merging can give at all.
-        self._tokens = {t for t in ranks if self.merge(t) == [t]}
+        #: The tokens as a tree: the node that a node << 8 | byte leads to. Of each node, the token that merging can give
+        #: at all and that ends there, as its rank or -1, and whether longer tokens begin so.
+        self._tree: dict[int, int] = {}
+        self._token_at, self._goes_on = [-1], [bool(ranks)]
+        self._of_rank = {i: t for t, i in ranks.items()}
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self._goes_on[node] = True
+                if (k := node << 8 | byte) not in self._tree:
+                    self._tree[k] = len(self._token_at)
+                    self._token_at.append(-1)
+                    self._goes_on.append(False)
+                node = self._tree[k]
+            if self.merge(token) == [token]:
+                self._token_at[node] = rank
+        #: Whether two tokens stay, by rank << 32 | rank.
+        self._pairs: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self._ids: dict[tuple[Place, ...], int] = {}
-        self._states: list[tuple[Place, ...]] = []
-        self._next: list[dict[int, tuple[int, tuple[bytes, ...]]]] = []
-        self._start = self._state(((b"", (None,)),))
-
-    def _state(self, places: tuple[Place, ...]) -> int:
-        k = self._ids.get(places)
+        self._ids: dict[tuple[int, bytes], int] = {}
+        self._states: list[State] = []
+        #: What a state << 8 | byte leads to: the next state and the tokens that are emitted.
+        self._steps: dict[int, tuple[int, tuple[bytes, ...]]] = {}
+        self._start = self._state((-1, b"", ((0, -1, 1),)))
+
+    def _state(self, state: State) -> int:
+        key = state[:2]
+        k = self._ids.get(key)
         if k is None:
-            k = self._ids[places] = len(self._states)
-            self._states.append(places)
-            self._next.append({})
+            k = self._ids[key] = len(self._states)
+            self._states.append(state)
         return k
 
     def merge(self, data: bytes, down_to: int = 1) -> list[bytes]:
@@ -71,14 +91,14 @@ class MergeTransducer:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def _stays(self, s: bytes, t: bytes) -> bool:
-        """Whether s + t merges to the two tokens s, t. Their merges are undone, the latest first; the two stay if no
-        merge across the border comes before the one undone last."""
-        known = self._pairs.get((s, t))
+    def _stays(self, s: int, t: int) -> bool:
+        """Whether two tokens, given by rank, stay when merged as one string. Their merges are undone, the latest first;
+        the two stay if no merge across the border comes before the one undone last."""
+        known = self._pairs.get(s << 32 | t)
         if known is None:
             if len(self._pairs) > PAIRS:
                 self._pairs.clear()
-            known, limit, ranks, a, b = True, 1 << 60, self.ranks, s, t
+            known, limit, ranks, a, b = True, 1 << 60, self.ranks, self._of_rank[s], self._of_rank[t]
             while True:
                 across = ranks.get(a + b)
                 if across is not None and across < limit:
@@ -91,7 +111,7 @@ class MergeTransducer:
                     limit, a = made_a, self._halves(a)[1]
                 else:  # what stands further left is merged first among equals
                     limit, b = made_b + 1, self._halves(b)[0]
-            self._pairs[s, t] = known
+            self._pairs[s << 32 | t] = known
         return known
 
     def _halves(self, token: bytes) -> list[bytes]:
@@ -103,54 +123,58 @@ class MergeTransducer:
 
     def _make(self, k: int, byte: int) -> tuple[int, tuple[bytes, ...]]:
         """The transition of state k on a byte: each place reads it, one of them ends a token there."""
-        places: list[Place] = []
-        ended: tuple[bytes | None, ...] | None = None
-        last_byte, vocabulary, goes_on, pairs = bytes((byte,)), self._tokens, self._goes_on, self._pairs
-        for read, tokens in self._states[k]:
-            now = read + last_byte
-            if ended is None and now in vocabulary:
-                before = tokens[-1]
-                stays = True if before is None else pairs.get((before, now))
-                if stays or stays is None and self._stays(before, now):
-                    ended = (*tokens, now)
-            if now in goes_on:
-                places.append((now, tokens))
-        places.append((b"", ended))
-        # the first of `tokens` is emitted already and stands there for what may follow it
-        first, agreed = places[0][1], 1
-        for same in range(1, min([len(t) for _, t in places])):
-            token = first[same]
-            for _, tokens in places:
-                if tokens[same] != token:
-                    break
-            else:
-                agreed = same + 1
+        before, rest, places = self._states[k]
+        tree, token_at, goes_on, pairs = self._tree, self._token_at, self._goes_on, self._pairs
+        rest += bytes((byte,))
+        now: list[Place] = []
+        ended, agreed = -1, -1
+        for node, last, cuts in places:
+            node = tree.get(node << 8 | byte)
+            if node is None:
                 continue
-            break
-        if agreed > 1:
-            places = [(r, t[agreed - 1 :]) for r, t in places]
-        return self._state(tuple(places)), first[1:agreed]
+            if ended < 0 and (token := token_at[node]) >= 0:
+                stays = last < 0 or pairs.get(last << 32 | token)
+                if stays or stays is None and self._stays(last, token):
+                    ended, ended_cuts = token, cuts | 1 << len(rest)
+            if goes_on[node]:
+                now.append((node, last, cuts))
+                agreed &= cuts
+        agreed &= ended_cuts
+        now.append((0, ended, ended_cuts))
+        if agreed == 1:
+            return self._state((before, rest, tuple(now))), ()
+        base = agreed.bit_length() - 1
+        emitted = _between(rest, agreed)
+        state = (self.ranks[emitted[-1]], rest[base:], tuple([(node, last, cuts >> base) for node, last, cuts in now]))
+        return self._state(state), tuple(emitted)
 
     def encode(self, data: bytes) -> list[bytes]:
         if len(self._states) > STATES:
             self._forget()
         out: list[bytes] = []
-        k, nexts = self._start, self._next
+        k, steps = self._start, self._steps
         for byte in data:
-            step = nexts[k].get(byte)
+            step = steps.get(k << 8 | byte)
             if step is None:
                 if len(self._states) > 2 * STATES:  # one very long piece
-                    places = self._states[k]
+                    state = self._states[k]
                     self._forget()
-                    k, nexts = self._state(places), self._next
-                step = nexts[k][byte] = self._make(k, byte)
+                    k, steps = self._state(state), self._steps
+                step = steps[k << 8 | byte] = self._make(k, byte)
             k, emitted = step
             if emitted:
                 out += emitted
-        out += self._states[k][-1][1][1:]
+        _, rest, places = self._states[k]
+        out += _between(rest, places[-1][2])
         return out
 
 
+def _between(data: bytes, cuts: int) -> list[bytes]:
+    """The parts of data between the places whose bits are set in `cuts`, 0 among them, up to the last of them."""
+    at = [i for i in range(cuts.bit_length()) if cuts >> i & 1]
+    return [data[a:b] for a, b in zip(at, at[1:])]  # noqa: B905 (of different length)
+
+
 def _ranges() -> dict[int, tuple[int, list[tuple[int, int]]]]:
     """First byte of a sequence: the ranges of the bytes that must follow."""
     tail, out = (0x80, 0xBF), {}
@@ -237,8 +261,8 @@ class Codec:
         self.transducer, self.decoder = MergeTransducer(ranks), StreamDecoder(tokens)
         # the pattern's \s is the Unicode property, as in the tokenizer libraries
         self._find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self._known: dict[str, bytes] = {}
-        self._numbers = {t: i.to_bytes(4, "little") for t, i in ranks.items()}
+        self._known: dict[str, list[int]] = {}
+        self._numbers = ranks
         self._chunks = ChunkEncoder(self._encode_chunks)
 
     @classmethod
@@ -250,23 +274,33 @@ class Codec:
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         import numpy as np
 
-        known, numbers, encode, out = self._known, self._numbers, self.transducer.encode, []
+        known, numbers, encode = self._known, self._numbers, self.transducer.encode
+        ids: list[int] = []
+        ends: list[int] = []
         for chunk in chunks:
-            ids: list[bytes] = []
-            for piece in self._find(chunk):
+            found = self._find(chunk)
+            for piece in found:
                 got = known.get(piece)
                 if got is None:
-                    if len(known) > PIECES:
-                        known.clear()
-                    got = known[piece] = b"".join([numbers[t] for t in encode(piece.encode())])
-                ids.append(got)
-            out.append(b"".join(ids))
-        lengths = np.array([len(x) // 4 for x in out])
-        return np.frombuffer(b"".join(out), "<u4"), np.cumsum(lengths) - lengths, lengths
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+                    got = [numbers[t] for t in encode(piece.encode())]
+                    if len(found) > 1:  # chunks of one piece are remembered as such
+                        if len(known) > PIECES:
+                            known.clear()
+                        known[piece] = got
+                ids += got
+            ends.append(len(ids))
+        lengths = np.diff(np.array(ends), prepend=0)
+        return np.array(ids, np.int64), np.array(ends) - lengths, lengths
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text counts as empty."""
-        return self._chunks.encode(texts)
+        collects = gc.isenabled()
+        gc.disable()  # states hold no cycles, and looking for some goes through all of them again and again
+        try:
+            return self._chunks.encode(texts)
+        finally:
+            if collects:
+                gc.enable()
 
     def decode(self, ids: bytes) -> bytes:
         return self.decoder.decode(ids)
@@ -278,7 +312,7 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         for batch in pieces(batches, "text"):
-            ids = codec.encode(batch.column(1).to_pylist())
+            ids = codec.encode(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return map_batches(documents.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, ids binary")
@@ -306,7 +340,7 @@ def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         for batch in pieces(batches, "text"):
-            ids = codec.encode(batch.column(1).to_pylist())
+            ids = codec.encode(batch.column(1))
             columns = [
                 batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),

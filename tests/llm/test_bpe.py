@@ -1,4 +1,5 @@
 import base64
+import gc
 import hashlib
 import struct
 
@@ -81,3 +82,18 @@ def test_stream_decoding(data, step):
 def test_characters_over_several_tokens(text):
     whole = bpe.StreamDecoder([bytes((b,)) for b in range(256)])
     assert [p.decode() for p in whole.stream(text.encode())] == list(text)
+
+
+def test_words_are_remembered_once_and_garbage_is_collected_again():
+    codec = bpe.Codec(PATH, PATTERN)
+    text = "some words, of one piece each (and one of two)"
+    assert list(memoryview(codec.encode([text])[0]).cast("I")) == ids(text)
+    assert not {" some", " words", " one", " piece"} & set(codec._known) and gc.isenabled()
+
+
+def test_states_are_small(docs):
+    """A state holds numbers for its places and one string of bytes, no strings of tokens for each place."""
+    codec = bpe.Codec(PATH, PATTERN)
+    codec.encode([t for _, t in docs[:15]])
+    for before, rest, places in codec.transducer._states:
+        assert isinstance(before, int) and isinstance(rest, bytes) and all(isinstance(x, int) for p in places for x in p)
