@@ -34,7 +34,7 @@ if TYPE_CHECKING:
     import numpy as np
 
 MAGIC = b"TOK2"
-BLOCK_IDS, LANES = 1 << 14, 128
+BLOCK_IDS, LANES = 1 << 14, 448
 SEGMENT_IDS = BLOCK_IDS * LANES
 #: Ids between two rebuilds of the order-0 sums; slots of the order-1 and order-2 tables; the coder's resolution in bits.
 EPOCH, SLOTS_1, SLOTS_2, TOTAL_BITS = 1024, 1 << 13, 1 << 14, 28
@@ -42,8 +42,8 @@ EPOCH, SLOTS_1, SLOTS_2, TOTAL_BITS = 1024, 1 << 13, 1 << 14, 28
 LEAST_ROOM = 1 << (TOTAL_BITS - 8)
 #: What one occurrence adds to an id's count of one; hits in a row that are told apart; how slowly a share follows its hits.
 WEIGHT, LEVELS, RATE = 24, 8, 5
-#: Every this many-th running sum is looked at first when decoding.
-STRIDE = 256
+#: Every how many-th running sum is looked at when decoding, in turn; those of the first two are kept apart.
+STRIDES = (4096, 256, 32, 4, 1)
 
 
 class Model:
@@ -55,10 +55,14 @@ class Model:
         if symbols + WEIGHT * BLOCK_IDS > LEAST_ROOM:
             raise ValueError("too many symbols for blocks of this length")
         self.symbols, lane = symbols, np.arange(lanes)
-        self.counts = np.zeros((lanes, symbols), np.uint16)
-        self.sums = np.zeros((lanes, symbols + 1), np.int32)
-        self.flat_sums, self.flat_counts = self.sums.reshape(-1), self.counts.reshape(-1)
-        self.at_sums, self.at_counts, self.at_levels = lane * (symbols + 1), lane * symbols, lane * LEVELS
+        # rows are filled up to whole strides with what no sum reaches
+        row = -(-(symbols + 1) // STRIDES[0]) * STRIDES[0]
+        every = np.full((lanes, row), np.iinfo(np.int32).max, np.int32)
+        every[:, : symbols + 1] = np.arange(symbols + 1, dtype=np.int32)
+        self.sums, self.flat_sums, self.every = every[:, : symbols + 1], every.reshape(-1), every
+        self.at_sums, self.at_coarse, self.at_levels = lane * row, lane * (row // STRIDES[1]), lane * LEVELS
+        # the ids since the sums were made
+        self.recent = np.zeros((EPOCH, lanes), np.int32)
         self.at_1, self.at_2 = lane * SLOTS_1, lane * SLOTS_2
         # an id and the hits in a row of guessing it, as id * LEVELS + hits
         self.table_1, self.table_2 = np.zeros(lanes * SLOTS_1, np.int32), np.zeros(lanes * SLOTS_2, np.int32)
@@ -66,14 +70,17 @@ class Model:
         self.chance_1, self.chance_2 = np.full(lanes * LEVELS, 1 << 13, np.int64), np.full(lanes * LEVELS, 1 << 13, np.int64)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.step = 0
-        self._rebuild(lanes)
+        self._rebuild(0)
 
     def _rebuild(self, n: int) -> None:
+        """Adds the recent ids of the first n lanes to their sums."""
         import numpy as np
 
         for lane in range(n):
-            np.cumsum(self.counts[lane] * np.int32(WEIGHT) + np.int32(1), out=self.sums[lane, 1:])
-        self.coarse = self.sums[:, STRIDE::STRIDE].copy()
+            ids, hits = np.unique(self.recent[:, lane], return_counts=True)
+            more = np.repeat(np.append(0, np.cumsum(hits * WEIGHT)).astype(np.int32), np.diff(ids, prepend=-1, append=self.symbols))
+            self.sums[lane] += more
+        self.coarsest, self.coarse = self.every[:, STRIDES[0] :: STRIDES[0]].T.copy(), self.every[:, :: STRIDES[1]].copy().reshape(-1)
         self.totals = self.sums[:, -1].astype(np.int64)
 
     def predict(self, n: int) -> None:
@@ -114,11 +121,11 @@ class Model:
 
         hit_1, hit_2 = ids == self.g1, ids == self.g2
         low, high = 1 << 9, 15 << 12
-        self.chance_2[self.level_2] = np.clip(self.p2 + ((np.where(hit_2, 65535, 0) - self.p2) >> RATE), low, high)
-        self.chance_1[self.level_1] = np.clip(self.p1 + ((np.where(hit_1, 65535, 0) - self.p1) >> RATE), low, high)
+        self.chance_2[self.level_2] = np.minimum(np.maximum(self.p2 + ((hit_2 * 65535 - self.p2) >> RATE), low), high)
+        self.chance_1[self.level_1] = np.minimum(np.maximum(self.p1 + ((hit_1 * 65535 - self.p1) >> RATE), low), high)
         self.table_2[self.slot_2] = ids * LEVELS + np.where(hit_2, np.minimum(self.c2 + 1, LEVELS - 1), 0)
         self.table_1[self.slot_1] = ids * LEVELS + np.where(hit_1, np.minimum(self.c1 + 1, LEVELS - 1), 0)
-        self.flat_counts[self.at_counts[:n] + ids] += 1
+        self.recent[self.step % EPOCH, :n] = ids
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
         self.step += 1
@@ -130,11 +137,16 @@ class Model:
         import numpy as np
 
         bound = ((np.maximum(value - self.begin, 0) + 1 << 24) - 1) // self.unit  # the largest sum that may begin there
-        x = (self.coarse[:n] <= bound[:, None]).sum(1) * STRIDE
-        jump, base = STRIDE, self.at_sums[:n]
-        while jump := jump >> 1:
-            y = np.minimum(x + jump, self.symbols - 1)
-            x = np.where(self.flat_sums.take(base + y) <= bound, y, x)
+        # sums and what they are compared with stay below 1 << 31, but for values that lie in the share of a guess
+        bound = np.minimum(bound, np.iinfo(np.int32).max - 1).astype(np.int32)
+        x = np.add.reduce(self.coarsest[:, :n] <= bound, axis=0, dtype=np.int16).astype(np.int64) * (STRIDES[0] // STRIDES[1])
+        table, base, unit = self.coarse, self.at_coarse[:n], STRIDES[1]
+        for wide, stride in zip(STRIDES, STRIDES[1:]):  # noqa: B905 (neighbours)
+            steps = np.arange(stride // unit, wide // unit, stride // unit)[:, None]
+            x += np.add.reduce(table.take(steps + (base + x)) <= bound, axis=0, dtype=np.int16) * (stride // unit)
+            if table is self.coarse:
+                x *= unit
+                table, base, unit = self.flat_sums, self.at_sums[:n], 1
         return np.minimum(x, self.symbols - 1)
 
 

@@ -120,3 +120,22 @@ def test_too_many_symbols_are_refused():
 def test_one_python_worker_for_a_task(make):
     plan = write_and_read(make([(1, "one two"), (2, None)]), PATH, 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_ids_are_found_by_their_sums_in_wide_rows(monkeypatch):
+    """Sums of as many symbols as fill rows up, one more and one less, after they were made anew; no
+    table of counts beside them."""
+    for symbols in (1, 4095, 4096, 4097, 50_257):
+        model = rangecoder.Model(3, symbols)
+        seen = np.random.default_rng(symbols).integers(0, symbols, (2 * rangecoder.EPOCH, 3))
+        for ids in seen:
+            model.predict(3)
+            model.learn(3, ids.astype(np.int32))
+        counts = np.stack([np.bincount(seen[:, lane], minlength=symbols) for lane in range(3)])
+        assert (model.sums == np.cumsum(np.pad(counts * rangecoder.WEIGHT + 1, ((0, 0), (1, 0))), axis=1)).all()
+        model.predict(3)
+        for ids in (np.zeros(3, int), np.full(3, symbols - 1), seen[0], seen[-1]):
+            none = np.zeros(3, bool)
+            begin, width = (x.astype(np.int64) for x in model.interval(3, ids, none, none))
+            assert (model.find(3, begin) == ids).all() and (model.find(3, begin + width - 1) == ids).all()
+        assert not hasattr(model, "counts") and model.flat_sums.nbytes < 3 * 4 * (symbols + 4097)
