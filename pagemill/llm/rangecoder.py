@@ -2,15 +2,16 @@
 
 The model of a block. Three predictions are mixed for each id: the id that last followed the same two ids (order 2),
 the one that last followed the same id (order 1), and how often ids have occurred in the block (order 0). The first two
-get a share of the coder's interval each, as large as predictions of that order and that many hits in a row have been
-right so far; order 0 divides the rest among all ids. Order-0 counts become part of the division every EPOCH ids, so
-coder and decoder hold tables of running sums. Every block begins with an empty model and ends with a checksum of its
-ids, so it can be read, checked and lost on its own.
+get a share of the coder's interval each, as large as they have been right so far with so many hits in a row of both;
+order 0 divides the rest among all ids. Guesses are learnt from each id. Shares and order-0 counts are made anew after EPOCH
+steps and whenever the steps have doubled. Every block begins with an empty model and ends with a checksum of its ids, so it
+can be read, checked and lost on its own.
 
 The coder. 64-bit low and range; whenever the range falls below 2 ** 32, one 32-bit word leaves (a range that straddles
 a word's border is cut at the border first, so no carry is ever needed).
 
-Blocks of one segment are coded side by side, one step of all blocks at a time, in numpy. A segment holds whole
+A block is cut into runs, which are coded side by side and share the block's model, each with words of its own: a step
+codes an id of every run of every block of a segment in numpy. A segment holds whole
 documents, about SEGMENT_IDS ids of them, with their ids and lengths, and is one row of the written table. Spark's own
 writer commits the files, so a lost or repeated task leaves none behind, and any store that Spark knows will do.
 """
@@ -33,158 +34,285 @@ from .vocab import ChunkEncoder
 if TYPE_CHECKING:
     import numpy as np
 
-MAGIC = b"TOK2"
+MAGIC = b"TOK3"
 BLOCK_IDS, LANES = 1 << 14, 448
 SEGMENT_IDS = BLOCK_IDS * LANES
-#: Ids between two rebuilds of the order-0 sums; slots of the order-1 and order-2 tables; the coder's resolution in bits.
-EPOCH, SLOTS_1, SLOTS_2, TOTAL_BITS = 1024, 1 << 13, 1 << 14, 28
+#: Runs that a block is cut into at most, and so many ids for each.
+RUNS, RUN_IDS = 16, 512
+#: Each run is longer than the one before by twice this, so copies at any one distance are not all coded at the same step.
+SLANT = 2
+#: Steps before the model is first made anew; slots of the order-1 and order-2 tables; the coder's resolution in bits.
+EPOCH, SLOTS_1, SLOTS_2, TOTAL_BITS = 32, 1 << 11, 1 << 12, 28
 #: Units of the interval that order 0 always has.
 LEAST_ROOM = 1 << (TOTAL_BITS - 8)
-#: What one occurrence adds to an id's count of one; hits in a row that are told apart; how slowly a share follows its hits.
-WEIGHT, LEVELS, RATE = 24, 8, 5
-#: Every how many-th running sum is looked at when decoding, in turn; those of the first two are kept apart.
-STRIDES = (4096, 256, 32, 4, 1)
+#: What one occurrence adds to an id's count of one; hits in a row that are told apart, as many as a few bits hold.
+WEIGHT, LEVELS = 24, 8
+#: Chances of a hit in sixteenths that a block begins with, by hits in a row, and how many outcomes they weigh.
+CHANCES, PRIOR = (2, 6, 9, 11, 12, 13, 14, 15), 24
+#: Contexts of the mixing: hits in a row of both guesses, once where they differ and once where they agree.
+MIXED = 2 * LEVELS * LEVELS
+#: Sums are looked up by what is left of them without these bits; WEIGHT is larger, so there one id with a count begins at most.
+FINE = 4
 
 
 class Model:
-    """Side by side the models of as many blocks as there are lanes. Tables of all lanes are flat, lane after lane."""
+    """Side by side the models of several blocks. A lane is a run of a block, and lanes of one block share its tables.
+    Tables of all blocks are flat, block after block.
 
-    def __init__(self, lanes: int, symbols: int) -> None:
+    block_of: the block of each lane, by default one of its own. among: the ids that
+    occur, in order, by default all.
+    """
+
+    def __init__(self, lanes: int, symbols: int, block_of: np.ndarray | None = None, among: np.ndarray | None = None) -> None:
         import numpy as np
 
         if symbols + WEIGHT * BLOCK_IDS > LEAST_ROOM:
             raise ValueError("too many symbols for blocks of this length")
-        self.symbols, lane = symbols, np.arange(lanes)
-        # rows are filled up to whole strides with what no sum reaches
-        row = -(-(symbols + 1) // STRIDES[0]) * STRIDES[0]
-        every = np.full((lanes, row), np.iinfo(np.int32).max, np.int32)
-        every[:, : symbols + 1] = np.arange(symbols + 1, dtype=np.int32)
-        self.sums, self.flat_sums, self.every = every[:, : symbols + 1], every.reshape(-1), every
-        self.at_sums, self.at_coarse, self.at_levels = lane * row, lane * (row // STRIDES[1]), lane * LEVELS
-        # the ids since the sums were made
-        self.recent = np.zeros((EPOCH, lanes), np.int32)
-        self.at_1, self.at_2 = lane * SLOTS_1, lane * SLOTS_2
+        self.block = np.arange(lanes) if block_of is None else block_of
+        self.symbols, self.blocks = symbols, int(self.block.max()) + 1
+        self.among = np.arange(symbols, dtype=np.int32) if among is None else among.astype(np.int32)
+        # the place of each id there; ids between one of `among` and the next
+        self.place = np.zeros(symbols, np.int32)
+        self.place[self.among] = np.arange(len(self.among))
+        self.between = np.diff(self.among, append=np.int32(symbols)) - 1
+        self.at_sums, self.at_mixed = self.block * (len(self.among) + 1), self.block * MIXED
+        self.at_1, self.at_2 = self.block * SLOTS_1, self.block * SLOTS_2
         # an id and the hits in a row of guessing it, as id * LEVELS + hits
-        self.table_1, self.table_2 = np.zeros(lanes * SLOTS_1, np.int32), np.zeros(lanes * SLOTS_2, np.int32)
-        # chances of a hit in 1 << 16, by hits in a row
-        self.chance_1, self.chance_2 = np.full(lanes * LEVELS, 1 << 13, np.int64), np.full(lanes * LEVELS, 1 << 13, np.int64)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.table_1, self.table_2 = np.zeros(self.blocks * SLOTS_1, np.int32), np.zeros(self.blocks * SLOTS_2, np.int32)
+        # how often order 0, the guess of order 1 and that of order 2 were right, by context
+        right = np.array(CHANCES) / 16
+        both = np.stack(np.broadcast_arrays((1 - right[:, None]) * (1 - right), right[:, None] * (1 - right), right), axis=-1)
+        agreed = np.stack(np.broadcast_arrays(1 - right, 0, np.maximum(right[:, None], right)), axis=-1)
+        agreed[..., 0] = 1 - agreed[..., 2]
+        self.right = np.tile((PRIOR * np.stack([both, agreed])).reshape(1, MIXED, 3), (self.blocks, 1, 1))
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.step = 0
-        self._rebuild(0)
+        # ids that the sums hold, as block * symbols + id, in order; ids and outcomes that came since
+        self.keys = np.zeros(0, np.int32)
+        self.recent: list[np.ndarray] = []
+        self.outcomes: list[np.ndarray] = []
+        self._rebuild()
+
+    def _rebuild(self) -> None:
+        """Adds the recent ids and outcomes to the model. Sums are kept as entries: for each block one for what comes before
+        all ids, and one for each id with a count, with the sums where it begins and ends."""
+        import numpy as np
 
-    def _rebuild(self, n: int) -> None:
-        """Adds the recent ids of the first n lanes to their sums."""
+        first = (np.arange(self.blocks + 1) * self.symbols).astype(np.int32)
+        at = first[self.block]
+        self.keys = np.sort(np.concatenate([self.keys, *(ids + at[: len(ids)] for ids in self.recent)]))
+        begins = np.flatnonzero(np.append(True, self.keys[1:] != self.keys[:-1])[: len(self.keys)])
+        counts, distinct = np.diff(begins, append=len(self.keys)), self.keys[begins]
+        block = distinct // self.symbols
+        of_block = np.searchsorted(self.keys, first)
+        self.totals = self.symbols + WEIGHT * np.diff(of_block)
+        self.first = np.searchsorted(distinct, first) + np.arange(self.blocks + 1)
+        place = np.arange(len(distinct)) + block + 1
+        self.ids, self.begins = np.full(self.first[-1], -1, np.int32), np.zeros(self.first[-1], np.int32)
+        self.ends = np.zeros(self.first[-1], np.int32)
+        self.ids[place] = distinct - block * self.symbols
+        self.begins[place] = self.ids[place] + WEIGHT * (begins - of_block[block])
+        self.ends[place] = self.begins[place] + WEIGHT * counts + 1
+        self._sums = self._entry = None
+
+        if self.outcomes:
+            seen = np.bincount(np.concatenate(self.outcomes), minlength=self.blocks * MIXED * 4)
+            seen = seen.reshape(self.blocks, MIXED, 4)
+            self.right += np.stack([seen[..., 0], seen[..., 1], seen[..., 2] + seen[..., 3]], axis=-1)
+        # a guess's share is below 15 / 16 of what it is taken from, so what two leave is 1 / 256 at least, LEAST_ROOM
+        # units; order 0's sums stay below that, so every id has a part of it
+        whole = 1 << TOTAL_BITS
+        chance = np.minimum(self.right[..., 2] / self.right.sum(axis=-1), 15 / 16)
+        wide_2 = np.maximum(chance * whole, 1 << 12).astype(np.int64)
+        chance = np.minimum(self.right[..., 1] / (self.right[..., 0] + self.right[..., 1]), 15 / 16)
+        wide_1 = np.maximum(chance * (whole - wide_2), 1 << 12).astype(np.int64)
+        wide_1[:, MIXED // 2 :] = 0
+        self.wide_1, self.wide_2 = wide_1.astype(np.int32).reshape(-1), wide_2.astype(np.int32).reshape(-1)
+        self.units = ((whole - wide_1 - wide_2 << 24) // self.totals[:, None]).reshape(-1)
+        self.recent, self.outcomes, self.due = [], [], False
+
+    @property
+    def flat_sums(self) -> np.ndarray:
+        """The running sums before each of `among` and behind the last, block after block."""
         import numpy as np
 
-        for lane in range(n):
-            ids, hits = np.unique(self.recent[:, lane], return_counts=True)
-            more = np.repeat(np.append(0, np.cumsum(hits * WEIGHT)).astype(np.int32), np.diff(ids, prepend=-1, append=self.symbols))
-            self.sums[lane] += more
-        self.coarsest, self.coarse = self.every[:, STRIDES[0] :: STRIDES[0]].T.copy(), self.every[:, :: STRIDES[1]].copy().reshape(-1)
-        self.totals = self.sums[:, -1].astype(np.int64)
+        if self.due:
+            self._rebuild()
+        if self._sums is None:
+            self._sums = np.empty((self.blocks, len(self.among) + 1), np.int32)
+            plain = np.append(self.among, np.int32(self.symbols))
+            for block in range(self.blocks):
+                some = slice(self.first[block], self.first[block + 1])
+                more = self.ends[some] - self.ids[some] - 1
+                until = np.append(self.place.take(self.ids[some][1:]) + 1, len(plain))
+                np.add(plain, np.repeat(more, np.diff(until, prepend=0)), out=self._sums[block])
+        return self._sums.reshape(-1)
+
+    @property
+    def sums(self) -> np.ndarray:
+        return self.flat_sums.reshape(self.blocks, -1)
 
     def predict(self, n: int) -> None:
         """For the first n lanes: the guesses of orders 1 and 2 (g1, g2), the widths of their shares of the interval
-        (w1, w2), where order 0's share begins, and the width there of one unit of its sums, times 1 << 24."""
-        import numpy as np
-
-        last = self.last[:n]
-        mixed = last * 40503
+        (w1, w2) and where order 0's share begins. Order 1 has none where it guesses the same."""
+        if self.due:
+            self._rebuild()
+        mixed = self.last[:n] * 40503
         self.slot_1 = self.at_1[:n] + ((mixed >> 3) & (SLOTS_1 - 1))
-        self.slot_2 = self.at_2[:n] + (((self.before[:n] * 2654435761 + mixed) >> 7) & (SLOTS_2 - 1))
+        mixed += self.before[:n] * 2654435761
+        self.slot_2 = self.at_2[:n] + ((mixed >> 7) & (SLOTS_2 - 1))
         t1, t2 = self.table_1.take(self.slot_1), self.table_2.take(self.slot_2)
         self.g1, self.g2 = t1 >> 3, t2 >> 3
         self.c1, self.c2 = t1 & 7, t2 & 7
-        self.level_1, self.level_2 = self.at_levels[:n] + self.c1, self.at_levels[:n] + self.c2
-        self.p1, self.p2 = self.chance_1.take(self.level_1), self.chance_2.take(self.level_2)
-        # chances stay between 1 / 128 and 15 / 16, so what two guesses leave is 1 / 256 at least, LEAST_ROOM units; order
-        # 0's sums stay below that, so every id has a part of it
-        self.w2 = self.p2 << (TOTAL_BITS - 16)
-        room = (1 << TOTAL_BITS) - self.w2
-        self.w1 = np.where(self.g1 == self.g2, 0, (self.p1 * room) >> 16)
+        self.context = self.at_mixed[:n] + ((self.c1 << 3) + self.c2 + (self.g1 == self.g2) * (MIXED // 2))
+        self.w1, self.w2 = self.wide_1.take(self.context), self.wide_2.take(self.context)
         self.begin = self.w1 + self.w2
-        self.unit = (((1 << TOTAL_BITS) - self.begin) << 24) // self.totals[:n]
+
+    def unit(self, lanes: np.ndarray) -> np.ndarray:
+        """The width of one unit of order 0's sums, times 1 << 24."""
+        return self.units.take(self.context[lanes])
+
+    def share(self, lanes: np.ndarray, low: np.ndarray, high: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and width of the part of the interval between two sums."""
+        begin = low * unit >> 24
+        return begin + self.begin[lanes], (high * unit >> 24) - begin
+
+    def guessed(self, is_2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and width of the part of the interval for guesses of order 2, and of order 1 elsewhere."""
+        import numpy as np
+
+        other = ~is_2
+        a = self.w2 * other
+        return a.astype(np.uint64), (self.w1 * other + (self.w2 - a)).astype(np.uint64)
 
     def interval(self, n: int, ids: np.ndarray, is_1: np.ndarray, is_2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and width of the part of the interval that stands for `ids`."""
         import numpy as np
 
-        at = self.at_sums[:n] + ids
-        a = self.begin + (self.flat_sums.take(at) * self.unit >> 24)
-        b = self.begin + (self.flat_sums.take(at + 1) * self.unit >> 24)
-        a = np.where(is_2, 0, np.where(is_1, self.w2, a))
-        b = np.where(is_2, self.w2, np.where(is_1, self.begin, b))
-        return a.astype(np.uint64), (b - a).astype(np.uint64)
+        a, w = self.guessed(is_2)
+        rest = np.flatnonzero(~(is_1 | is_2))
+        at, sums = self.place.take(ids[rest]), self.flat_sums
+        place = self.at_sums[rest] + at
+        a[rest], w[rest] = self.share(rest, sums.take(place), sums.take(place + 1) - self.between.take(at), self.unit(rest))
+        return a, w
 
     def learn(self, n: int, ids: np.ndarray) -> None:
         import numpy as np
 
         hit_1, hit_2 = ids == self.g1, ids == self.g2
-        low, high = 1 << 9, 15 << 12
-        self.chance_2[self.level_2] = np.minimum(np.maximum(self.p2 + ((hit_2 * 65535 - self.p2) >> RATE), low), high)
-        self.chance_1[self.level_1] = np.minimum(np.maximum(self.p1 + ((hit_1 * 65535 - self.p1) >> RATE), low), high)
-        self.table_2[self.slot_2] = ids * LEVELS + np.where(hit_2, np.minimum(self.c2 + 1, LEVELS - 1), 0)
-        self.table_1[self.slot_1] = ids * LEVELS + np.where(hit_1, np.minimum(self.c1 + 1, LEVELS - 1), 0)
-        self.recent[self.step % EPOCH, :n] = ids
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
+        entry = ids << 3
+        # lanes of one block may meet in a slot; the last of them stays
+        self.table_1[self.slot_1] = entry + np.minimum(self.c1 + 1, LEVELS - 1) * hit_1
+        self.table_2[self.slot_2] = entry + np.minimum(self.c2 + 1, LEVELS - 1) * hit_2
+        self.outcomes.append((self.context << 2) + (hit_1 + 2 * hit_2.view(np.int8)))
+        self.recent.append(ids)
+        self.before, self.last = self.last, ids.view(np.uint32)
         self.step += 1
-        if self.step % EPOCH == 0:
-            self._rebuild(n)
+        self.due = self.step >= EPOCH and self.step & (self.step - 1) == 0
 
-    def find(self, n: int, value: np.ndarray) -> np.ndarray:
-        """The ids whose part of order 0's share holds `value`, for lanes where it lies there."""
+    def find(self, lanes: int | np.ndarray, value: np.ndarray, unit: np.ndarray | None = None) -> np.ndarray:
+        """The ids whose part of order 0's share holds `value`, for some lanes, or so many first ones, where it lies there;
+        `low` and `high` are their sums."""
         import numpy as np
 
-        bound = ((np.maximum(value - self.begin, 0) + 1 << 24) - 1) // self.unit  # the largest sum that may begin there
-        # sums and what they are compared with stay below 1 << 31, but for values that lie in the share of a guess
-        bound = np.minimum(bound, np.iinfo(np.int32).max - 1).astype(np.int32)
-        x = np.add.reduce(self.coarsest[:, :n] <= bound, axis=0, dtype=np.int16).astype(np.int64) * (STRIDES[0] // STRIDES[1])
-        table, base, unit = self.coarse, self.at_coarse[:n], STRIDES[1]
-        for wide, stride in zip(STRIDES, STRIDES[1:]):  # noqa: B905 (neighbours)
-            steps = np.arange(stride // unit, wide // unit, stride // unit)[:, None]
-            x += np.add.reduce(table.take(steps + (base + x)) <= bound, axis=0, dtype=np.int16) * (stride // unit)
-            if table is self.coarse:
-                x *= unit
-                table, base, unit = self.flat_sums, self.at_sums[:n], 1
-        return np.minimum(x, self.symbols - 1)
+        lanes = np.arange(lanes) if isinstance(lanes, int) else lanes
+        unit = self.unit(lanes) if unit is None else unit
+        if self._entry is None:
+            self._look_up()
+        bound = ((value - self.begin[lanes] + 1 << 24) - 1) // unit  # the largest sum that may begin there
+        bound = np.minimum(bound, self.top[lanes])
+        x = self._entry.take(self.at_entry[lanes] + (bound >> FINE))
+        x -= (self.both.take(x) >> 32) > bound
+        both = self.both.take(x)
+        begin, end = both >> 32, both & 0xFFFFFFFF
+        # behind an entry follow ids that have not come yet, each one unit wide
+        beyond = np.maximum(bound - end + 1, 0)
+        self.low = begin + (bound - begin) * (beyond > 0)
+        self.high = end + beyond
+        return self.ids.take(x) + beyond
+
+    def _look_up(self) -> None:
+        """For each block and sum without its FINE bits: the last entry that begins there or before."""
+        import numpy as np
+
+        row = (int(self.totals.max()) >> FINE) + 1
+        more = np.zeros(self.blocks * row, np.int32)
+        block = np.repeat(np.arange(self.blocks), np.diff(self.first))
+        known = np.flatnonzero(self.ids >= 0)
+        more[block[known] * row + (self.begins[known] >> FINE)] = 1
+        more[::row] += 1
+        more[0] -= 1  # entries are counted from 0
+        self._entry = np.cumsum(more, out=more)
+        self.both = (self.begins.astype(np.int64) << 32) + self.ends
+        self.at_entry, self.top = self.block * row, self.totals[self.block] - 1
+
+
+def _runs(sizes_of: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of blocks, longest first: the block of each, where it begins there, how many ids it has; and at each step
+    how many runs are longer."""
+    import numpy as np
+
+    block, begin, size = [], [], []
+    for k, n in enumerate(sizes_of):
+        runs = max(1, min(RUNS, n // RUN_IDS))
+        ends = [n * r // runs - SLANT * r * (runs - r) for r in range(runs + 1)]
+        block += [k] * runs
+        begin += ends[:-1]
+        size += [b - a for a, b in zip(ends, ends[1:], strict=False)]
+    turn = np.argsort(-np.array(size), kind="stable")
+    sizes = np.array(size)[turn]
+    return np.array(block)[turn], np.array(begin)[turn], sizes, np.searchsorted(-sizes, -np.arange(int(sizes[0])))
 
 
 def encode_blocks(blocks: list[np.ndarray], symbols: int) -> list[bytes]:
-    """Payloads of blocks of ids below `symbols`."""
+    """Payloads of blocks of ids below `symbols`: the number of words of each run but the last, and the words of all runs."""
+    return [x for i in range(0, len(blocks), LANES) for x in _encode(blocks[i : i + LANES], symbols)]
+
+
+def _encode(blocks: list[np.ndarray], symbols: int) -> list[bytes]:
+    import numpy as np
+
+    block, begin, sizes, active = _runs([len(b) for b in blocks])
+    lanes = len(sizes)
+    ids = np.zeros((lanes, int(sizes[0])), np.int32)
+    for lane in range(lanes):
+        ids[lane, : sizes[lane]] = blocks[block[lane]][begin[lane] : begin[lane] + sizes[lane]]
+    ids = _turned(ids)
+    present = np.zeros(symbols, bool)
+    present[ids.reshape(-1)] = True
+    model = Model(lanes, symbols, block, np.flatnonzero(present))
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    words = np.zeros((lanes, int(sizes[0]) + 1), np.uint32)
+    used = np.zeros(lanes, np.int64)
+    for step, n in enumerate(active.tolist()):
+        x = ids[step, :n]
+        model.predict(n)
+        a, w = model.interval(n, x, x == model.g1, x == model.g2)
+        part = width[:n] >> np.uint64(TOTAL_BITS)
+        a *= part
+        low[:n] += a
+        np.multiply(part, w, out=width[:n])
+        short = _short(width[:n])
+        if len(short):
+            words[short, used[short]] = low[short] >> np.uint64(32)
+            used[short] += 1
+            _shift(low, width, short)
+        model.learn(n, x)
+    out: list[list[bytes]] = [[] for _ in blocks]
+    for lane in np.lexsort((begin, block)).tolist():
+        words[lane, used[lane]] = -(-int(low[lane]) >> 32)  # with zeros behind it still inside: no interval is narrower
+        out[block[lane]].append(words[lane, : used[lane] + 1].astype("<u4").tobytes())
+    return [struct.pack(f"<{len(runs) - 1}I", *(len(r) // 4 for r in runs[:-1])) + b"".join(runs) for runs in out]
+
+
+def _turned(table: np.ndarray) -> np.ndarray:
+    """Columns as rows, some columns at a time."""
     import numpy as np
 
-    turn = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    payload: dict[int, bytes] = {}
-    for first in range(0, len(turn), LANES):
-        some = turn[first : first + LANES]
-        sizes = np.array([len(blocks[k]) for k in some])
-        ids = np.zeros((len(some), int(sizes[0])), np.int32)
-        for row, k in enumerate(some):
-            ids[row, : sizes[row]] = blocks[k]
-        model = Model(len(some), symbols)
-        low, width = np.zeros(len(some), np.uint64), np.full(len(some), (1 << 64) - 1, np.uint64)
-        words = np.zeros((len(some), int(sizes[0]) + 2), np.uint32)
-        used = np.zeros(len(some), np.int64)
-        for step in range(int(sizes[0])):
-            n = int(np.searchsorted(-sizes, -step))  # lanes that are longer than `step`; they stand in front
-            x = ids[:n, step]
-            model.predict(n)
-            is_2 = x == model.g2
-            a, w = model.interval(n, x, (x == model.g1) & (model.w1 > 0), is_2)
-            part = width[:n] >> np.uint64(TOTAL_BITS)
-            low[:n] += part * a
-            width[:n] = part * w
-            short = _short(width[:n])
-            if len(short):
-                words[short, used[short]] = low[short] >> np.uint64(32)
-                used[short] += 1
-                _shift(low, width, short)
-            model.learn(n, x)
-        for row, k in enumerate(some):
-            tail = [int(low[row]) >> 32, int(low[row]) & 0xFFFFFFFF]
-            payload[k] = words[row, : used[row]].astype("<u4").tobytes() + struct.pack("<2I", *tail)
-    return [payload[k] for k in range(len(blocks))]
+    out = np.empty(table.shape[::-1], table.dtype)
+    for i in range(0, table.shape[1], 64):
+        out[i : i + 64] = table[:, i : i + 64].T
+    return out
 
 
 def _short(width: np.ndarray) -> np.ndarray:
@@ -204,41 +332,55 @@ def _shift(low: np.ndarray, width: np.ndarray, lanes: np.ndarray) -> None:
 
 def decode_blocks(payloads: list[bytes], sizes_of: list[int], symbols: int) -> list[np.ndarray]:
     """The ids of each payload of encode_blocks(), given how many there are."""
+    return [x for i in range(0, len(payloads), LANES) for x in _decode(payloads[i : i + LANES], sizes_of[i : i + LANES], symbols)]
+
+
+def _decode(payloads: list[bytes], sizes_of: list[int], symbols: int) -> list[np.ndarray]:
     import numpy as np
 
-    turn = sorted(range(len(payloads)), key=lambda k: -sizes_of[k])
-    out: dict[int, np.ndarray] = {}
-    for first in range(0, len(turn), LANES):
-        some = turn[first : first + LANES]
-        sizes = np.array([sizes_of[k] for k in some])
-        words = np.zeros((len(some), max(len(payloads[k]) for k in some) // 4 + 2), np.uint64)
-        for row, k in enumerate(some):
-            words[row, : len(payloads[k]) // 4] = np.frombuffer(payloads[k], "<u4")
-        ids = np.zeros((len(some), int(sizes[0])), np.int32)
-        model = Model(len(some), symbols)
-        low, width = np.zeros(len(some), np.uint64), np.full(len(some), (1 << 64) - 1, np.uint64)
-        code = words[:, 0] << np.uint64(32) | words[:, 1]
-        at = np.full(len(some), 2)
-        for step in range(int(sizes[0])):
-            n = int(np.searchsorted(-sizes, -step))
-            model.predict(n)
-            part = width[:n] >> np.uint64(TOTAL_BITS)
-            value = np.minimum((code[:n] - low[:n]) // part, np.uint64((1 << TOTAL_BITS) - 1)).astype(np.int64)
-            is_2, is_1 = value < model.w2, value < model.begin
-            x = np.where(is_2, model.g2, np.where(is_1, model.g1, model.find(n, value)))
-            a, w = model.interval(n, x, is_1, is_2)
-            low[:n] += part * a
-            width[:n] = part * w
-            short = _short(width[:n])
-            if len(short):
-                code[short] = code[short] << np.uint64(32) | words[short, at[short]]
-                at[short] += 1
-                _shift(low, width, short)
-            ids[:n, step] = x
-            model.learn(n, x)
-        for row, k in enumerate(some):
-            out[k] = ids[row, : sizes[row]].astype("<u4")
-    return [out[k] for k in range(len(payloads))]
+    block, begin, sizes, active = _runs(sizes_of)
+    lanes = len(sizes)
+    words = np.zeros((lanes, int(sizes[0]) + 3), np.uint32)
+    order = np.lexsort((begin, block))
+    for k, some in enumerate(np.split(order, np.flatnonzero(np.diff(block[order])) + 1)):
+        given = np.frombuffer(payloads[k], "<u4")
+        runs = len(some)
+        ends = np.append(np.cumsum(given[: runs - 1], dtype=np.int64), len(given) - runs + 1) + runs - 1
+        for lane, a, b in zip(some.tolist(), [runs - 1, *ends.tolist()], ends.tolist(), strict=False):
+            words[lane, : b - a] = given[a:b]
+    ids = np.zeros((int(sizes[0]), lanes), np.int32)
+    model = Model(lanes, symbols, block)
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    code = words[:, 0].astype(np.uint64) << np.uint64(32) | words[:, 1]
+    at = np.full(lanes, 2)
+    for step, n in enumerate(active.tolist()):
+        model.predict(n)
+        part = width[:n] >> np.uint64(TOTAL_BITS)
+        value = code[:n] - low[:n]
+        is_2 = value < part * model.w2.astype(np.uint64)
+        a, w = model.guessed(is_2)
+        x = model.g1 + (model.g2 - model.g1) * is_2
+        rest = np.flatnonzero(value >= part * model.begin.astype(np.uint64))
+        if len(rest):
+            unit = model.unit(rest)
+            inside = np.minimum(value[rest] // part[rest], np.uint64((1 << TOTAL_BITS) - 1)).astype(np.int64)
+            x[rest] = model.find(rest, inside, unit)
+            a[rest], w[rest] = model.share(rest, model.low, model.high, unit)
+        a *= part
+        low[:n] += a
+        np.multiply(part, w, out=width[:n])
+        short = _short(width[:n])
+        if len(short):
+            code[short] = code[short] << np.uint64(32) | words[short, at[short]]
+            at[short] += 1
+            _shift(low, width, short)
+        ids[step, :n] = x
+        model.learn(n, ids[step, :n])
+    by_lane = _turned(ids)
+    out = [np.zeros(n, "<u4") for n in sizes_of]
+    for lane in range(lanes):
+        out[block[lane]][begin[lane] : begin[lane] + sizes[lane]] = by_lane[lane, : sizes[lane]]
+    return out
 
 
 def write_segment(ids: np.ndarray, symbols: int) -> bytes:
@@ -297,7 +439,6 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int)
         part = None
 
         def segment_of() -> pa.RecordBatch:
-            encoder.forget()  # models take the memory next; recurring chunks cost little beside them
             ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
             row = (
                 part, segment, start, np.array([i or 0 for i, _ in held], "<i8").tobytes(), bytes(i is None for i, _ in held),
@@ -308,7 +449,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int)
 
         for batch in pieces(batches, "text"):
             part = batch.column(0)[0].as_py()
-            for doc_id, ids in zip(batch.column(1).to_pylist(), encoder.encode(batch.column(2).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(1).to_pylist(), encoder.encode(batch.column(2)), strict=True):
                 held.append((doc_id, ids + end))
                 total += len(ids) // 4 + 1
                 if total >= SEGMENT_IDS:

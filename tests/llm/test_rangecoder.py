@@ -139,3 +139,26 @@ def test_ids_are_found_by_their_sums_in_wide_rows(monkeypatch):
             begin, width = (x.astype(np.int64) for x in model.interval(3, ids, none, none))
             assert (model.find(3, begin) == ids).all() and (model.find(3, begin + width - 1) == ids).all()
         assert not hasattr(model, "counts") and model.flat_sums.nbytes < 3 * 4 * (symbols + 4097)
+
+
+def test_runs_of_a_block_are_coded_side_by_side(monkeypatch):
+    """A full block, one of odd length and one too short for two runs take few steps and come back, with what they share."""
+    monkeypatch.undo()
+    rng = np.random.default_rng(3)
+    blocks = [np.minimum(rng.geometric(0.01, n) - 1, 50_256).astype("<u4") for n in (rangecoder.BLOCK_IDS, 9001, 700, 1, 0)]
+    steps = []
+    learn = rangecoder.Model.learn
+    monkeypatch.setattr(rangecoder.Model, "learn", lambda self, n, ids: (steps.append(n), learn(self, n, ids)))
+    payloads = rangecoder.encode_blocks(blocks, 50_257)
+    assert sum(steps) == sum(map(len, blocks)) and len(steps) <= rangecoder.BLOCK_IDS // 12
+    steps.clear()
+    got = rangecoder.decode_blocks(payloads, [len(b) for b in blocks], 50_257)
+    assert sum(steps) == sum(map(len, blocks)) and len(steps) <= rangecoder.BLOCK_IDS // 12
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(got, blocks, strict=True))
+    # each block is read on its own, without those it was written beside
+    for payload, block in zip(payloads, blocks, strict=True):
+        assert (rangecoder.decode_blocks([payload], [len(block)], 50_257)[0] == block).all()
+    # a copy at the distance of a run or of several is not new
+    plain = rng.permutation(50_257)[: rangecoder.BLOCK_IDS // 4]
+    other = rng.permutation(50_257)[: rangecoder.BLOCK_IDS]
+    assert len(write_segment(np.tile(plain, 4).astype("<u4"), 50_257)) < 0.6 * len(write_segment(other.astype("<u4"), 50_257))
